@@ -12,6 +12,51 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from plumbline.llm.tokencount import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.quality import judge
+
+    found = judge(_table(spark, sf_dir, "documents"), ["doc_id"], keep=True)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select("doc_id", *(F.col(f"#{c}").alias(c) for c in names))
+
+
+#: Words and lines by the same definitions; the hosts' prior by the method of moments.
+OP6_SQL = r"""
+with w as (
+  select doc_id, source, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls
+  from documents),
+g as (select doc_id, unnest(range(1, len(ws) - 1)) i, ws from w where len(ws) >= 3),
+h as (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) c from g),
+r as (select doc_id, count(distinct i + k) n from h, (values (0), (1), (2)) t(k) where c > 1 group by doc_id),
+c as (
+  select w.doc_id, coalesce(source, '') host, len(ws)::bigint n_words,
+    length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g'))::bigint word_chars,
+    (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::bigint n_symbols,
+    (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, len(ls) lines, coalesce(r.n, 0)::bigint n_repeat_words
+  from w left join r using (doc_id)),
+f as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
+    2 * (100 * n_symbols > 30 * n_words)::int + (100 * n_dup_lines > 30 * lines)::int + 2 * (not word_chars between 2 * n_words and 15 * n_words)::int soft
+  from c),
+hosts as (select host, count(*) n, count(*) filter (where base_failed or soft > 1) f from f group by host),
+p as (select avg(f / n) m, var_pop(f / n) v from hosts),
+k as (select m, case when v > 0 then least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) else 1000.0 end k from p),
+bad as (select host, (m * k + f) / (k + n) > 0.5 bad from hosts, k)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and soft <= case when bad then 0 else 1 end kept
+from f join bad using (host)
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.simhash import near_duplicates
 
@@ -20,7 +65,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op6_quality_rules": op6_quality_rules,
     "op8_simhash": op8_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL}
