@@ -40,7 +40,7 @@ from plumbline.runtime import Scratch
 
 WIDTH, SEED, SHINGLE, THRESHOLD, BLOCKS = 64, 42, 4, 4, 3
 _FLUSH = 1 << 18
-_LARGE = 512
+_LARGE, _PAIRS = 512, 500_000
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
@@ -152,7 +152,7 @@ def reached(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]
         while len(front) and len(left):
             at, fresh = 0, []
             while at < len(front) and len(left):
-                part = front[at : at + max(1, 4_000_000 // len(left))]
+                part = front[at : at + max(1, _PAIRS // len(left))]
                 at += len(part)
                 near = np.bitwise_count(prints[part][:, None] ^ prints[left][None, :]) <= threshold
                 hit = near.any(axis=0)
@@ -178,7 +178,8 @@ def _compare(threshold: int):
             b.append(reps[s + j])
         first, count = np.repeat(edge, size), np.repeat(size, size)
         rows = np.flatnonzero(home & (count > 1) & (count <= _LARGE))
-        for part in np.array_split(rows, max(1, int(count[rows].sum()) // 2_000_000)):
+        done = np.cumsum(count[rows])
+        for part in np.split(rows, np.searchsorted(done, np.arange(_PAIRS, int(done[-1]), _PAIRS)) if len(rows) else []):
             left = np.repeat(part, count[part])
             skip = np.cumsum(count[part]) - count[part]
             right = np.repeat(first[part] - skip, count[part]) + np.arange(len(left))
