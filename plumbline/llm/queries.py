@@ -20,6 +20,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"))
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.suffixtree import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.pii import find
+
+    return find(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.quality import judge
 
@@ -64,10 +82,50 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.htmltext import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.decontam import matches
+
+    found = matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
+#: All windows that share a shingle with an item, compared exactly.
+OP10_SQL = r"""
+with iw as (
+  select item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from benchmark),
+i as (select item_id, w, len(w) n, least(len(w), 5) k from iw where len(w) > 0),
+ip as (select item_id, n, k, w, unnest(range(1, n - k + 2)) p from i),
+ish as (select item_id, n, k, array_to_string(w[p:p + k - 1], ' ') s, count(*) c from ip group by all),
+d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+ks as (select distinct k from i),
+dp as (select doc_id, len(w) words, w, k, unnest(range(1, len(w) - k + 2)) p from d, ks),
+ds as (select doc_id, words, k, p - 1 pos, array_to_string(w[p:p + k - 1], ' ') s from dp),
+h as (select doc_id, words, item_id, n, k, pos, s, c, least(n, words) - k + 1 v, n - k + 1 m from ds join ish using (k, s)),
+pair as (select doc_id, item_id from h group by all having count(*) >= any_value(0.8 / 1.8 * (m + v)) - 0.000001),
+st as (select distinct doc_id, item_id, unnest(range(greatest(0, pos - v + 1), least(pos, words - least(n, words)) + 1)) st from h semi join pair using (doc_id, item_id)),
+e as (select st.doc_id, st.item_id, st, any_value(n) n, any_value(m) m, any_value(v) v, s, least(count(*), any_value(c)) x
+  from st join h on st.doc_id = h.doc_id and st.item_id = h.item_id and pos between st and st + v - 1 group by all),
+f as (select doc_id, item_id, st, any_value(n) n, sum(x) / (any_value(m) + any_value(v) - sum(x)) sim from e group by all)
+select doc_id, item_id, arg_min(st, (-sim, st))::bigint start, any_value(n)::int n_words, round(max(sim), 6) similarity
+from f where sim >= 0.799999999 group by doc_id, item_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_sharding": op2_sharding,
+    "op4_lm_scores": op4_lm_scores,
+    "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op8_simhash": op8_simhash,
+    "op9_html_text": op9_html_text,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op10_decontamination": OP10_SQL}
