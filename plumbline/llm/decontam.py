@@ -69,7 +69,11 @@ def _packed() -> Column:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, start, n_words, similarity, distance)``: the best window of each document and item that match; start counts words from 0."""
+    """``(doc_id, item_id, start, n_words, similarity, distance)``: the best window of each document and item that match.
+
+    start counts words from 0; it is the first of the best windows that start
+    with a shared shingle or end with the text.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
     items = benchmark.groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", word_array(F.col("text")).alias("w"))

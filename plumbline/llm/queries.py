@@ -95,10 +95,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"))
 
 
-#: All windows that share a shingle with an item, compared exactly.
+#: All windows that start with a shingle of the item, or end with the text, compared exactly.
 OP10_SQL = r"""
 with iw as (
-  select item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from benchmark),
+  select item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from benchmark),
 i as (select item_id, w, len(w) n, least(len(w), 5) k from iw where len(w) > 0),
 ip as (select item_id, n, k, w, unnest(range(1, n - k + 2)) p from i),
 ish as (select item_id, n, k, array_to_string(w[p:p + k - 1], ' ') s, count(*) c from ip group by all),
@@ -108,7 +108,7 @@ dp as (select doc_id, len(w) words, w, k, unnest(range(1, len(w) - k + 2)) p fro
 ds as (select doc_id, words, k, p - 1 pos, array_to_string(w[p:p + k - 1], ' ') s from dp),
 h as (select doc_id, words, item_id, n, k, pos, s, c, least(n, words) - k + 1 v, n - k + 1 m from ds join ish using (k, s)),
 pair as (select doc_id, item_id from h group by all having count(*) >= any_value(0.8 / 1.8 * (m + v)) - 0.000001),
-st as (select distinct doc_id, item_id, unnest(range(greatest(0, pos - v + 1), least(pos, words - least(n, words)) + 1)) st from h semi join pair using (doc_id, item_id)),
+st as (select distinct doc_id, item_id, least(pos, words - least(n, words)) st from h semi join pair using (doc_id, item_id)),
 e as (select st.doc_id, st.item_id, st, any_value(n) n, any_value(m) m, any_value(v) v, s, least(count(*), any_value(c)) x
   from st join h on st.doc_id = h.doc_id and st.item_id = h.item_id and pos between st and st + v - 1 group by all),
 f as (select doc_id, item_id, st, any_value(n) n, sum(x) / (any_value(m) + any_value(v) - sum(x)) sim from e group by all)

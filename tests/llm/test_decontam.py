@@ -20,7 +20,8 @@ def brute(docs, items):
                 continue
             k = min(5, len(q))
             own = grams(q, k)
-            for s in range(max(0, len(w) - len(q)) + 1):
+            last = max(0, len(w) - len(q))
+            for s in sorted({min(p, last) for p in range(len(w) - k + 1) if tuple(w[p : p + k]) in own}):
                 win = grams(w[s : s + len(q)], k)
                 sim = (own & win).total() / (own | win).total()
                 if sim >= 0.8 - 1e-12 and (d, i) not in out or sim > out.get((d, i), (9, 9))[0]:
