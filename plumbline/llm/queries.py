@@ -26,6 +26,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from plumbline.llm.pieces import encode
+
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.suffixtree import score
 
@@ -120,6 +128,7 @@ from f where sim >= 0.799999999 group by doc_id, item_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_lm_scores": op4_lm_scores,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
