@@ -83,6 +83,12 @@ from f join bad using (host)
 """
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.repeats import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.simhash import near_duplicates
 
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scores": op4_lm_scores,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
+    "op7_repeats": op7_repeats,
     "op8_simhash": op8_simhash,
     "op9_html_text": op9_html_text,
     "op10_decontamination": op10_decontamination,
