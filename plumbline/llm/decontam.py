@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.rows import without
 from plumbline.llm.text import word_array
 from plumbline.runtime import Scratch
 
@@ -132,6 +133,6 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a match, as they are; rows with a null doc_id share one verdict."""
-    hit = matches(docs, benchmark).select(F.col("doc_id").alias("#id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("#id")), "left_anti")
+    """The documents without a match, as they are; rows with one doc_id share one verdict."""
+    hit = Scratch(docs.sparkSession, "decontam").save(matches(docs, benchmark).select("doc_id").distinct(), "hit")
+    return without(docs, hit)

@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.rows import near
 from plumbline.llm.text import GAP, lower_ascii
 from plumbline.runtime import Scratch
 
@@ -128,9 +129,9 @@ def spans(docs: DataFrame) -> DataFrame:
     maybe = scratch.save(maybe, "candidates")
     patterns = _confident(seeds, maybe, docs, scratch)
     more = maybe.join(patterns, ["kind", "left"], "left_semi")
-    near = seeds.select("doc_id", "h", F.col("start").alias("s"), F.col("end").alias("e"))
+    taken = seeds.select("doc_id", "h", F.col("start").alias("s"), F.col("end").alias("e"))
     clash = F.expr("a.doc_id <=> b.doc_id and a.h = b.h and a.start < b.e and b.s < a.end")
-    more = more.alias("a").join(near.alias("b"), clash, "left_anti")
+    more = more.alias("a").join(taken.alias("b"), clash, "left_anti")
     columns = ["doc_id", "h", "kind", "start", "end"]
     return scratch.save(seeds.select(*columns, F.lit(True).alias("base")).union(more.select(*columns, F.lit(False).alias("base"))), "spans")
 
@@ -158,7 +159,7 @@ def redact(docs: DataFrame) -> DataFrame:
     merged = merged.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = merged.groupBy("doc_id", "h", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "kind")).alias("kind"))
     cuts = merged.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("#cuts"))
-    cuts = cuts.select(F.col("doc_id").alias("#id"), F.col("h").alias("#h"), "#cuts")
+    cuts = near(Scratch(docs.sparkSession, "pii").save(cuts.select(F.col("doc_id").alias("#id"), F.col("h").alias("#h"), "#cuts"), "cuts"), found.count())
     rows = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("#id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("#h")), "left")
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
 

@@ -126,3 +126,8 @@ def judge_input(docs: DataFrame, host: str) -> DataFrame:
     """Host and counts of every row."""
     rows = measured(docs, [host]).withColumnsRenamed({"c0": "#host"} | {f"c{1 + i}": f"#{c}" for i, c in enumerate(_COUNTS)})
     return rows.withColumn("#host", F.coalesce("#host", F.lit(""))).withColumn("#base_failed", base_failed("#n_words", "#n_repeat_words"))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that pass, as they are."""
+    return judge(docs, docs.columns).where("`#kept`").select(*docs.columns)

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.rows import without
 from plumbline.llm.text import forest, words
 from plumbline.plans.components import connected_components
 from plumbline.runtime import Scratch
@@ -222,3 +223,16 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = B
     found = connected_components(links, label="simhash-components")
     classes = different.join(found, different["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(scratch.save(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The first document of each component, as it is; of rows with one doc_id, one."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    found = scratch.save(near_duplicates(docs), "found")
+    gone = scratch.save(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "gone")
+    kept = without(docs, gone)
+    again = scratch.save(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again.toDF("#id"), kept["doc_id"].eqNullSafe(F.col("#id")), "left_semi")
+    return without(kept, again).unionByName(twice.dropDuplicates(["doc_id"]))
