@@ -67,7 +67,6 @@ def field_tokens(text: Column) -> Column:
 def matches_member(query: str, name: str) -> bool:
     """Member search: other characters than lower-case ones may skip ahead to their match; a lower-case mismatch goes back to just behind the last aligned upper-case pair."""
     i = j = 0
-    anchor: tuple[int, int] | None = None
     upper_q = upper_n = None
     while i < len(query):
         if j == len(name):
@@ -81,10 +80,9 @@ def matches_member(query: str, name: str) -> bool:
         if not q.islower():
             j += 1
             continue
-        anchor = None if upper_q is None else (upper_q, upper_n)
-        if anchor is None:
+        if upper_q is None:
             return False
-        i, j, upper_q, upper_n = anchor[0], anchor[1] + 1, None, None
+        i, j, upper_q, upper_n = upper_q, upper_n + 1, None, None
     return True
 
 
