@@ -1,5 +1,7 @@
 import pytest
 
+import plumbline.streaming.queries  # noqa: F401
+
 from plumbline.plans.queries import ORACLES, QUERIES
 from tests.oracle import compare
 
