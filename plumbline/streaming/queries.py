@@ -25,7 +25,7 @@ def buffer_fold(spark, sf_dir):
 
 
 @query("note", """
-, req as (select uri, epoch_ms(ts) "at", kind = 'save' c from note where kind in ('change', 'save')),
+, req as (select uri, epoch_us(ts) // 1000 "at", kind = 'save' c from note where kind in ('change', 'save')),
 r as (select uri, min("at") opened from req group by uri
   union all select r.uri, min(req."at") from r join req on req.uri = r.uri and req."at" >= r.opened + 21600000 group by r.uri, r.opened)
 select r.uri, opened, count(*) n, bool_or(c) compile_first from r join req on req.uri = r.uri and req."at" >= opened and req."at" < opened + 21600000 group by 1, 2""")
