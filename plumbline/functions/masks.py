@@ -39,3 +39,13 @@ def checksum(text: Column) -> Column:
 def freshness(text: Column, md5: Column) -> Column:
     """Fresh, MissingMd5 or Stale; case does not matter."""
     return F.when(md5.isNull() | (md5 == ""), "MissingMd5").when(checksum(text) == F.upper(md5), "Fresh").otherwise("Stale")
+
+
+# Kind codes of the fact files, and the protocol's symbol kinds for them.
+KINDS = {19: 13, 20: 13, 3: 6, 21: 9, 6: 6, 7: 5, 8: 13, 17: 13, 9: 26, 10: 19, 11: 4, 12: 19, 13: 5, 14: 11, 18: 11, 15: 8}
+NO_KIND = 21
+
+
+def protocol_kind(code: Column) -> Column:
+    """The protocol's kind of a fact file's kind; unknown codes have none."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[code], F.lit(NO_KIND))

@@ -60,3 +60,11 @@ def splice(pairs: DataFrame) -> DataFrame:
     rows = rows.withColumn("ra", rest("a")).withColumn("rb", rest("b")).withColumn("tail", same("ra", "rb"))
     added = F.array_join(F.slice("b", F.col("start") + 1, F.size("b") - F.col("start") - F.col("tail")), " ")
     return rows.select("doc_id", "start", (F.size("a") - F.col("start") - F.col("tail")).cast("int").alias("removed"), added.alias("added"))
+
+
+def tokens_in(tokens: DataFrame, start: tuple[int, int], stop: tuple[int, int]) -> DataFrame:
+    """Tokens that overlap [start, stop) of (line, column) positions, whole."""
+    before = (F.col("line") < stop[0]) | (F.col("line") == stop[0]) & (F.col("start_char") < stop[1])
+    end = F.col("start_char") + F.col("length")
+    after = (F.col("line") > start[0]) | (F.col("line") == start[0]) & (end > start[1])
+    return tokens.where(before & after)

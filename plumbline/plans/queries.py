@@ -617,3 +617,26 @@ def deepest_root(spark, sf_dir):
     near = l.closure.join(l.deps.select(F.col("target").alias("source"), "dep"), "source", "left").where("reached = source or reached = dep").select(F.col("source").alias("target_ord"), F.col("reached"))
     roots = near.join(l.targets.withColumnRenamed("target_ord", "reached"), "reached")
     return l.docs.join(roots, "target_ord").groupBy("doc_ord").agg(F.max("bsp_id").alias("root"))
+
+
+@query("word", """
+select doc_id, line, start_char, (line - coalesce(lag(line) over w, 0))::int delta_line, (case when line = coalesce(lag(line) over w, 0) then start_char - coalesce(lag(start_char) over w, 0) else start_char end)::int delta_char
+from (select * from word where (line < 3 or line = 3 and start_char < 40) and (line > 1 or line = 1 and start_char + length(token) > 25)) window w as (partition by doc_id order by line, start_char, length(token))""")
+def token_range(spark, sf_dir):
+    tokens = p.words(spark, sf_dir).select("doc_id", F.col("line").cast("long").alias("line"), "start_char", F.length("token").alias("length"))
+    return text.delta_encode(text.tokens_in(tokens, (1, 25), (3, 40))).drop("length")
+
+
+@query("note", "select seq, case (seq % 23)::int when 3 then 6 when 6 then 6 when 7 then 5 when 8 then 13 when 9 then 26 when 10 then 19 when 11 then 4 when 12 then 19 when 13 then 5 when 14 then 11 when 15 then 8 when 17 then 13 when 18 then 11 when 19 then 13 when 20 then 13 when 21 then 9 else 21 end kind from note")
+def protocol_kinds(spark, sf_dir):
+    return p.notifications(spark, sf_dir).select("seq", masks.protocol_kind((F.col("seq") % 23).cast("int")).alias("kind"))
+
+
+@query("line", """
+, tok as (select doc_id, line, unnest(regexp_extract_all(content, '[A-Za-z]+')) t from line)
+select t as word, count(*) n, count(distinct doc_id) docs from tok where t in ('The', 'der', 'que') group by t""")
+def token_counts(spark, sf_dir):
+    """Occurrences and documents of some symbols of projection D."""
+    rows = p.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("content"))
+    words = rows.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit("([A-Za-z]+)"), F.lit(1))).alias("word")).where(F.col("word").isin("The", "der", "que"))
+    return words.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
