@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from heapq import heappop, heappush
@@ -43,9 +44,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-N_BEST, CACHED, UNKNOWN, UNIT = 4, 400_000, 10.0, 1_000_000
+from plumbline.llm.suffixtree import Table
+
+N_BEST, CACHED, UNKNOWN, UNIT = 4, 1_000_000, 10.0, 1_000_000
 MARK = "▁"
-_NONE = -(1 << 62)
+_NONE = -(1 << 60)
+_STEP, _ARRAYS, _CELLS, _SLICE = np.uint64(0x9E3779B97F4A7C15), 32, 60_000, 4_000_000
 
 
 class Model:
@@ -73,6 +77,22 @@ class Model:
         apart = all(MARK not in p.lstrip(MARK) for p in self.pieces)
         self.chunks = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if apart else "(?s:.+)").findall
         self.unk = sp.unk_id()
+        keys = np.array([self.hash(p) for p in self.pieces], np.uint64)
+        self.table = Table(keys, np.arange(len(keys)))
+        self.numbers = np.array([i for i, _ in self.pieces.values()], np.int64)
+        self.values = np.array([x for _, x in self.pieces.values()], np.int64)
+
+    @staticmethod
+    def hash(piece: str) -> int:
+        """As ``Words`` computes it for all substrings at once."""
+        h = 0
+        for c in piece:
+            h = (h ^ ord(c)) * int(_STEP) & (1 << 64) - 1
+        return h | 1
+
+    def split(self, text: str) -> list[str]:
+        """Marked words of a text."""
+        return self.chunks(MARK + text.replace(" ", MARK)) if text else []
 
     def ids(self, word: str, cuts: list[int]) -> list[int]:
         """Of a segmentation given by its positions from 0 to the end."""
@@ -163,7 +183,15 @@ class Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.scores, self.costs, self.sizes, self.rows = [], [], [], []
+        self.scores, self.costs, self.sizes, self.rows, self.others = array("q"), array("q"), array("i"), [], {}
+
+    def add(self, word: str, score: int, cost: int, ids: bytes) -> int:
+        self.scores.append(score)
+        self.costs.append(cost)
+        self.sizes.append(len(ids) // 4)
+        self.rows.append(ids)
+        self[word] = len(self.rows) - 1
+        return self[word]
 
     def __missing__(self, word: str) -> int:
         edges = self.of.edges(word)
@@ -171,40 +199,122 @@ class Words(dict):
         cuts = [len(word)]
         while cuts[-1]:
             cuts.append(back[cuts[-1]])
-        ids = self.of.ids(word, cuts[::-1])
         other = second(edges, best, back)
-        self.scores.append(best[-1])
-        self.costs.append(-1 if other is None else best[-1] - other)
-        self.sizes.append(len(ids))
-        self.rows.append(np.array(ids, "<i4").tobytes())
-        self[word] = len(self.rows) - 1
-        return self[word]
-
-
-def segment(text: str, words: Words, n: int) -> tuple[bytes, list[int], list[int]]:
-    """Ids of the best segmentation, and the scores and sizes of the n best."""
-    if len(words) > CACHED:
-        words.reset()
+        return self.add(word, best[-1], -1 if other is None else best[-1] - other, np.array(self.of.ids(word, cuts[::-1]), "<i4").tobytes())
+
+    def alternatives(self, word: str, n: int) -> list[tuple[int, int]]:
+        """Score and size of the word's n best, each against its best."""
+        if (word, n) not in self.others:
+            edges, at = self.of.edges(word), self[word]
+            own = [(s - self.scores[at], len(self.of.ids(word, cuts)) - self.sizes[at]) for s, cuts in n_best(edges, forward(edges)[0], n)]
+            self.others[word, n] = [(0, 0), *own[1:]]
+        return self.others[word, n]
+
+    def fill(self, words: set[str]) -> None:
+        """Adds new words, those of one length at a time as arrays; long ones one by one."""
+        by_size: dict[int, list[str]] = {}
+        for w in words:
+            by_size.setdefault(len(w), []).append(w)
+        for size, same in by_size.items():
+            if size > _ARRAYS or len(same) < 8:
+                for w in same:
+                    self[w]
+                continue
+            step = max(8, _CELLS // size)
+            for k in range(0, len(same), step):
+                self._fill(same[k : k + step], size)
+
+    def _fill(self, same: list[str], size: int) -> None:
+        """The same as ``__missing__`` for words of one length: forward and backward scores, the best path and the best piece beside it."""
+        n, of = len(same), self.of
+        codes = np.frombuffer("".join(same).encode("utf-32-le"), np.uint32).reshape(n, size).astype(np.uint64)
+        score: dict[tuple[int, int], np.ndarray] = {}
+        piece: dict[tuple[int, int], np.ndarray] = {}
+        for i in range(size):
+            h, keys = np.zeros(n, np.uint64), []
+            for j in range(i, min(size, i + of.longest)):
+                h = (h ^ codes[:, j]) * _STEP
+                keys.append(h | np.uint64(1))
+            hit, at = of.table.find(np.concatenate(keys))
+            known, number = np.where(hit, of.values[at], _NONE).reshape(-1, n), np.where(hit, of.numbers[at], -1).reshape(-1, n)
+            known[0][number[0] < 0] = of.unknown
+            for k in range(len(keys)):
+                if not k or (number[k] >= 0).any():
+                    score[i, i + 1 + k], piece[i, i + 1 + k] = known[k], number[k]
+        best, back, last = [np.zeros(n, np.int64)], [np.zeros(n, np.int64)], [np.zeros(n, np.int64)]
+        for j in range(1, size + 1):
+            top, at, own = np.full(n, 2 * _NONE), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for i in range(j - 1, max(-1, j - 1 - of.longest), -1):
+                if (i, j) in score:
+                    now = best[i] + score[i, j]
+                    more = now > top
+                    top, at, own = np.where(more, now, top), np.where(more, i, at), np.where(more, piece[i, j], own)
+            best.append(top)
+            back.append(at)
+            last.append(own)
+        after = [np.full(n, _NONE) for _ in range(size)] + [np.zeros(n, np.int64)]
+        path = np.zeros((n, size + 1), bool)
+        path[:, size] = True
+        rows, other = np.arange(n), np.full(n, _NONE)
+        for j in range(size, 0, -1):
+            path[rows, back[j]] |= path[:, j]
+            for i in range(j - 1, max(-1, j - 1 - of.longest), -1):
+                if (i, j) in score:
+                    now = np.maximum(after[j] + score[i, j], _NONE)
+                    after[i] = np.maximum(after[i], now)
+                    beside = ~(path[:, j] & (back[j] == i))
+                    other = np.where(beside, np.maximum(other, best[i] + now), other)
+        ids = np.stack(last[1:], axis=1)
+        taken = path[:, 1:]
+        odd = (taken & (ids < 0)).any(axis=1)
+        flat, ends = ids[taken].astype("<i4"), np.cumsum(taken.sum(axis=1)).tolist()
+        raw = flat.tobytes()
+        cost = np.where(other > _NONE // 2, best[size] - other, -1).tolist()
+        start = 0
+        for w, end, total, c, strange in zip(same, ends, best[size].tolist(), cost, odd.tolist()):
+            if strange:
+                self[w]
+            else:
+                self.add(w, total, c, raw[4 * start : 4 * end])
+            start = end
+
+
+def segment(text: str, words: Words, n: int, found: list[str] | None = None) -> tuple[bytes, list[int], list[int]]:
+    """Ids of the best segmentation, and the scores and sizes of the n best; found: the text's words."""
     if not text:
         return b"", [0], [0]
-    found = words.of.chunks(MARK + text.replace(" ", MARK))
+    found = words.of.split(text) if found is None else found
     at = list(map(words.__getitem__, found))
     ids = b"".join(map(words.rows.__getitem__, at))
-    score, size = sum(map(words.scores.__getitem__, at)), sum(map(words.sizes.__getitem__, at))
+    score, size = sum(map(words.scores.__getitem__, at)), len(ids) // 4
     costs = np.fromiter(map(words.costs.__getitem__, at), np.int64, len(at))
     open_ = np.flatnonzero(costs >= 0)
     if len(open_) > n - 1:
-        open_ = open_[np.argsort(costs[open_], kind="stable")[: n - 1]]
+        open_ = open_[np.argpartition(costs[open_], n - 2)[: n - 1]]
     top = [(0, 0)]  # score and size, each against the best
     for k in open_.tolist():
-        word = found[k]
-        edges = words.of.edges(word)
-        own = [(s - words.scores[at[k]], len(words.of.ids(word, cuts)) - words.sizes[at[k]]) for s, cuts in n_best(edges, forward(edges)[0], n)]
-        own[0] = (0, 0)
+        own = words.alternatives(found[k], n)
         top = sorted(((a + s, b + z) for a, b in top for s, z in own), key=lambda x: -x[0])[:n]
     return ids, [score + a for a, _ in top], [size + b for _, b in top]
 
 
+def segments(texts: list[str], words: Words, n: int) -> Iterator[tuple[bytes, list[int], list[int]]]:
+    """``segment`` of each text; what is new in about ``_SLICE`` characters is added together."""
+    k = 0
+    while k < len(texts):
+        if len(words) > CACHED:
+            words.reset()
+        part, size = [], 0
+        while k < len(texts) and size < _SLICE:
+            part.append(texts[k])
+            size += len(texts[k])
+            k += 1
+        found = [words.of.split(t) for t in part]
+        words.fill(set().union(*found) - words.keys())
+        for t, ws in zip(part, found):
+            yield segment(t, words, n, ws)
+
+
 def decode(ids: list[int], of: Model) -> str:
     """The text of a list of ids."""
     text = b"".join(map(of.spell.__getitem__, ids)).decode(errors="replace")
@@ -224,7 +334,8 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _workers.setdefault(path, Words(model(path)))
         for batch in batches:
-            found = [(t, *segment(t, words, n)) for t in (x or "" for x in batch.column("text").to_pylist())]
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            found = [(t, *x) for t, x in zip(texts, segments(texts, words, n))]
             lists = [np.frombuffer(raw, "<i4") for _, raw, _, _ in found]
             columns = [
                 pa.array([len(x) for x in lists], pa.int64()),

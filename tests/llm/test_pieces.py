@@ -33,6 +33,16 @@ def test_n_best_equals_enumeration():
         assert len(sizes) == len(scores)
 
 
+def test_arrays_give_what_single_words_give():
+    m, rng = pieces.model(PATH), random.Random(3)
+    words = {pieces.MARK + "".join(rng.choices("aeiountrs", k=rng.randint(1, 12))) for _ in range(3000)} | {"▁é" * 1 + "x" * k for k in range(20)} | {"𝔘ab" + c for c in "abcdefghijkl"}
+    fast, slow = pieces.Words(m), pieces.Words(m)
+    fast.fill(words)
+    for w in words:
+        a, b = fast[w], slow[w]
+        assert (fast.scores[a], fast.costs[a], fast.rows[a]) == (slow.scores[b], slow.costs[b], slow.rows[b]), w
+
+
 def test_decoding_agrees_with_the_library():
     m, sp = pieces.model(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
     for text in ["Hello  world\n\tx ", " lead", "", "ñandú 日本 😀", "a" * 300, "\x00\x7f"]:
