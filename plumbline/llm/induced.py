@@ -5,7 +5,7 @@ suffix behind an L-type one is an LMS suffix.  LMS substrings are sorted and
 named, the string of names is sorted by recursion if names repeat, and the
 sorted LMS suffixes induce first the L-type and then the S-type suffixes: one
 queue for each first symbol holds what has been induced and comes out in
-order.  Queues keep ``CHUNK`` numbers in memory each at most, and all beyond
+order.  Bytes are queued as arrays, names one by one.  Queues keep ``CHUNK`` numbers in memory each at most, and all beyond
 ``HELD`` chunks of one sorter lie in a temporary file of the task.
 """
 
@@ -18,6 +18,8 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from heapq import merge
 
+import numpy as np
+
 CHUNK, HELD, RUN = 1 << 14, 256, 1 << 20
 
 
@@ -116,6 +118,10 @@ def suffix_order(t: Sequence[int]) -> Iterator[int]:
     if n < 3:
         yield from sorted(range(n), key=lambda i: t[i:])
         return
+    if isinstance(t, bytes):
+        for part in byte_order(t):
+            yield from part.tolist()
+        return
     small = bytearray(n)
     small[n - 1] = 1
     lms = array("q", [n - 1])
@@ -143,6 +149,15 @@ def _named(t: Sequence[int], lms: array) -> tuple[array, int]:
     text = isinstance(t, (bytes, bytearray, memoryview))
     ends = [*lms[1:], lms[-1]]
 
+    if text and len(lms) <= RUN:
+        cut = [bytes(t[i : j + 1]) + b"\xff" for i, j in zip(lms, ends)]
+        names, last, name = array("q", bytes(8 * len(lms))), None, -1
+        for k in sorted(range(len(cut)), key=cut.__getitem__):
+            if cut[k] != last:
+                last, name = cut[k], name + 1
+            names[k] = name
+        return names, name + 1
+
     def keys() -> Iterator[tuple]:
         for k, (i, j) in enumerate(zip(lms, ends)):
             yield (bytes(t[i : j + 1]) + b"\xff" if text else (*t[i : j + 1], float("inf"))), k
@@ -192,3 +207,100 @@ def _induce(t: Sequence[int], small: bytearray, order: array) -> Iterator[int]:
         if c in less:
             yield from reversed(less[c])
     store.close()
+
+
+def byte_order(t: bytes) -> Iterator[np.ndarray]:
+    """``suffix_order`` of bytes, in arrays: few symbols have long queues, which move as arrays."""
+    raw = np.frombuffer(t, np.uint8)
+    n = len(raw)
+    if n < 3:
+        yield np.array(sorted(range(n), key=lambda i: t[i:]), np.int64)
+        return
+    rises = np.r_[np.sign(np.diff(raw.astype(np.int16))), 1]
+    at = np.where(rises != 0, np.arange(n), n)
+    small = rises[np.minimum.accumulate(at[::-1])[::-1]] > 0
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    names, distinct = _named(t, array("q", lms.tolist()))
+    if distinct == len(lms):
+        order = np.empty(len(lms), np.int64)
+        order[np.frombuffer(names, np.int64)] = lms
+    else:
+        order = lms[np.fromiter(suffix_order(names), np.int64, len(lms))]
+    yield from _induce_arrays(raw, small, order)
+
+
+class Arrays:
+    """Arrays of numbers in order of their arrival; beyond ``CHUNK`` * ``HELD`` numbers they lie in a file."""
+
+    def __init__(self) -> None:
+        self.parts: list[list[np.ndarray | tuple[int, int]]] = [[] for _ in range(256)]
+        self.held, self.file = 0, None
+
+    def put(self, symbol: int, numbers: np.ndarray) -> None:
+        self.held += len(numbers)
+        if self.held <= CHUNK * HELD:
+            self.parts[symbol].append(numbers)
+            return
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        at = self.file.seek(0, 2)
+        numbers.astype(np.int64).tofile(self.file)
+        self.parts[symbol].append((at, len(numbers)))
+
+    def get(self, symbol: int, k: int) -> np.ndarray:
+        part = self.parts[symbol][k]
+        if isinstance(part, np.ndarray):
+            return part
+        self.file.seek(part[0])
+        return np.fromfile(self.file, np.int64, part[1])
+
+    def deal(self, numbers: np.ndarray, symbols: np.ndarray) -> None:
+        """Each number to its symbol's queue, in order."""
+        if len(numbers):
+            by = np.argsort(symbols, kind="stable")
+            numbers, symbols = numbers[by], symbols[by]
+            edge = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(symbols)]):
+                self.put(int(symbols[a]), numbers[a:b])
+
+
+def _induce_arrays(raw: np.ndarray, small: np.ndarray, order: np.ndarray) -> Iterator[np.ndarray]:
+    """As ``_induce``: what stands at the head of a queue is dealt on at once; what comes back to the same queue is its next part."""
+    first, large, less = Arrays(), Arrays(), Arrays()
+    first.deal(order, raw[order])
+    symbols = np.unique(raw).tolist()
+    for c in symbols:
+        k = 0
+        while k < len(large.parts[c]):
+            i = large.get(c, k)
+            i = i[i > 0] - 1
+            keep = raw[i] >= c
+            large.deal(i[keep], raw[i[keep]])
+            k += 1
+        for k in range(len(first.parts[c])):
+            i = first.get(c, k)
+            i = i[i > 0] - 1
+            keep = raw[i] > c
+            large.deal(i[keep], raw[i[keep]])
+    for c in reversed(symbols):
+        k = 0
+        while k < len(less.parts[c]):
+            i = less.get(c, k)
+            i = i[i > 0] - 1
+            keep = (raw[i] < c) | (raw[i] == c) & small[i]
+            less.deal(i[keep], raw[i[keep]])
+            k += 1
+        for k in reversed(range(len(large.parts[c]))):
+            i = large.get(c, k)[::-1]
+            i = i[i > 0] - 1
+            keep = raw[i] < c
+            less.deal(i[keep], raw[i[keep]])
+    yield np.array([len(raw) - 1])
+    for c in symbols:
+        for k in range(len(large.parts[c])):
+            yield large.get(c, k)
+        for k in reversed(range(len(less.parts[c]))):
+            yield less.get(c, k)[::-1]
+    for queues in (first, large, less):
+        if queues.file is not None:
+            queues.file.close()

@@ -16,6 +16,9 @@ windows, and all but the earliest are repeats.  Only prefixes of that length
 matter, so the common prefix is compared there, not carried through the
 induction.  The runs of an anchor with more than ``HEAVY`` different ones are
 dealt by window, by the bytes at both ends of it, so no anchor fills a task.
+Inside an anchor, windows are told apart by the ``SIDE`` bytes before it or
+behind it, and those with nothing to compare are not sorted: lines that many
+texts share but that are shorter than 100 bytes fall away here.
 
 Positions are (doc_id, start); a string starts earlier if its position is
 smaller.  Rows that share a doc_id are one document with several texts: equal
@@ -35,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.induced import suffix_order
+from plumbline.llm.induced import byte_order
 from plumbline.runtime import Scratch
 
-SIZE, K, HEAVY, PART, SHARD = 100, 40, 4096, 1 << 20, 1 << 20
+SIZE, K, SIDE, HEAVY, PART, SHARD = 100, 40, 30, 1 << 16, 1 << 20, 1 << 20
 #: Rows of spans, 40 bytes each on average, that are broadcast at most; more are joined by a shuffle.
 BROADCAST_SPANS = 1_000_000
 _WINDOWS = SIZE - K + 1
 _BASE, _LEAST = 0x9E3779B97F4A7C15, -(1 << 63)
-_TAG = (1 << 24) - 1
+_TAG = (1 << 20) - 1
 
 
 @cache
@@ -58,8 +61,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, hash of all the run's bytes, first window, windows) of at most PART + SIZE bytes."""
+def runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, hash of all the run's bytes, first window, anchor behind the last window, windows) of at most PART + SIZE bytes."""
     n = len(raw)
     up, down = _powers(PART + SIZE)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(raw.astype(np.uint64) + np.uint64(1)) * up[:n])]).astype(np.uint64)
@@ -81,13 +84,15 @@ def runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     if more:
         edge = np.unique(np.concatenate([edge, *more]))
     size = np.diff(np.r_[edge, last])
+    final = edge + size - 1
+    behind_last = (keys[np.minimum(final[:, None] + np.arange(_WINDOWS), len(keys) - 1)] == least[edge][:, None]).argmax(axis=1)
     whole = _mix((sums[edge + size + SIZE - 1] - sums[edge]) * down[edge]) ^ size.astype(np.uint64)
-    return least[edge], whole, edge, size
+    return least[edge], whole, edge, behind_last, size
 
 
-def _pack(start: np.ndarray, tag: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, then 24 bits of the text's hash, then the number of windows less one: sorts by start."""
-    return start.astype(np.int64) << 32 | tag.astype(np.int64) << 8 | (size.astype(np.int64) - 1)
+def _pack(start: np.ndarray, tag: np.ndarray, ahead: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, then 20 bits of the text's hash, 6 of the anchor's distance from the last window, 6 of the number of windows less one: sorts by start."""
+    return start.astype(np.int64) << 32 | tag.astype(np.int64) << 12 | ahead.astype(np.int64) << 6 | (size.astype(np.int64) - 1)
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +114,8 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, tag, text in zip(batch.column("d").to_pylist(), batch.column("tag").to_pylist(), batch.column("text").to_pylist()):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             for low in range(0, len(raw) - SIZE + 1, PART):
-                a, c, s, n = runs(raw[low : low + PART + SIZE - 1])
-                held.append([a, c, np.full(len(a), d), _pack(s + low, np.full(len(a), tag), n)])
+                a, c, s, ahead, n = runs(raw[low : low + PART + SIZE - 1])
+                held.append([a, c, np.full(len(a), d), _pack(s + low, np.full(len(a), tag), ahead, n)])
                 waiting += len(a)
                 if waiting > 1 << 19:
                     yield flush()
@@ -162,8 +167,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (a[k], c[k], d[k], at[k], bool(several[-1]))
 
 
+def _key(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of open runs, by shard key; those of heavy anchors window by window."""
+    """Bytes of open runs, by shard key: windows that hold SIDE bytes before the anchor by those, the others by the SIDE bytes behind it; windows of heavy anchors one by one."""
     out: list[tuple[int, int, int, bytes]] = []
 
     def rows() -> pa.RecordBatch:
@@ -176,13 +185,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = (text or "").encode()
             for r in found:
                 start, low = r["at"] >> 32, r["at"] & 0xFFFFFFFF
-                size = (low & 255) + 1
+                stop, tag, anchor = start + (low & 63) + 1, low & ~4095, r["a"].to_bytes(8, "little", signed=True)
+                at = stop - 1 + (low >> 6 & 63)
                 if r["heavy"]:
-                    for s in range(start, start + size):
-                        key = int.from_bytes(hashlib.blake2b(raw[s : s + 8] + raw[s + SIZE - 8 : s + SIZE], digest_size=8, key=r["a"].to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-                        out.append((key, d, s << 32 | low & ~255, raw[s : s + SIZE]))
+                    for s in range(start, stop):
+                        out.append((_key(anchor, raw[s : s + 8], raw[s + SIZE - 8 : s + SIZE]), d, s << 32 | tag, raw[s : s + SIZE]))
                 else:
-                    out.append((r["a"], d, r["at"], raw[start : start + size + SIZE - 1]))
+                    middle = max(start, min(stop, at - SIDE + 1))
+                    if start < middle:
+                        out.append((_key(anchor, b"<", raw[at - SIDE : at]), d, start << 32 | tag | middle - start - 1, raw[start : middle + SIZE - 1]))
+                    if middle < stop:
+                        out.append((_key(anchor, b">", raw[at + K : at + K + SIDE]), d, middle << 32 | tag | stop - middle - 1, raw[middle : stop + SIZE - 1]))
             if len(out) > 20_000:
                 yield rows()
     yield rows()
@@ -199,45 +212,68 @@ def repeated(segments: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]
     begin = np.cumsum([0, *(len(raw) + 1 for _, _, raw in segments)])
     for k, (_, _, raw) in enumerate(segments):
         where[begin[k] : begin[k] + len(raw) - SIZE + 1] = k + 1
-    begin, where = begin.tolist(), where.tolist()
+    begin = begin.tolist()
     shown, least = None, None
-    for i in suffix_order(text):
-        k = where[i]
-        if not k:
-            continue
-        d, at, _ = segments[k - 1]
-        s = (at >> 32) + i - begin[k - 1]
-        place = (d, s, s << 32 | at & 0xFFFFFF00)
-        window = text[i : i + SIZE]
-        if window != shown:
-            shown, least = window, place
-        elif place[:2] > least[:2]:
-            yield d, place[2]
-        elif place[:2] < least[:2]:
-            yield least[0], least[2]
-            least = place
+    for part in byte_order(text):
+        owner = where[part]
+        own = owner > 0
+        for i, k in zip(part[own].tolist(), owner[own].tolist()):
+            d, at, _ = segments[k - 1]
+            s = (at >> 32) + i - begin[k - 1]
+            place = (d, s, s << 32 | at & 0xFFFFF000)
+            window = text[i : i + SIZE]
+            if window != shown:
+                shown, least = window, place
+            elif place[:2] > least[:2]:
+                yield d, place[2]
+            elif place[:2] < least[:2]:
+                yield least[0], least[2]
+                least = place
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole keys of a sorted shard, sorted together until they make SHARD bytes."""
+    """Whole keys of a sorted shard, sorted together until they make SHARD bytes.
+
+    Equal segments of a key are repeats of the first of them; what differs is sorted.
+    """
     held: list[tuple[int, int, bytes]] = []
+    out: list[tuple[int, int]] = []
     size, last = 0, None
+    mine: dict[bytes, tuple[int, int]] = {}
 
     def rows() -> pa.RecordBatch:
-        found = list(repeated(held))
+        nonlocal size
+        out.extend(repeated(held) if held else ())
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["d", "at"])
+        size = 0
+        found = list(zip(*out)) or [(), ()]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["d", "at"])
+
+    def close() -> None:
+        nonlocal size
+        if len(mine) > 1:
+            held.extend((d, at, raw) for raw, (d, at) in mine.items())
+            size += sum(map(len, mine))
+        mine.clear()
 
     for batch in batches:
         for key, d, at, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "d", "at", "raw"))):
-            if key != last and size > SHARD:
-                yield rows()
-                size = 0
-            last = key
-            held.append((d, at, raw))
-            size += len(raw)
-    if held:
-        yield rows()
+            if key != last:
+                close()
+                last = key
+                if size > SHARD or len(out) > 100_000:
+                    yield rows()
+            first = mine.get(raw)
+            if first is None:
+                mine[raw] = (d, at)
+            elif (d, at >> 32) < (first[0], first[1] >> 32):
+                out.append(first)
+                mine[raw] = (d, at)
+            elif (d, at >> 32) > (first[0], first[1] >> 32):
+                out.append((d, at))
+    close()
+    yield rows()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +286,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             at = np.sort(np.array(found, np.int64))
             start = at >> 32
-            end = np.maximum.accumulate(start + (at & 255) + SIZE)
+            end = np.maximum.accumulate(start + (at & 63) + SIZE)
             new = np.r_[True, start[1:] > end[:-1]]
             low, high = start[new], end[np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]]
             kept, done = hashlib.sha256(), 0
@@ -280,13 +316,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     met = scratch.save(met, "met")
     open_, n = met.where("open"), met.count()
     heavy = open_.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("a", F.lit(True).alias("heavy"))
-    by_text = open_.join(heavy, "a", "left").groupBy("d", F.shiftright("at", 8).bitwiseAND(_TAG).alias("tag"))
+    by_text = open_.join(heavy, "a", "left").groupBy("d", F.shiftright("at", 12).bitwiseAND(_TAG).alias("tag"))
     by_text = by_text.agg(F.collect_list(F.struct("a", "at", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("runs"))
     texts = own.select("d", "tag", "text").join(_near(by_text, n), ["d", "tag"])
     decided = texts.mapInArrow(_texts, "key long, d long, at long, raw binary").repartition("key").sortWithinPartitions("key").mapInArrow(_decided, "d long, at long")
     decided = scratch.save(decided, "decided")
     found = met.where("not open").select("d", "at").union(decided)
     more = n + decided.count()
-    found = found.groupBy("d", F.shiftright("at", 8).bitwiseAND(_TAG).alias("tag")).agg(F.collect_set("at").alias("found"))
+    found = found.groupBy("d", F.shiftright("at", 12).bitwiseAND(_TAG).alias("tag")).agg(F.collect_set("at").alias("found"))
     rows = own.join(_near(found, more), ["d", "tag"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "found")
     return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
