@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.rows import without
+from plumbline.llm.rows import without_texts
 from plumbline.llm.text import word_array
 from plumbline.runtime import Scratch
 
@@ -69,12 +69,8 @@ def _packed() -> Column:
     return fp
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, start, n_words, similarity, distance)``: the best window of each document and item that match.
-
-    start counts words from 0; it is the first of the best windows that start
-    with a shared shingle or end with the text.
-    """
+def _windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``(doc_id, g, item_id, start, n, similarity, distance)`` of every window that matches; g is the hash of its text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
     items = benchmark.groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", word_array(F.col("text")).alias("w"))
@@ -86,7 +82,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = items.where(F.col("k") == k).select("item_id", "n", "k", F.explode(shingles("w", k)).alias("s"))
         own = part if own is None else own.union(part)
     if own is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, start long, n_words int, similarity double, distance int")
+        return spark.createDataFrame([], "doc_id long, g long, item_id long, start int, n int, similarity double, distance int")
     own = scratch.save(own.groupBy("item_id", "n", "k", "s").agg(F.count("*").alias("c")), "shingles")
     prints = own.groupBy("item_id").agg(*_fingerprint(F.col("c"), F.col("s"))).select("item_id", _packed().alias("item_fp"))
     prints = scratch.save(prints, "prints")
@@ -127,12 +123,20 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     indexed = windowed.join(prints, "item_id").where(F.exists(F.zip_with(blocks(F.col("fp")), blocks(F.col("item_fp")), lambda a, b: a == b), lambda x: x))
     indexed = indexed.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= RADIUS)
     total = F.col("n") - F.least("n", F.lit(SHINGLE)) + 1 + F.col("v")
-    exact = indexed.withColumn("similarity", F.col("shared") / (total - F.col("shared"))).where(F.col("shared") * (1 + SIMILAR) >= SIMILAR * total - 1e-9)
-    best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"), (-F.col("distance")).alias("d"), "n")).alias("x"))
+    return indexed.withColumn("similarity", F.col("shared") / (total - F.col("shared"))).where(F.col("shared") * (1 + SIMILAR) >= SIMILAR * total - 1e-9).select("doc_id", "g", "item_id", "start", "n", "similarity", "distance")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``(doc_id, item_id, start, n_words, similarity, distance)``: the best window of each document and item that match.
+
+    start counts words from 0; it is the first of the best windows that start
+    with a shared shingle or end with the text.
+    """
+    best = _windows(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"), (-F.col("distance")).alias("d"), "n")).alias("x"))
     return best.select("doc_id", "item_id", (-F.col("x.back")).cast("long").alias("start"), F.col("x.n").cast("int").alias("n_words"), F.col("x.similarity").alias("similarity"), (-F.col("x.d")).cast("int").alias("distance"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a match, as they are; rows with one doc_id share one verdict."""
-    hit = Scratch(docs.sparkSession, "decontam").save(matches(docs, benchmark).select("doc_id").distinct(), "hit")
-    return without(docs, hit)
+    """The documents without a match, as they are; each text of a doc_id has its own verdict."""
+    hit = Scratch(docs.sparkSession, "decontam").save(_windows(docs, benchmark).select("doc_id", "g").distinct(), "hit")
+    return without_texts(docs, hit)

@@ -14,7 +14,16 @@ def near(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among the first column of a written frame; null equals null."""
-    gone = near(ids.toDF("#id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("#id")), "left_anti")
+def _by_text(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    found = near(keys.toDF("#id", "#h"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("#id")) & (F.xxhash64(docs["text"]) == F.col("#h")), how)
+
+
+def without_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose doc_id and hash of the text are not a row of a written frame; null equals null."""
+    return _by_text(docs, keys, "left_anti")
+
+
+def among(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose doc_id and hash of the text are a row of a written frame; null equals null."""
+    return _by_text(docs, keys, "left_semi")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.rows import without
+from plumbline.llm.rows import among, without_texts
 from plumbline.llm.text import forest, words
 from plumbline.plans.components import connected_components
 from plumbline.runtime import Scratch
@@ -90,7 +90,7 @@ def fingerprints(texts: list[str | None], size: int = SHINGLE) -> np.ndarray:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = fingerprints(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(batch.column(c) for c in batch.schema.names[2:]), pa.array(prints.view(np.int64))], ["doc_id", *batch.schema.names[2:], "fp"])
 
 
 def layout(threshold: int, blocks: int) -> list[tuple[int, int, int]]:
@@ -208,6 +208,12 @@ def _compare(threshold: int):
     return run
 
 
+def _links(different: DataFrame, threshold: int, blocks: int) -> DataFrame:
+    """``(u, v)``: the reps of linked fingerprints, of rows (fp, rep)."""
+    spread = different.mapInArrow(_replicate(threshold, blocks), "anchor long, fp long, rep long, home boolean")
+    return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row; fp is the fingerprint as a signed long.
 
@@ -218,21 +224,30 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = B
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fingerprints")
     different = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "different")
-    spread = different.where("rep is not null").mapInArrow(_replicate(threshold, blocks), "anchor long, fp long, rep long, home boolean")
-    links = spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold), "u long, v long")
+    links = _links(different.where("rep is not null"), threshold, blocks)
     found = connected_components(links, label="simhash-components")
     classes = different.join(found, different["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(scratch.save(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The first document of each component, as it is; of rows with one doc_id, one."""
+    """The first document of each component, as it is; a document is a doc_id with a text, and of equal ones one row stays.
+
+    Components are those of the fingerprints themselves, so rows that share a
+    doc_id, or have none, are neither linked nor removed by that; rows without
+    an id come last, and by the hash of their text among each other.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    found = scratch.save(near_duplicates(docs), "found")
-    gone = scratch.save(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "gone")
-    kept = without(docs, gone)
-    again = scratch.save(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    prints = scratch.save(hashed.mapInArrow(_fingerprint_batches, "doc_id long, h long, fp long"), "fingerprints")
+    different = scratch.save(prints.select("fp", F.col("fp").alias("rep")).distinct(), "different")
+    linked = connected_components(_links(different, THRESHOLD, BLOCKS), label="simhash-components")
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x"))
+    groups = first.join(linked, first["fp"] == linked["node"], "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("x").alias("x"))
+    chosen = scratch.save(groups.select("x.doc_id", "x.h"), "chosen")
+    kept = among(docs, chosen)
+    copies = prints.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "h")
+    again = scratch.save(copies.join(chosen.toDF("i", "j"), F.expr("doc_id <=> i and h = j"), "left_semi"), "again")
     if again.isEmpty():
         return kept
-    twice = kept.join(again.toDF("#id"), kept["doc_id"].eqNullSafe(F.col("#id")), "left_semi")
-    return without(kept, again).unionByName(twice.dropDuplicates(["doc_id"]))
+    return without_texts(kept, again).unionByName(among(kept, again).dropDuplicates(["doc_id", "text"]))

@@ -64,6 +64,20 @@ def test_stages_keep_columns_and_handle_odd_rows(spark, tmp_path):
     assert n == 3 and set(got) == {2, 4, None} and " <email> " in got[4]
 
 
+def test_rows_that_share_an_id_or_have_none_are_removed_by_text(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choices([f"w{i}" for i in range(500)], k=80))
+    first, bare, twin, leak, other = (text() for _ in range(5))
+    rows = [(1, first), (None, first), (None, bare), (None, bare), (None, leak), (2, twin), (2, other), (2, other), (2, leak), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(0, " ".join(leak.split()[5:40]))], "item_id long, text string")
+    order = lambda x: sorted(x, key=repr)
+    kept = corpus_pipeline.simhash.deduplicate(docs)
+    assert order(map(tuple, kept.collect())) == order([(1, first), (None, bare), (2, twin), (2, other), (2, leak), (None, None)])
+    clean = corpus_pipeline.decontam.decontaminate(docs, items)
+    assert order(map(tuple, clean.collect())) == order(r for r in rows if r[1] != leak)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
