@@ -4,9 +4,10 @@ The tree's symbols are bytes: a document is its lower-cased words, each closed
 by a space, and one end symbol.  Contexts have up to ``DEPTH`` bytes.  All training
 documents are counted; a context is retained if it was seen ``SEEN`` times and
 its next symbols diverge from those of its suffix by ``DIVERGENCE`` nats over
-all its occurrences, and the ``CONTEXTS`` retained contexts that diverge most
-make the model, whose size is thus bounded (65,536 contexts, about
-1.3 million next symbols).  Distributions are smoothed toward the longest
+all its occurrences.  All retained contexts make the model, which grows with
+the text; it is cut by the last two bytes of its grams into parts of ``PART``
+next symbols, each built, broadcast and looked up by itself, and a task that
+meets more than ``HELD`` parts loads them in turn.  Distributions are smoothed toward the longest
 retained suffix by the share of different symbols (Witten-Bell), the root by
 adding one.  A token's probability by the tree is that of its bytes, each from
 the longest retained suffix of what precedes it.
@@ -29,18 +30,21 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.text import words
 from plumbline.runtime import Scratch
 
-DEPTH, SEEN, DIVERGENCE, CONTEXTS, FREQUENT = 5, 16, 20.0, 1 << 16, 1 << 18
+DEPTH, SEEN, DIVERGENCE, FREQUENT = 5, 16, 20.0, 1 << 18
+PART, HELD = (1 << 21) - 1, 2
 WARY, TRUSTED, GAIN = 0.02, 0.5, 0.5
 _END, _CHUNK = b"\n", 1 << 20
 _SPIN = np.uint64(0x9E3779B97F4A7C15)
@@ -118,7 +122,7 @@ class Table:
     """Packed keys to numbers, as arrays with open addressing; key 0 is not used."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(4 * len(keys)).bit_length())
+        bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.wrap = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, values.dtype)
         left, slot = np.arange(len(keys)), (keys * _SPIN) >> self.shift
@@ -189,8 +193,38 @@ class Tree:
         return tree
 
 
-def train(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
-    """A tree from all rows of a frame with one text column."""
+class Forest:
+    """The model in parts: cuts of the last two bytes of a gram, and the broadcast tree of each run between them."""
+
+    def __init__(self, depth: int, cuts: list[int], parts: list[Broadcast[Tree]], held: int):
+        self.depth, self.cuts, self.parts, self.held = depth, cuts, parts, held
+
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        """log10 of each gram's last byte, given the bytes before it."""
+        out, last = np.zeros(len(grams)), (grams & np.uint64(0xFFFF)).astype(np.uint16)
+        for part, low, high in zip(self.parts, self.cuts, self.cuts[1:]):
+            own = np.flatnonzero((last >= low) & (last < high))
+            for k in range(0, len(own), _CHUNK // 4):
+                rows = own[k : k + _CHUNK // 4]
+                out[rows] = part.value.score(grams[rows])
+            if len(self.parts) > self.held:
+                vars(part).pop("_value", None)  # loaded again from the executor's disk
+        return out
+
+
+def cuts(sizes: dict[int, int], part: int) -> list[int]:
+    """Bounds of runs of last two bytes with at most ``part`` next symbols, one pair of bytes at least."""
+    out, run = [0], 0
+    for pair in sorted(sizes):
+        if run and run + sizes[pair] > part:
+            out.append(pair)
+            run = 0
+        run += sizes[pair]
+    return [*out, 1 << 16]
+
+
+def train(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Forest:
+    """The model from all rows of a frame with one text column."""
     tallied = texts.mapInArrow(_tally_grams(depth), "key long, n long")
     levels: dict[int, DataFrame] = {}
     for d in range(depth, -1, -1):
@@ -205,19 +239,24 @@ def train(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("all") * F.col("all_m") / F.col("m"))).alias("gain")
         level = pairs.where(F.col("all") >= SEEN).groupBy("ctx").agg(gain, F.first("all").alias("all"), F.first("kinds").alias("kinds")).where(F.col("gain") >= DIVERGENCE).withColumn("d", F.lit(d))
         gains = level if gains is None else gains.union(level)
-    kept = scratch.save(gains.orderBy(F.desc("gain"), "d", "ctx").limit(CONTEXTS), "contexts")  # the model's size
+    kept = scratch.save(gains, "contexts")
+    own = [levels[d].join(kept.where(F.col("d") == d).select("ctx"), "ctx", "left_semi").select(F.lit(d).alias("d"), "key", "n", F.col("key").bitwiseAND(0xFFFF).alias("pair")) for d in range(1, depth + 1)]
+    grams = scratch.save(reduce(DataFrame.union, own), "grams")
+    sizes = {r["pair"]: r["count"] for r in grams.groupBy("pair").count().collect()}  # 65,536 rows at most
     root_rows = levels[0].select("key", "n").toArrow()  # 256 rows at most
     counts = np.ones(256)
     counts[root_rows["key"].to_numpy()] += root_rows["n"].to_numpy()
-    contexts, symbols = [], []
-    for d in range(1, depth + 1):
-        own = kept.where(F.col("d") == d)
-        t = own.select("ctx", "all", "kinds").toArrow()
-        contexts.append((t["ctx"].to_numpy().view(np.uint64), t["all"].to_numpy().astype(float), t["kinds"].to_numpy().astype(float)))
-        t = levels[d].join(own.select("ctx"), "ctx", "left_semi").select("key", "n").toArrow()
-        symbols.append((t["key"].to_numpy().view(np.uint64), t["n"].to_numpy().astype(float)))
-    scratch.drop(*(f"level-{d}" for d in levels), "contexts")
-    return Tree.build(depth, np.log10(counts / counts.sum()), contexts, symbols)
+    bounds, parts = cuts(sizes, PART), []
+    for low, high in zip(bounds, bounds[1:]):
+        t = kept.where(F.col("ctx").bitwiseAND(0xFF).between(low >> 8, high - 1 >> 8)).select("d", "ctx", "all", "kinds").toArrow()
+        level, *found = (t[c].to_numpy() for c in t.column_names)
+        contexts = [(found[0][level == d].view(np.uint64), *(x[level == d].astype(float) for x in found[1:])) for d in range(1, depth + 1)]
+        t = grams.where(F.col("pair").between(low, high - 1)).select("d", "key", "n").toArrow()  # PART rows at most
+        level, *found = (t[c].to_numpy() for c in t.column_names)
+        symbols = [(found[0][level == d].view(np.uint64), found[1][level == d].astype(float)) for d in range(1, depth + 1)]
+        parts.append(texts.sparkSession.sparkContext.broadcast(Tree.build(depth, np.log10(counts / counts.sum()), contexts, symbols)))
+    scratch.drop(*(f"level-{d}" for d in levels), "contexts", "grams")
+    return Forest(depth, bounds, parts, HELD)
 
 
 def closed(found: list[bytes]) -> bytes:
@@ -225,12 +264,11 @@ def closed(found: list[bytes]) -> bytes:
     return b" ".join([*found, b""])
 
 
-def token_scores(tree: Tree, found: list[list[bytes]]) -> np.ndarray:
+def token_scores(tree: Forest, found: list[list[bytes]]) -> np.ndarray:
     """log10 of each token by the tree: the words of each text, each with its space, and its end."""
     grams, starts = packed([closed(ws) for ws in found], tree.depth)
-    parts = [tree.score(grams[k : k + _CHUNK // 4]) for k in range(0, len(grams), _CHUNK // 4)]
     sizes = np.fromiter((n for ws in found for n in (*(len(w) + 1 for w in ws), 1)), np.int64)
-    return np.add.reduceat(np.concatenate(parts), np.cumsum(sizes) - sizes)
+    return np.add.reduceat(tree.score(grams), np.cumsum(sizes) - sizes)
 
 
 def mixed(base: np.ndarray, tree: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -238,13 +276,13 @@ def mixed(base: np.ndarray, tree: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.log10((1 - share) * 10.0**base + share * 10.0**tree)
 
 
-def _slices(found: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
-    """Runs of texts with about ``_CHUNK`` bytes, one text at least."""
+def _slices(found: list[list[bytes]], least: int) -> Iterator[list[list[bytes]]]:
+    """Runs of texts with about ``least`` bytes, one text at least."""
     part, size = [], 0
     for ws in found:
         part.append(ws)
         size += sum(map(len, ws)) + len(ws) + 1
-        if size >= _CHUNK:
+        if size >= least:
             yield part
             part, size = [], 0
     if part:
@@ -264,18 +302,20 @@ def score(docs: DataFrame) -> DataFrame:
     whole = log10(n + 0.5 * (v + 1))
     top = known.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()  # FREQUENT rows at most
     frequent = dict(zip((w.encode() for w in top["word"].to_pylist()), top["c"].to_pylist()))
-    model = spark.sparkContext.broadcast((train(texts, scratch), frequent, len(frequent) < size["v"]))
+    model = spark.sparkContext.broadcast((frequent, len(frequent) < size["v"]))
+    tree = train(texts, scratch)
     end = log10(ends + 0.5) - whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, common, more = model.value
+        common, more = model.value
         logs = {w: log10(c + 0.5) - whole for w, c in common.items()}
         other = np.nan if more else log10(0.5) - whole
         most = min(logs.values(), default=0.0)  # of words that are not frequent
+        least = _CHUNK if len(tree.parts) <= tree.held else 4 * _CHUNK  # for a load of each part
         entry = pa.struct([("word", pa.string()), ("tree", pa.float64()), ("share", pa.float64())])
         for batch in batches:
             given, at = batch.column("text").to_pylist(), 0
-            for found in _slices([words(t) for t in given]):
+            for found in _slices([words(t) for t in given], least):
                 tokens = [w for ws in found for w in (*ws, None)]
                 base = np.fromiter(map(logs.get, tokens, repeat(other)), float, len(tokens))
                 stop = np.cumsum([len(ws) + 1 for ws in found])

@@ -47,6 +47,21 @@ def test_edges(spark):
     assert suffixtree.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_no_context_is_cut_and_parts_change_no_score(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).select("doc_id", "text").localCheckpoint()
+    want = sorted(map(tuple, suffixtree.score(docs).collect()))
+    monkeypatch.setattr(suffixtree, "CONTEXTS", 100, raising=False)  # a bound that there was
+    monkeypatch.setattr(suffixtree, "PART", 1000, raising=False)
+    monkeypatch.setattr(suffixtree, "HELD", 1, raising=False)
+    got = sorted(map(tuple, suffixtree.score(docs).collect()))
+    assert len(got) == len(want) and all(a[:5] == b[:5] and np.allclose(a[5:], b[5:]) for a, b in zip(got, want))
+
+
+def test_cuts_hold_every_pair_once():
+    assert suffixtree.cuts({}, 5) == [0, 1 << 16]
+    assert suffixtree.cuts({7: 3, 9: 3, 300: 9, 301: 1, 302: 4}, 5) == [0, 9, 300, 301, 1 << 16]
+
+
 def test_tree_gives_a_distribution_and_longest_suffixes():
     rng = random.Random(1)
     texts = [" ".join(rng.choices(["abra", "cad", "ab", "a"], k=20)).encode() for _ in range(50)]
