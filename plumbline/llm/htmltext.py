@@ -3,11 +3,12 @@
 A page is cut into blocks at its block-level tags.  Blocks inside menus, page
 headers, footers, sidebars, notices, adverts, forms, comments, scripts and
 styles are out: by element, or by the words in ``class``, ``id`` and ``role``.
-If the page marks one article (or its main part), the blocks inside it are the
-text.  Else the first pass labels each block by its link density, its length
-and its stop-word density, and leaves short ones open; in the second pass an
-open block takes the label of its nearest decided neighbours, and a heading
-that of the block that it heads.
+If the page marks articles or its main part, only the blocks inside count.  The
+first pass labels each block by its link density, its length and its stop-word
+density, and leaves short ones open; in the second pass an open block takes the
+label of its nearest decided neighbours, and a heading that of the block that
+it heads.  One article on the page is a prior: few stop words leave its blocks
+open, and an open one is out only between blocks that are out.
 
 Broken markup never fails: unclosed quotes, tags, comments and elements end at
 the next tag or with the page.  Defined cases: a null or empty page has an
@@ -149,8 +150,8 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
-def first_pass(b: Block) -> str:
-    """good, bad or open."""
+def first_pass(b: Block, prior: bool = False) -> str:
+    """good, bad or open; prior: the block is in the page's only article."""
     if b.linked > LINKS * len(b.text):
         return "bad"
     if len(b.text) < SHORT or b.heading:
@@ -159,11 +160,11 @@ def first_pass(b: Block) -> str:
     stops = sum(t.strip(".,;:!?()\"'") in STOP_WORDS for t in tokens) / len(tokens)
     if stops >= MANY_STOPS:
         return "good"
-    return ("good" if len(b.text) > LONG else "open") if stops >= FEW_STOPS else "bad"
+    return ("good" if len(b.text) > LONG else "open") if stops >= FEW_STOPS else "open" if prior else "bad"
 
 
-def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
-    """Open blocks inherit; ties go to the block's own leaning: a heading or a longer block is text."""
+def second_pass(found: list[Block], labels: list[str], prior: bool = False) -> list[bool]:
+    """Open blocks inherit; ties go to the block's own leaning: a heading or a longer block is text, with a prior any block."""
     n, before, after = len(found), [], [None] * len(found)
     last = None
     for i in range(n):
@@ -179,6 +180,10 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
             out.append(labels[i] == "good")
             continue
         p, q = before[i], after[i]
+        if prior:
+            near = [labels[k] for k in (p, q) if k is not None]
+            out.append(not near or "good" in near)
+            continue
         if found[i].heading and q is not None:
             out.append(labels[q] == "good")
         elif p is None and q is None:
@@ -199,13 +204,12 @@ def main_text(html: str | None) -> str:
     for b in found:
         if b.group:
             sizes[b.group] = sizes.get(b.group, 0) + len(b.text)
-    if len(sizes) == 1:
-        return " ".join(b.text for b in found if b.group)
+    prior = len(sizes) == 1
     if not sizes and any(b.main for b in found):
         found = [b for b in found if b.main]
     elif sizes:
         found = [b for b in found if b.group]
-    kept = second_pass(found, [first_pass(b) for b in found])
+    kept = second_pass(found, [first_pass(b, prior) for b in found], prior)
     return " ".join(b.text for b, k in zip(found, kept) if k)
 
 

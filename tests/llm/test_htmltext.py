@@ -34,6 +34,13 @@ def test_comments_and_adverts_inside_an_article():
     assert main_text(page) == f"T {PROSE.strip()} End."
 
 
+def test_link_lists_inside_an_article_are_out():
+    links = "".join(f"<li><a href={k}>Another story of the day {k}</a></li>" for k in range(4))
+    page = f"<article><h1>T</h1><p>{PROSE * 2}</p><p>Zwirn Alpha Beta Gamma.</p><p>{'qua zix ' * 30}</p><p>{PROSE * 2}</p><ul>{links}<li>Share</li>{links}</ul></article>"
+    want = f"T {PROSE * 2}Zwirn Alpha Beta Gamma. {'qua zix ' * 30}{PROSE * 2}"
+    assert main_text(page) == " ".join(want.split())
+
+
 def test_broken_markup():
     for page in (None, "", "<", "<p", "<a '", "<!-- x", "<script>x", "</p></div>", "<nav><li>x", "a < b", '<a "<b>', "&am", "<p>&amp", "<" * 5000, "<a '" * 5000, "<div>" * 5000):
         assert isinstance(main_text(page), str)
