@@ -151,6 +151,13 @@ def scan_rename_group(spark, sf_dir):
     return l.occ.where("symbol_ord < 50").join(l.docs.where("not (generated or readonly or dependency_source)"), "doc_ord").select("symbol_ord", "doc_ord", "ps", "pe")
 
 
+@query("posting", "select symbol_ord, doc_ord, ps, pe from posting where not (generated or readonly or dependency_source)")
+def scan_rename_groups(spark, sf_dir):
+    """The same of every symbol."""
+    l = L(spark, sf_dir)
+    return l.occ.join(l.docs.where("not (generated or readonly or dependency_source)"), "doc_ord").select("symbol_ord", "doc_ord", "ps", "pe")
+
+
 @query("occ", "select symbol_ord, ps, pe from occ where doc_ord = 3")
 def scan_doc(spark, sf_dir):
     return L(spark, sf_dir).occ.where("doc_ord = 3").orderBy("ps", "pe", "seq").select("symbol_ord", "ps", "pe")
@@ -219,6 +226,13 @@ def ref_union_def(spark, sf_dir):
     return rows.where("not is_def").select("uri", "ps", "pe").unionByName(rows.where("is_def").select("uri", "ps", "pe"))
 
 
+@query("posting", "select symbol_ord, uri, ps, pe from posting")
+def ref_union_defs(spark, sf_dir):
+    """The same of every symbol."""
+    rows = L(spark, sf_dir).postings
+    return rows.where("not is_def").select("symbol_ord", "uri", "ps", "pe").unionByName(rows.where("is_def").select("symbol_ord", "uri", "ps", "pe"))
+
+
 @query("posting", "select symbol_ord, min((target_ord, doc_ord))::struct(t int, d bigint).d doc_ord from posting where is_def or ps % 2 = 0 group by symbol_ord")
 def first_defining_doc(spark, sf_dir):
     rows = L(spark, sf_dir).postings.where("is_def or ps % 2 = 0")
@@ -398,6 +412,16 @@ def incoming_calls(spark, sf_dir):
     return found.groupBy("doc", F.coalesce("enclosing", F.lit("")).alias("caller")).agg(F.count("*").alias("n"), F.count_distinct("at").alias("sites"))
 
 
+@query("entry", """
+select r.doc, r.callee, coalesce(e.symbol, '') caller, count(*) n, count(distinct r."at") sites from (select *, row_number() over () k from ref) r
+asof left join (select doc, start, max(symbol) symbol from entry group by doc, start) e on r.doc = e.doc and r."at" >= e.start group by all""")
+def incoming_calls_of_all(spark, sf_dir):
+    """The same of every callee."""
+    words = p.words(spark, sf_dir)
+    found = calls.enclosing(_entries(words), _refs(words))
+    return found.groupBy("doc", "callee", F.coalesce("enclosing", F.lit("")).alias("caller")).agg(F.count("*").alias("n"), F.count_distinct("at").alias("sites"))
+
+
 @query("entry", """
 , e2 as (select *, lang || '/' || left(tok, 1) || '#' mid from (select *, split_part(symbol, '/', 1) lang, substr(symbol, instr(symbol, '/') + 1) tok from entry))
 select a.doc, a.symbol, b.symbol parent, case when b.symbol is null then 0 else 2 end depth from e2 a left join e2 b on a.doc = b.doc and b.symbol = a.mid and a.symbol <> b.symbol""")
@@ -412,6 +436,12 @@ def toplevels(spark, sf_dir):
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy("start", "symbol"))).where("k <= 5").select("doc", "symbol")
 
 
+@query("entry", "select doc, symbol from entry")
+def all_toplevels(spark, sf_dir):
+    """Every top-level symbol of each document."""
+    return _entries(p.words(spark, sf_dir)).select("doc", "symbol")
+
+
 @query("", r"""
 with l as (select doc_id, unnest(range(1, len(ls) + 1)) - 1 line, unnest(ls) content from (select doc_id, string_split(text, chr(10)) ls from documents))
 select doc_id, line from l where not regexp_matches(content, '^\s*(The|De|La|import)($|[^\w$])')""")
@@ -602,6 +632,14 @@ def token_delta(spark, sf_dir):
     return text.delta_encode(p.words(spark, sf_dir).where("doc_id < 50").select("doc_id", F.col("line").cast("long").alias("line"), "start_char", F.length("token").alias("length"))).drop("length")
 
 
+@query("word", """
+select doc_id, line, start_char, (line - coalesce(lag(line) over w, 0))::int delta_line, (case when line = coalesce(lag(line) over w, 0) then start_char - coalesce(lag(start_char) over w, 0) else start_char end)::int delta_char
+from word window w as (partition by doc_id order by line, start_char, length(token))""")
+def token_deltas(spark, sf_dir):
+    """The same of every document."""
+    return text.delta_encode(p.words(spark, sf_dir).select("doc_id", F.col("line").cast("long").alias("line"), "start_char", F.length("token").alias("length"))).drop("length")
+
+
 @query()
 def token_splice(spark, sf_dir):
     """The one edit between each document and the next of its source; compared with a brute-force version in the tests."""
@@ -640,3 +678,13 @@ def token_counts(spark, sf_dir):
     rows = p.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("content"))
     words = rows.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit("([A-Za-z]+)"), F.lit(1))).alias("word")).where(F.col("word").isin("The", "der", "que"))
     return words.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("line", """
+, tok as (select doc_id, line, unnest(regexp_extract_all(content, '[A-Za-z]+')) t from line)
+select t as word, count(*) n, count(distinct doc_id) docs from tok group by t""")
+def token_counts_of_all(spark, sf_dir):
+    """Occurrences and documents of every word."""
+    rows = p.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("content"))
+    words = rows.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit("([A-Za-z]+)"), F.lit(1))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
