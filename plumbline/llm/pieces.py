@@ -7,9 +7,11 @@ at the end and extends partial segmentations to the left; the forward score of
 where one has come to is exactly what it can still gain, so segmentations leave
 the agenda in order of their scores, and the first N are the N best.
 
-No piece of the files here holds a word mark behind another character, so words
-are independent in the lattice: the search runs for each different word, and a
-worker keeps up to ``CACHED`` of them.  The N best of a text then need, beside
+No piece of the files here holds a word mark behind another character, and a
+character that no piece holds stands alone, so what lies between is independent
+in the lattice: the search runs for each different word, and a worker keeps up
+to twice ``CACHED`` of them.  Texts are taken, and rows given out, in slices of
+about ``_SLICE`` bytes.  The N best of a text then need, beside
 the best of every word, only the N - 1 words whose second best costs least:
 another word would give N texts that are at least as good without it.  The
 combination is exact, up to the choice among equal scores.
@@ -35,9 +37,9 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from bisect import insort
+from collections.abc import Iterator, Sequence
 from functools import cache
-from heapq import heappop, heappush
 from math import log
 
 import numpy as np
@@ -45,11 +47,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plumbline.llm.suffixtree import Table
+from plumbline.llm.text import sliced
 
-N_BEST, CACHED, UNKNOWN, UNIT = 4, 1_000_000, 10.0, 1_000_000
+N_BEST, CACHED, UNKNOWN, UNIT = 4, 150_000, 10.0, 1_000_000
 MARK = "▁"
 _NONE = -(1 << 60)
-_STEP, _ARRAYS, _CELLS, _SLICE = np.uint64(0x9E3779B97F4A7C15), 32, 60_000, 4_000_000
+_STEP, _ARRAYS, _CELLS, _SLICE = np.uint64(0x9E3779B97F4A7C15), 32, 60_000, 2_000_000
+#: Characters of a word whose edges are made in stretches; of a word that is kept; bytes of ids that end a generation.
+_FAR, _KEPT, _LARGE = 4096, 64, 1 << 16
 
 
 class Model:
@@ -74,8 +79,9 @@ class Model:
             self.spell[i] = sp.id_to_piece(i).replace(MARK, " ").encode()
         for b, i in self.bytes.items():
             self.spell[i] = bytes([b])
+        known = "".join(map(re.escape, sorted({c for p in self.pieces for c in p} - {MARK})))
         apart = all(MARK not in p.lstrip(MARK) for p in self.pieces)
-        self.chunks = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if apart else "(?s:.+)").findall
+        self.chunks = re.compile(f"{MARK}+[{known}]*|[{known}]+|[^{MARK}{known}]" if apart else f"(?:{MARK}|[{known}])+|[^{MARK}{known}]").findall
         self.unk = sp.unk_id()
         keys = np.array([self.hash(p) for p in self.pieces], np.uint64)
         self.table = Table(keys, np.arange(len(keys)))
@@ -102,19 +108,45 @@ class Model:
             out += [known[0]] if known else [self.bytes.get(x, self.unk) for x in word[a:b].encode()]
         return out
 
-    def edges(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end, the (start, score) of every piece that ends there."""
-        get, n, out = self.pieces.get, len(word), []
-        for j in range(1, n + 1):
-            here = []
-            for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
-                known = get(word[i:j])
-                if known:
-                    here.append((i, known[1]))
-                elif i == j - 1:
-                    here.append((i, self.unknown))
-            out.append(here)
-        return out
+    def edges(self, word: str) -> Edges:
+        """For each end less one, the (start, score) of every piece that ends there; a character without a piece stands alone."""
+        return _Far(self, word) if len(word) > _FAR else _known_edges(self, word, 0, len(word))
+
+
+Edges = Sequence[list[tuple[int, int]]]
+
+
+def _known_edges(of: Model, word: str, low: int, high: int) -> list[list[tuple[int, int]]]:
+    """The edges of the ends above ``low`` and up to ``high``."""
+    get, out = of.pieces.get, []
+    for j in range(low + 1, high + 1):
+        here = []
+        for i in range(j - 1, max(-1, j - 1 - of.longest), -1):
+            known = get(word[i:j])
+            if known:
+                here.append((i, known[1]))
+            elif i == j - 1:
+                here.append((i, of.unknown))
+        out.append(here)
+    return out
+
+
+class _Far(Sequence):
+    """The edges of a long word, made for one stretch of ``_FAR`` ends at a time."""
+
+    def __init__(self, of: Model, word: str):
+        self.of, self.word, self.low, self.held = of, word, -1, []
+
+    def __len__(self) -> int:
+        return len(self.word)
+
+    def __getitem__(self, j: int) -> list[tuple[int, int]]:
+        if j >= len(self.word):
+            raise IndexError(j)
+        if j // _FAR != self.low:
+            self.low = j // _FAR
+            self.held = _known_edges(self.of, self.word, j - j % _FAR, min(len(self.word), j - j % _FAR + _FAR))
+        return self.held[j % _FAR]
 
 
 @cache
@@ -122,9 +154,9 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def forward(edges: list[list[tuple[int, int]]]) -> tuple[list[int], list[int]]:
+def forward(edges: Edges) -> tuple[array, array]:
     """Best score up to each position, and where the last piece of it starts."""
-    best, back = [0], [0]
+    best, back = array("q", [0]), array("q", [0])
     for here in edges:
         top, at = _NONE, 0
         for i, s in here:
@@ -135,86 +167,103 @@ def forward(edges: list[list[tuple[int, int]]]) -> tuple[list[int], list[int]]:
     return best, back
 
 
-def second(edges: list[list[tuple[int, int]]], best: list[int], back: list[int]) -> int | None:
+def path(back: array) -> list[int]:
+    """Positions of the best segmentation, from 0 to the end."""
+    cuts = [len(back) - 1]
+    while cuts[-1]:
+        cuts.append(back[cuts[-1]])
+    return cuts[::-1]
+
+
+def second(edges: Edges, best: array, back: array) -> int | None:
     """Score of the second best segmentation: the best over pieces that the best one lacks."""
     n = len(edges)
-    after = [_NONE] * n + [0]
-    own, j = set(), n
-    while j:
-        own.add((back[j], j))
-        j = back[j]
-    top = None
+    after = array("q", [_NONE]) * n + array("q", [0])
+    own, top = n, None  # own: the end of the best one's piece that lies at or before j
     for j in range(n, 0, -1):
         if after[j] > _NONE:
             for i, s in edges[j - 1]:
                 if after[j] + s > after[i]:
                     after[i] = after[j] + s
-                if (i, j) not in own and (top is None or best[i] + s + after[j] > top):
+                if (own != j or back[j] != i) and (top is None or best[i] + s + after[j] > top):
                     top = best[i] + s + after[j]
+        if own == j:
+            own = back[j]
     return top
 
 
-def n_best(edges: list[list[tuple[int, int]]], best: list[int], n: int) -> list[tuple[int, list[int]]]:
-    """The n best (score, positions), by A* from the end with the forward scores as heuristic."""
-    agenda: list[tuple[int, int, int, int, tuple | None]] = []
-    heappush(agenda, (-best[-1], len(edges), 0, 0, (len(edges), None)))
-    out, order = [], 0
-    while agenda and len(out) < n:
-        _, at, _, done, path = heappop(agenda)
+def n_best(edges: Edges, best: array, n: int) -> Iterator[tuple[int, int]]:
+    """(score, number of pieces) of the n best, by A* from the end with the forward scores as heuristic.
+
+    Every entry of the agenda stands for a segmentation of just its score and
+    no two for the same one, so as many entries as are still wanted suffice.
+    """
+    agenda, given, order = [(-best[-1], 0, len(edges), 0, 0)], 0, 0
+    while agenda and given < n:
+        _, _, at, done, size = agenda.pop(0)
         if not at:
-            cuts = []
-            while path:
-                cuts.append(path[0])
-                path = path[1]
-            out.append((done, cuts))
+            given += 1
+            yield done, size
             continue
         for i, s in edges[at - 1]:
-            order += 1
-            heappush(agenda, (-(best[i] + s + done), i, order, done + s, (i, path)))
-    return out
+            order -= 1  # of equal ones the newest goes first, so that one way is walked to its end
+            entry = (-(best[i] + s + done), order, i, done + s, size + 1)
+            if len(agenda) < n - given or entry < agenda[-1]:
+                insort(agenda, entry)
+                del agenda[n - given :]
 
 
 class Words(dict):
-    """Word to its row: score, cost of its second best, number of pieces, ids."""
+    """Word to its row: score, cost of its second best, number of pieces, ids.
+
+    Two generations of ``CACHED`` words of up to ``_KEPT`` characters each: words
+    that are met again move to the new one, the old one is dropped when that is full.
+    """
 
     def __init__(self, of: Model):
-        self.of = of
+        self.of, self.old = of, {}
         self.reset()
 
     def reset(self) -> None:
+        """Starts a generation."""
+        self.old = {w: (self.scores[k], self.costs[k], self.rows[k]) for w, k in self.items() if len(w) <= _KEPT}
         self.clear()
-        self.scores, self.costs, self.sizes, self.rows, self.others = array("q"), array("q"), array("i"), [], {}
+        self.scores, self.costs, self.sizes, self.rows, self.others, self.large = array("q"), array("q"), array("i"), [], {}, False
 
     def add(self, word: str, score: int, cost: int, ids: bytes) -> int:
         self.scores.append(score)
         self.costs.append(cost)
         self.sizes.append(len(ids) // 4)
         self.rows.append(ids)
-        self[word] = len(self.rows) - 1
-        return self[word]
+        self.large |= len(ids) > _LARGE
+        k = self[word] = len(self.rows) - 1
+        return k
 
     def __missing__(self, word: str) -> int:
+        if word in self.old:
+            return self.add(word, *self.old[word])
         edges = self.of.edges(word)
         best, back = forward(edges)
-        cuts = [len(word)]
-        while cuts[-1]:
-            cuts.append(back[cuts[-1]])
         other = second(edges, best, back)
-        return self.add(word, best[-1], -1 if other is None else best[-1] - other, np.array(self.of.ids(word, cuts[::-1]), "<i4").tobytes())
+        return self.add(word, best[-1], -1 if other is None else best[-1] - other, np.array(self.of.ids(word, path(back)), "<i4").tobytes())
 
     def alternatives(self, word: str, n: int) -> list[tuple[int, int]]:
         """Score and size of the word's n best, each against its best."""
-        if (word, n) not in self.others:
+        found = self.others.get((word, n))
+        if found is None:
             edges, at = self.of.edges(word), self[word]
-            own = [(s - self.scores[at], len(self.of.ids(word, cuts)) - self.sizes[at]) for s, cuts in n_best(edges, forward(edges)[0], n)]
-            self.others[word, n] = [(0, 0), *own[1:]]
-        return self.others[word, n]
+            own = [(s - self.scores[at], size - self.sizes[at]) for s, size in n_best(edges, forward(edges)[0], n)]  # one id a piece: a character without a piece has no other way
+            found = self.others[word, n] = [(0, 0), *own[1:]]
+        return found
 
     def fill(self, words: set[str]) -> None:
         """Adds new words, those of one length at a time as arrays; long ones one by one."""
         by_size: dict[int, list[str]] = {}
         for w in words:
-            by_size.setdefault(len(w), []).append(w)
+            if w in self.old:
+                self[w]
+            else:
+                by_size.setdefault(len(w), []).append(w)
         for size, same in by_size.items():
             if size > _ARRAYS or len(same) < 8:
                 for w in same:
@@ -299,20 +348,13 @@ def segment(text: str, words: Words, n: int, found: list[str] | None = None) ->
 
 
 def segments(texts: list[str], words: Words, n: int) -> Iterator[tuple[bytes, list[int], list[int]]]:
-    """``segment`` of each text; what is new in about ``_SLICE`` characters is added together."""
-    k = 0
-    while k < len(texts):
-        if len(words) > CACHED:
-            words.reset()
-        part, size = [], 0
-        while k < len(texts) and size < _SLICE:
-            part.append(texts[k])
-            size += len(texts[k])
-            k += 1
-        found = [words.of.split(t) for t in part]
-        words.fill(set().union(*found) - words.keys())
-        for t, ws in zip(part, found):
-            yield segment(t, words, n, ws)
+    """``segment`` of each text; what is new in all of them is added together."""
+    if len(words) > CACHED or words.large:
+        words.reset()
+    found = [words.of.split(t) for t in texts]
+    words.fill(set().union(*found) - words.keys())
+    for t, ws in zip(texts, found):
+        yield segment(t, words, n, ws)
 
 
 def decode(ids: list[int], of: Model) -> str:
@@ -324,7 +366,7 @@ def decode(ids: list[int], of: Model) -> str:
 _workers: dict[str, Words] = {}
 
 
-def encode(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, file: str, n: int = N_BEST, ids: bool = False) -> DataFrame:
     """``(doc_id, n_pieces, best_score, ids_crc32, n_best, nbest_scores, nbest_pieces, decoded)`` of every row, and ``ids`` if wanted.
 
     ids_crc32 is the checksum of the best ids as 32-bit little-endian numbers;
@@ -332,8 +374,8 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = False) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _workers.setdefault(path, Words(model(path)))
-        for batch in batches:
+        words = _workers.setdefault(file, Words(model(file)))
+        for batch in sliced(batches, size=_SLICE):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             found = [(t, *x) for t, x in zip(texts, segments(texts, words, n))]
             lists = [np.frombuffer(raw, "<i4") for _, raw, _, _ in found]

@@ -62,3 +62,26 @@ def test_query_round_trip(spark, tmp_path, monkeypatch):
     text = {r["doc_id"]: r["text"] for r in pieces.decode_frame(found, PATH).collect()}
     assert text == {0: "", 1: "", 2: "x" * 60_000, 3: "a b", 4: "word " * 20_000}
     assert pieces.encode(df.limit(0), PATH).count() == 0
+
+
+def test_long_word_by_stretches_equals_the_whole(monkeypatch):
+    m, rng = pieces.model(PATH), random.Random(9)
+    text = "".join(rng.choices("aeinorst", k=3000)) + "é日x" * 50
+    whole = pieces.segment(text, pieces.Words(m), 4)
+    monkeypatch.setattr(pieces, "_FAR", 64)
+    assert pieces.segment(text, pieces.Words(m), 4) == whole
+
+
+def test_text_of_a_million_characters_without_a_space():
+    m, text = pieces.model(PATH), "x0Qz" * 250_000
+    raw, scores, _ = pieces.segment(text, pieces.Words(m), 4)
+    assert pieces.decode(__import__("numpy").frombuffer(raw, "<i4").tolist(), m) == text and len(scores) == 4
+
+
+def test_generations_give_what_one_gives(monkeypatch):
+    m, rng = pieces.model(PATH), random.Random(8)
+    texts = [" ".join("".join(rng.choices("aeinot", k=rng.randint(1, 6))) for _ in range(60)) for _ in range(30)]
+    whole = list(pieces.segments(texts, pieces.Words(m), 4))
+    monkeypatch.setattr(pieces, "CACHED", 50)
+    words = pieces.Words(m)
+    assert [x for t in texts for x in pieces.segments([t], words, 4)] == whole
