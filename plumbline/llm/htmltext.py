@@ -7,7 +7,9 @@ If the page marks articles or its main part, only the blocks inside count.  The
 first pass labels each block by its link density, its length and its stop-word
 density, and leaves short ones open; in the second pass an open block takes the
 label of its nearest decided neighbours, and a heading that of the block that
-it heads.  One article on the page is a prior: few stop words leave its blocks
+it heads.  The thresholds of the density are low
+because the lists of stop words hold only the few dozen commonest of each
+language.  One article on the page is a prior: few stop words leave its blocks
 open, and an open one is out only between blocks that are out.
 
 Broken markup never fails: unclosed quotes, tags, comments and elements end at
@@ -20,12 +22,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.2, 70, 200, 0.30, 0.32
+from plumbline.llm.text import sliced
+
+LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.2, 70, 200, 0.10, 0.18
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -51,6 +56,11 @@ _TAG = re.compile(r"""<(?:!--|[!?][^>]*>?|(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']++|"
 _MARK = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
+@cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}", re.I | re.A)
+
+
 def unwanted(tag: str, marks: str, inside: bool) -> bool:
     """Is an element out, by its tag and attributes? inside: an article that is already open."""
     if tag in OUT or tag == "header" and not inside:
@@ -80,7 +90,8 @@ class Block:
 
 def blocks(html: str) -> list[Block]:
     """The blocks with text that are not out, in page order."""
-    low, found = html.lower(), []
+    found: list[Block] = []
+    never: set[str] = set()  # elements that no end tag closes from here on
     at, articles, groups, main, link, heading = 0, 0, 0, 0, 0, False
     skip, depth = "", 0
     now = Block(0, False, False)
@@ -92,6 +103,12 @@ def blocks(html: str) -> list[Block]:
             found.append(now)
         now = Block(groups if articles else 0, main > 0, heading)
 
+    def closing_at(tag: str) -> int:
+        m = None if tag in never else _closing(tag).search(html, at)
+        if not m:
+            never.add(tag)
+        return m.start() if m else -1
+
     end = len(html)
     while at < end:
         m = _TAG.search(html, at)
@@ -113,7 +130,7 @@ def blocks(html: str) -> list[Block]:
         closing, tag = m[1] == "/", m[2].lower()
         if tag in RAW:
             if not closing and not m[3].endswith("/>"):
-                stop = low.find(f"</{tag}", at)
+                stop = closing_at(tag)
                 if stop < 0:
                     at = end if tag in ("script", "style") else at
                 else:
@@ -128,7 +145,7 @@ def blocks(html: str) -> list[Block]:
                     if not closing:
                         at = m.start()
                 continue
-            if not (skip in OPEN_ENDED and tag in BLOCKS and tag != "br" or tag in ("article", "main") and not closing and low.find(f"</{skip}", at) < 0):
+            if not (skip in OPEN_ENDED and tag in BLOCKS and tag != "br" or tag in ("article", "main") and not closing and closing_at(skip) < 0):
                 continue
             skip = ""
         if not closing and tag not in VOID and not m[3].endswith("/>") and unwanted(tag, m[3], articles > 0):
@@ -214,7 +231,7 @@ def main_text(html: str | None) -> str:
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "html"):
         texts = [main_text(x) for x in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import words
+from plumbline.llm.rows import near
+from plumbline.llm.text import sliced, words
 from plumbline.runtime import Scratch
 
 MIN_WORDS, REPEAT_SHARE, HOST_RATE, SPARE = 50, 50, 0.5, 1
@@ -78,7 +79,7 @@ def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns of every row, and after them the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "t"):
             rows = [measure(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             found = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(_COUNTS))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [f"c{k}" for k in range(batch.num_columns - 1 + len(found))])
@@ -103,31 +104,26 @@ def host_verdicts(counted: DataFrame) -> DataFrame:
     return hosts.select("host", ((mean * weight + F.col("f")) / (weight + F.col("n")) > HOST_RATE).alias("bad"))
 
 
-def judge(docs: DataFrame, columns: list[str], host: str = "source", keep: bool = False) -> DataFrame:
+def judge(docs: DataFrame, columns: list[str], host: str = "source") -> DataFrame:
     """The given columns and, each with ``#`` before its name, the counts, ``base_failed`` and ``kept`` of every row.
 
-    With ``keep`` the counts are written once in the shared folder; without
-    it they are made twice, which suits columns as wide as the text.
+    Columns and counts are written once in the shared folder; the hosts' sums
+    and the join with their verdicts read them there, so no text is measured twice
+    or shuffled.
     """
     k = len(columns)
     rows = measured(docs, [*columns, host])
     rows = rows.withColumnsRenamed({f"c{k}": "#host"} | {f"c{k + 1 + i}": f"#{c}" for i, c in enumerate(_COUNTS)})
     rows = rows.withColumn("#host", F.coalesce("#host", F.lit(""))).withColumn("#base_failed", base_failed("#n_words", "#n_repeat_words"))
-    if keep:
-        rows = Scratch(docs.sparkSession, "quality").save(rows, "counts")
-    light = rows if keep else judge_input(docs, host)
-    hosts = host_verdicts(light.select(F.col("#host").alias("host"), (F.col("#base_failed") | (F.col("#n_soft") > SPARE)).alias("failed")))
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.save(rows, "counts")
+    hosts = host_verdicts(rows.select(F.col("#host").alias("host"), (F.col("#base_failed") | (F.col("#n_soft") > SPARE)).alias("failed")))
+    hosts = near(scratch.save(hosts, "hosts"))
     rows = rows.join(hosts.withColumnsRenamed({"host": "#its", "bad": "#bad"}), F.col("#host") == F.col("#its"), "left")
     kept = ~F.col("#base_failed") & (F.col("#n_soft") <= F.when(F.coalesce("#bad", F.lit(False)), 0).otherwise(SPARE))
     return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), *(f"#{c}" for c in _COUNTS), "#base_failed", kept.alias("#kept"))
 
 
-def judge_input(docs: DataFrame, host: str) -> DataFrame:
-    """Host and counts of every row."""
-    rows = measured(docs, [host]).withColumnsRenamed({"c0": "#host"} | {f"c{1 + i}": f"#{c}" for i, c in enumerate(_COUNTS)})
-    return rows.withColumn("#host", F.coalesce("#host", F.lit(""))).withColumn("#base_failed", base_failed("#n_words", "#n_repeat_words"))
-
-
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, as they are."""
     return judge(docs, docs.columns).where("`#kept`").select(*docs.columns)

@@ -49,7 +49,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.quality import judge
 
-    found = judge(_table(spark, sf_dir, "documents"), ["doc_id"], keep=True)
+    found = judge(_table(spark, sf_dir, "documents"), ["doc_id"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return found.select("doc_id", *(F.col(f"#{c}").alias(c) for c in names))
 

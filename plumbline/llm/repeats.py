@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.induced import byte_order
+from plumbline.llm.text import sliced
 from plumbline.runtime import Scratch
 
 SIZE, K, SIDE, HEAVY, PART, SHARD = 100, 40, 30, 1 << 16, 1 << 20, 1 << 20
@@ -110,7 +111,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
         return pa.RecordBatch.from_arrays([pa.array(again), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(at)], ["done", "a", "c", "d", "at"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         for d, tag, text in zip(batch.column("d").to_pylist(), batch.column("tag").to_pylist(), batch.column("text").to_pylist()):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             for low in range(0, len(raw) - SIZE + 1, PART):
@@ -180,7 +181,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], ["key", "d", "at", "raw"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         for d, text, found in zip(batch.column("d").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
             raw = (text or "").encode()
             for r in found:
@@ -277,7 +278,7 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
             raw = (text or "").encode()

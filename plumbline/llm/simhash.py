@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.rows import among, without_texts
-from plumbline.llm.text import forest, words
+from plumbline.llm.text import forest, sliced, words
 from plumbline.plans.components import connected_components
 from plumbline.runtime import Scratch
 
@@ -88,7 +88,7 @@ def fingerprints(texts: list[str | None], size: int = SHINGLE) -> np.ndarray:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         prints = fingerprints(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(batch.column(c) for c in batch.schema.names[2:]), pa.array(prints.view(np.int64))], ["doc_id", *batch.schema.names[2:], "fp"])
 
