@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from plumbline.llm.pii import find, redact
 from plumbline.llm.queries import op5_pii
@@ -28,6 +29,77 @@ def base(text):
     return sorted(out)
 
 
+LIKE = {
+    "email": r"[A-Za-z0-9._%+-]+(?:@|\[at\]|\(at\))[A-Za-z0-9.\[\]()-]+",
+    "ip": r"[0-9]{1,3}(?:[.:_-][0-9]{1,3}){3}|[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){3,7}",
+    "card": r"[0-9](?:[.\x20-]?[0-9]){11,18}",
+    "phone": r"\(?[0-9]{2,4}\)?[\x20./-]?[0-9]{3,4}[\x20./-]?[0-9]{3,4}",
+}
+GAP = r"[\x20\x09-\x0D]"
+PUNCT = re.compile(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+")
+FIFTH = r"""["']([A-Za-z0-9_+/=-]{32,}+)(?=["'])"""
+LIKE_FIFTH = rf"""(?:(?<={GAP})|(?<={GAP}["']))(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{{16,}}+(?=["'\x20\x09-\x0D.,;:!?]|$)"""
+
+
+def plain(text):
+    return re.sub("[1-9]", "0", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+
+
+def left_of(text, last, start):
+    before = re.sub("[\"']$", "", plain(text[last:start]))
+    words = [w for w in re.split(f"{GAP}+", before) if w]
+    if not words or not re.search(f"{GAP}$", before):
+        return ""
+    return words[-1] if not PUNCT.fullmatch(words[-1]) else " ".join(words[-2:])
+
+
+def brute(texts):
+    """All spans of each different (id, text), by plain loops over the whole corpus."""
+    secret = lambda h: re.search("[0-9]", h) and re.search("[A-Za-z]", h)
+    rows, kinds = {}, [*PATTERNS, "secret"]
+    for i, t in set(texts):
+        t, found, own = t or "", {}, base(t)
+        for n, k in enumerate(kinds):
+            seeds = PATTERNS.get(k, FIFTH)
+            like = LIKE_FIFTH if k == "secret" else rf"(?<={GAP})(?:{LIKE[k]})(?=[\x20\x09-\x0D.,;:!?]|$)"
+            for score, p in ((1.0, seeds), (0.0, like)):
+                last = 0
+                for m in re.finditer(p, t):
+                    g = 1 if k == "secret" and score else 0
+                    s, e, h = m.start(g), m.end(g), m[g]
+                    valid = (s, n, k, e) in own if k != "secret" else secret(h)
+                    if valid or not score and k != "secret":
+                        key = (n, s, e)
+                        if key not in found or found[key][0] < score:
+                            found[key] = (score, left_of(t, last, s), h)
+                    last = e
+        touching = lambda n, s, e: any(a < e and s < b for a, _, _, b in own)
+        rows[i, t] = {x: v for x, v in found.items() if v[0] and x[0] < 4 or not touching(*x)}
+    met, graph = Counter(), {}
+    for _, t in texts:
+        words = [w for w in re.split(f"{GAP}+", plain(t or "")) if w]
+        met.update(words)
+        met.update(f"{a} {b}" for a, b in zip(words, words[1:]) if PUNCT.fullmatch(b))
+    for found in rows.values():
+        for (n, _, _), (score, left, h) in found.items():
+            if left:
+                was = graph.get((n, left, h), (0.0, 0))
+                graph[n, left, h] = (max(was[0], score), was[1] + 1)
+    scored, patterns = {x: v[0] for x, v in graph.items()}, {}
+    for _ in range(60):
+        sums, counts = Counter(), Counter()
+        for (n, left, h), (_, c) in graph.items():
+            sums[n, left] += c * scored[n, left, h]
+            counts[n, left] += scored[n, left, h] >= 0.8
+        patterns = {x: s / max(met[x[1]], s) for x, s in sums.items() if counts[x] >= 3 and s / max(met[x[1]], s, 1) >= 0.8}
+        miss = {}
+        for n, left, h in graph:
+            if (n, left) in patterns:
+                miss[n, h] = miss.get((n, h), 1.0) * max(1 - patterns[n, left], 1e-9)
+        scored = {x: max(v[0], 1 - miss.get((x[0], x[2]), 1.0)) for x, v in graph.items()}
+    return {x: ",".join(f"{kinds[n]}:{s}:{e}" for s, n, e in sorted((s, n, e) for (n, s, e), (score, left, _) in found.items() if score and n < 4 or (n, left) in patterns)) for x, found in rows.items()}
+
+
 def check(got, texts):
     assert len(got) == len(texts)
     for r in got:
@@ -40,7 +112,12 @@ def check(got, texts):
 
 def test_real_rows(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
-    check(op5_pii(spark, "/root/testdata/sf0.01").collect(), texts)
+    got = op5_pii(spark, "/root/testdata/sf0.01").collect()
+    check(got, texts)
+    want = brute(list(texts.items()))
+    assert all(r["spans"] == want[r["doc_id"], texts[r["doc_id"]] or ""] for r in got)
+    assert all((r["n_secret"] > 0) == bool(re.search(r' token = "[0-9a-f]{40}"', texts[r["doc_id"]])) for r in got) and sum(r["n_secret"] for r in got) > 5
+    assert all(r["n_spans"] == len(r["spans"].split(",")) * (r["spans"] != "") for r in got)
 
 
 def test_random_rows(spark):
@@ -67,5 +144,27 @@ def test_bootstrapping_finds_what_follows_confident_words(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out if r["text"] is not None)
 
 
+def test_long_words_before_a_span_and_chains_of_promotions(spark):
+    word, rows = "x" * 71, []
+    rows += [(k, f"a {word}: +1 (212) 555-{7000 + k} b") for k in range(12)] + [(50, f"a {word}: 212 555 7788 b")]
+    # Numbers that one pattern promotes make the next pattern confident, five times over.
+    for step in range(5):
+        rows += [(100 + 10 * step + k, f"word{'abcdef'[step + d]}: 212 555 {1000 + 10 * (step - 1 + d) + k} z") for d in (0, 1) for k in range(3)]
+    rows += [(200 + k, f"worda: +1 212 555 {2000 + k} z") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    got = find(df).collect()
+    assert all(r["spans"] in [want[i, t] for i, t in rows if i == r["doc_id"]] for r in got)
+    assert next(r for r in got if r["doc_id"] == 50)["n_spans"] == 1
+
+
+def test_secrets_only_after_confident_words(spark):
+    key = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    rows = [(k, f'set api_key = "{key(k)}" here') for k in range(9)] + [(20, "set api_key = AbcDef0123456789xyz now"), (21, f'see "{key(21)}" there'), (22, f"commit {key(22)} done"), (23, None)]
+    got = {r["doc_id"]: r["spans"] for r in find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "secret:15:55" and got[20] == "secret:14:33" and got[21] == got[22] == got[23] == ""
+    assert got == {i: x for (i, _), x in brute(rows).items()}
+
+
 def test_empty_table(spark):
     assert find(spark.createDataFrame([], "doc_id long, text string")).count() == 0

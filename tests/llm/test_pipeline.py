@@ -4,7 +4,7 @@ import corpus_pipeline
 from plumbline.llm import pieces
 from plumbline.llm.quality import measure
 from tests.llm.test_decontam import brute as brute_items
-from tests.llm.test_pii import base
+from tests.llm.test_pii import brute as brute_spans
 from tests.llm.test_simhash import brute as brute_groups
 
 
@@ -13,9 +13,10 @@ def good(text):
     return n >= 50 and 100 * repeat <= 50 * n and soft <= 1
 
 
-def masked(text):
+def masked(text, spans):
+    """spans: kind:start:end by start, joined by commas."""
     out, at, end = [], 0, -1
-    for s, _, k, e in base(text):
+    for k, s, e in ((k, int(s), int(e)) for k, s, e in (x.split(":") for x in spans.split(",") if x)):
         if s >= end:
             out += [text[at:s], f"<{k}>"]
         end = max(end, e)
@@ -28,7 +29,9 @@ def expected(rows, items):
     group = brute_groups(rows)
     rows = [(i, t) for i, t in rows if group[i][1] == i]
     hit = {d for d, _ in brute_items(rows, items)}
-    return {i: masked(t) for i, t in rows if i not in hit}
+    rows = [(i, t) for i, t in rows if i not in hit]
+    spans = brute_spans(rows)
+    return {i: masked(t, spans[i, t]) for i, t in rows}
 
 
 def run(spark, path):
