@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
-from plumbline.llm.decontam import BLOCKS, RADIUS, _block_edges, decontaminate, matches
+import numpy as np
+
+from plumbline.llm.decontam import BLOCKS, RADIUS, _block_edges, decontaminate, lookup, matches
 from plumbline.llm.queries import OP10_SQL, op10_decontamination
 from tests.llm.oracle import compare
 
@@ -66,3 +68,36 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert matches(docs, bench).count() == 0 and matches(one, bench).count() == 0
     assert matches(docs, one.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_radius_loses_nothing_of_the_least_similar():
+    """Fingerprints of 40,000 pairs of shingle sets with the least similarity that matches, none of them further apart than the radius."""
+    rng, worst = np.random.default_rng(5), 0
+    for shingles in (9, 18, 45, 90):
+        part = lambda n: rng.integers(0, 2, (2_500, 64, n), dtype=np.int8).sum(axis=2, dtype=np.int32)
+        for _ in range(4):
+            common = part(8 * shingles // 9)
+            a, b = common + part(shingles // 9), common + part(shingles // 9)
+            worst = max(worst, int(((2 * a > shingles) != (2 * b > shingles)).sum(axis=1).max()))
+    assert 12 < worst <= RADIUS
+
+
+def test_index_gives_every_print_within_the_radius(spark):
+    rng = random.Random(2)
+    items = [(n, i, rng.getrandbits(63)) for i in range(60) for n in (20, 30)]
+    asked = []
+    for n, _, fp in items:
+        for far in (0, 5, 24, 25):
+            flips = sum(1 << b for b in rng.sample(range(63), far))
+            asked.append((n, fp ^ flips))
+    want = {(n, f, i) for n, f in asked for m, i, g in items if n == m and (f ^ g).bit_count() <= RADIUS}
+    got = lookup(spark.createDataFrame(asked, "n int, fp long").distinct(), spark.createDataFrame(items, "n int, item_id long, item_fp long")).collect()
+    assert len(got) == len(want) and {(r["n"], r["fp"], r["item_id"]) for r in got} == want
+
+
+def test_long_text_and_shingles_that_many_items_share(spark):
+    shared = "all of these words are in every item here"
+    items = [(i, f"{shared} " + " ".join(f"i{i}w{k}" for k in range(40))) for i in range(30)]
+    docs = [(1, "pad " * 30_000 + items[7][1] + " pad" * 30_000), (2, f"{shared} " * 500), (3, items[3][1].upper())]
+    got = matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["start"]) for r in got} == {(1, 7, 30_000), (3, 3, 0)}
