@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontam, pieces, pii, quality, simhash
-from plumbline.runtime import Scratch
+from plumbline.runtime import Scratch, workspace
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written and read again."""
+    """All stages over the documents table, each written and read again; what a stage leaves in the shared folder goes with it."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        with workspace(spark, f"pipeline-{k}"):
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
         if k:
             scratch.drop(f"stage-{k - 1}")
     return docs

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,18 +41,24 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/plumbline-checkpoints"
 
 
+_roots: list[str] = []
+_made: list[Scratch] = []
+
+
 class Scratch:
     """Tables of one run, written as Parquet in the shared folder.
 
     ``save`` writes a frame and returns it as a scan; ``drop`` removes tables
     that no later step reads.  The tables that a returned frame still reads
-    stay until ``close`` or until the operator of the cluster empties the
-    checkpoint folder.
+    stay until ``close``, until the ``workspace`` around it ends, or until
+    ``close_all``.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.path = f"{_roots[-1] if _roots else shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        if not _roots:
+            _made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -67,3 +75,23 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession, label: str) -> Iterator[Scratch]:
+    """Every scratch table that operators make inside lies in one folder, which goes at the end: for callers that have written what they want by then."""
+    own = Scratch(spark, label)
+    _roots.append(own.path)
+    try:
+        yield own
+    finally:
+        _roots.pop()
+        own.close()
+        if own in _made:
+            _made.remove(own)
+
+
+def close_all() -> None:
+    """Removes all scratch tables of this process; frames that read them are of no use afterwards."""
+    while _made:
+        _made.pop().close()
