@@ -28,7 +28,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.text import sliced
+from plumbline.llm.text import bound_batches, sliced
 
 LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.2, 70, 200, 0.10, 0.18
 
@@ -238,5 +238,6 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every page."""
+    bound_batches(pages.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     return pages.select("page_id", "url", "html").mapInArrow(_pages, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -47,12 +47,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plumbline.llm.suffixtree import Table
-from plumbline.llm.text import sliced
+from plumbline.llm.text import bound_batches, sliced
 
-N_BEST, CACHED, UNKNOWN, UNIT = 4, 150_000, 10.0, 1_000_000
+N_BEST, CACHED, UNKNOWN, UNIT = 4, 50_000, 10.0, 1_000_000
 MARK = "▁"
 _NONE = -(1 << 60)
-_STEP, _ARRAYS, _CELLS, _SLICE = np.uint64(0x9E3779B97F4A7C15), 32, 60_000, 2_000_000
+_STEP, _ARRAYS, _CELLS, _SLICE = np.uint64(0x9E3779B97F4A7C15), 32, 60_000, 1 << 20
 #: Characters of a word whose edges are made in stretches; of a word that is kept; bytes of ids that end a generation.
 _FAR, _KEPT, _LARGE = 4096, 64, 1 << 16
 
@@ -221,12 +221,13 @@ class Words(dict):
     """
 
     def __init__(self, of: Model):
-        self.of, self.old = of, {}
+        self.of = of
+        self.scores, self.costs, self.rows = array("q"), array("q"), []
         self.reset()
 
     def reset(self) -> None:
         """Starts a generation."""
-        self.old = {w: (self.scores[k], self.costs[k], self.rows[k]) for w, k in self.items() if len(w) <= _KEPT}
+        self.old = ({w: k for w, k in self.items() if len(w) <= _KEPT}, self.scores, self.costs, self.rows)
         self.clear()
         self.scores, self.costs, self.sizes, self.rows, self.others, self.large = array("q"), array("q"), array("i"), [], {}, False
 
@@ -240,8 +241,9 @@ class Words(dict):
         return k
 
     def __missing__(self, word: str) -> int:
-        if word in self.old:
-            return self.add(word, *self.old[word])
+        at, *columns = self.old
+        if word in at:
+            return self.add(word, *(x[at[word]] for x in columns))
         edges = self.of.edges(word)
         best, back = forward(edges)
         other = second(edges, best, back)
@@ -260,7 +262,7 @@ class Words(dict):
         """Adds new words, those of one length at a time as arrays; long ones one by one."""
         by_size: dict[int, list[str]] = {}
         for w in words:
-            if w in self.old:
+            if w in self.old[0]:
                 self[w]
             else:
                 by_size.setdefault(len(w), []).append(w)
@@ -395,6 +397,7 @@ def encode(docs: DataFrame, file: str, n: int = N_BEST, ids: bool = False) -> Da
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], names)
 
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, n_pieces long, best_score double, ids_crc32 long, n_best int, nbest_scores array<double>, nbest_pieces array<int>, decoded boolean"
     return docs.select("doc_id", "text").mapInArrow(run, schema + ", ids array<int>" * ids)
 
@@ -407,4 +410,5 @@ def decode_frame(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([decode(x or [], of) for x in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
+    bound_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

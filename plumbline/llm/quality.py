@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.rows import near
-from plumbline.llm.text import sliced, words
+from plumbline.llm.text import bound_batches, sliced, words
 from plumbline.runtime import Scratch
 
 MIN_WORDS, REPEAT_SHARE, HOST_RATE, SPARE = 50, 50, 0.5, 1
@@ -84,6 +84,7 @@ def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
             found = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(_COUNTS))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [f"c{k}" for k in range(batch.num_columns - 1 + len(found))])
 
+    bound_batches(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     given = [f"c{k} {kinds[c]}" for k, c in enumerate(columns)]
     more = [f"c{k} long" for k in range(len(columns), len(columns) + len(_COUNTS))]

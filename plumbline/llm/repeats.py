@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.induced import byte_order
-from plumbline.llm.text import sliced
+from plumbline.llm.text import bound_batches, sliced
 from plumbline.runtime import Scratch
 
 SIZE, K, SIDE, HEAVY, PART, SHARD = 100, 40, 30, 1 << 16, 1 << 20, 1 << 20
@@ -310,6 +310,7 @@ def tag(text: Column) -> Column:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every row."""
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "repeats")
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), tag(F.col("text")).alias("tag"), "text")
     sent = own.where(F.octet_length("text") >= SIZE).select("d", "tag", "text").mapInArrow(_anchored, "done boolean, a long, c long, d long, at long")

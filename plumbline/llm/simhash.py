@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.rows import among, without_texts
-from plumbline.llm.text import forest, sliced, words
+from plumbline.llm.text import bound_batches, forest, sliced, words
 from plumbline.plans.components import connected_components
 from plumbline.runtime import Scratch
 
@@ -221,6 +221,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = B
     each, and more copies of a fingerprint; 3 suits up to about 10**8 different
     fingerprints, 2 more than that.
     """
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fingerprints")
     different = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "different")
@@ -237,6 +238,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     doc_id, or have none, are neither linked nor removed by that; rows without
     an id come last, and by the hash of their text among each other.
     """
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash")
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     prints = scratch.save(hashed.mapInArrow(_fingerprint_batches, "doc_id long, h long, fp long"), "fingerprints")

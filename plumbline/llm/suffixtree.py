@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import words
+from plumbline.llm.text import bound_batches, words
 from plumbline.runtime import Scratch
 
 DEPTH, SEEN, DIVERGENCE, FREQUENT = 5, 16, 20.0, 1 << 18
@@ -292,6 +292,7 @@ def _slices(found: list[list[bytes]], least: int) -> Iterator[list[list[bytes]]]
 def score(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "suffixtree")
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 1
     texts = docs.where(~held).select("text")

@@ -7,13 +7,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words: space and the ASCII controls from tab to carriage return.
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: rows may hold very long texts, so their number bounds nothing.
+BATCH = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold ``BATCH`` bytes, or one row, at most from here on; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(key)
+    if not given.isdigit() or not 0 < int(given) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def words(text: str | None, lower: bool = True) -> list[bytes]:
     """Words of a text as UTF-8; ``bytes.split`` and ``bytes.lower`` know ASCII only, as wanted."""
     raw = (text or "").encode()

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import sliced
+from plumbline.llm.text import bound_batches, sliced
 
 FREQUENT, LONGEST, CACHED, SAMPLE = 1 << 16, 24, 1 << 18, 4096
 
@@ -139,6 +139,7 @@ def frequent_lengths(docs: DataFrame, path: str, sample: int = SAMPLE) -> dict[s
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` of every row; ``path``: a byte-level BPE of the tokenizers library."""
+    bound_batches(docs.sparkSession)
     odd_class = unlike()
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
 
