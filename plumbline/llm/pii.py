@@ -60,7 +60,8 @@ _LIKE = {
 _NONE = "array<struct<kind:int,i:int,gap:long,left:string,hit:string>>"
 _CANDIDATE = {k: rf"(?<=[\x20\x09-\x0D])(?:{v})(?=[\x20\x09-\x0D.,;:!?]|$)" for k, v in _LIKE.items()}
 _CANDIDATE["secret"] = r"""(?:(?<=[\x20\x09-\x0D])|(?<=[\x20\x09-\x0D]["']))(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+(?=["'\x20\x09-\x0D.,;:!?]|$)"""
-_MAYBE_LIKE = {k: rf"[\x20\x09-\x0D](?:{v})" for k, v in _LIKE.items()} | {"secret": r"[A-Za-z0-9_+/=-]{16}"}
+_MAYBE_LIKE = {k: rf"[\x20\x09-\x0D](?:{v})" for k, v in _LIKE.items()} | {"secret": r"[A-Za-z_+/=-][0-9]|[0-9][A-Za-z_+/=-]"}
+_G, _W = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 _MARKS = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]++"
 #: A word and the word of punctuation alone behind it, wherever one starts.
 _PAIR = rf"(?=(?:(?<=[\x20\x09-\x0D])|^)([^\x20\x09-\x0D]++[\x20\x09-\x0D]++{_MARKS})(?:[\x20\x09-\x0D]|$))[^\x20\x09-\x0D]++"
@@ -73,11 +74,10 @@ def _plain(text: Column) -> Column:
 
 def _left(gap: Column) -> Column:
     """The pattern at the end of what stands before a span; empty if the span does not follow a gap, but for a quote."""
-    plain = F.regexp_replace(_plain(gap), """["']$""", "")
-    cut = F.rtrim(plain)
-    last = F.substring_index(cut, " ", -1)
-    before = F.substring_index(F.rtrim(F.substring(cut, F.lit(1), F.length(cut) - F.length(last))), " ", -1)
-    return F.when(F.length(cut) < F.length(plain), F.when(F.rlike(last, F.lit(f"^{_MARKS}$")), F.concat_ws(" ", before, last)).otherwise(last)).otherwise("")
+    back = F.reverse(gap)  # a pattern that starts at the end reads the end alone
+    last = F.regexp_extract(back, rf"""^["']?{_G}++({_W}++)""", 1)
+    before = F.regexp_extract(back, rf"""^["']?{_G}++{_W}++{_G}++({_W}++)""", 1)
+    return _plain(F.reverse(F.when(F.rlike(last, F.lit(f"^{_MARKS}$")) & (before != ""), F.concat_ws(" ", last, before)).otherwise(last)))
 
 
 def _matches(text: Column, pattern: str, maybe: str, kind: int) -> Column:
@@ -123,7 +123,7 @@ def _confident(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
     if not some:
         return spark.createDataFrame([], "kind int, left string")
     plain = docs.select(_plain(F.col("text")).alias("t"))
-    pairs = plain.select(F.explode(F.regexp_extract_all("t", F.lit(_PAIR), F.lit(1))).alias("left"))
+    pairs = plain.where(F.rlike("t", F.lit(f"{_G}{_MARKS}(?:{_G}|$)"))).select(F.explode(F.regexp_extract_all("t", F.lit(_PAIR), F.lit(1))).alias("left"))
     words = plain.select(F.explode(F.split("t", " +")).alias("left")).union(pairs.select(F.regexp_replace("left", " +", " ")))
     if some <= BROADCAST_ROWS:
         words = words.join(F.broadcast(lefts), "left", "left_semi")  # BROADCAST_ROWS patterns at most
