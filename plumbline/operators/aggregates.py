@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.runtime import Scratch
+
 BLOCK = 256
 
 
@@ -68,15 +70,16 @@ def primary_docs(docs: DataFrame) -> DataFrame:
 def dense_ordinals(keys: DataFrame, column: str, buckets: int = 256) -> DataFrame:
     """(column, ordinal) over the distinct keys in byte order, from 0.
 
-    Keys are dealt into ranges, numbered inside each, and shifted by the sizes
-    of the ranges before, so no task sorts them all.
+    Keys are dealt into ranges at sampled quantiles and written with the number
+    of their range; each range is numbered by itself and shifted by the sizes
+    of those before it, so no task sorts them all, whatever prefix they share.
     """
     parts = keys.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(buckets, column)
-    parts = parts.withColumn("part", F.substring(column, 1, 1))
+    parts = Scratch(keys.sparkSession, "ordinals").save(parts.withColumn("part", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # one row for each range
     inside = Window.partitionBy("part").orderBy(column)
-    return parts.withColumn("at", F.row_number().over(inside)).join(base, "part").select(column, (F.col("base") + F.col("at") - 1).cast("long").alias("ordinal"))
+    return parts.withColumn("at", F.row_number().over(inside)).join(F.broadcast(base), "part").select(column, (F.col("base") + F.col("at") - 1).cast("long").alias("ordinal"))
 
 
 def rename_edits(postings: DataFrame, groups: DataFrame, profiles: DataFrame) -> DataFrame:

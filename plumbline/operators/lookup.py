@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.masks import flag_word
 from plumbline.plans.closure import reverse
 
-#: Lines of one bucket of the interval join; a span lies in every bucket that it touches.
-BUCKET_LINES = 64
+#: Pairs of targets that are broadcast at most; more are joined by a shuffle.
+BROADCAST_PAIRS = 1_000_000
 
 
 def definitions(occurrences: DataFrame) -> DataFrame:
@@ -42,10 +42,26 @@ def allowed_targets(defs: DataFrame, docs: DataFrame, closure: DataFrame) -> Dat
     return known.union(lost.select("symbol_ord", F.explode(F.array(*(F.lit(t).cast("int") for t in every))).alias("target_ord")) if every else known.limit(0))
 
 
-def references(postings: DataFrame, allowed: DataFrame, declarations: bool = True) -> DataFrame:
+def seen_from(rows: DataFrame, defs: DataFrame, docs: DataFrame, closure: DataFrame) -> DataFrame:
+    """The rows (symbol_ord, target_ord, …) whose target can see the symbol's definition; all if the definition's target is unknown.
+
+    Each row meets the one target of its symbol's definition, and that pair the
+    closure, which has as many rows as a build graph has reachable pairs; no
+    symbol is spread over the targets that see it.
+    """
+    owner = defs.join(docs.select(F.col("doc_ord").alias("def_doc"), F.col("target_ord").alias("def_target")), "def_doc", "left").select("symbol_ord", "def_target")
+    pairs = closure.select(F.col("source").alias("target_ord"), F.col("reached").alias("def_target"), F.lit(True).alias("#sees"))
+    known = closure.select(F.col("source").alias("def_target"), F.lit(True).alias("#known")).distinct()
+    if closure.count() <= BROADCAST_PAIRS:
+        pairs, known = F.broadcast(pairs), F.broadcast(known)
+    met = rows.join(owner, "symbol_ord").join(pairs, ["target_ord", "def_target"], "left").join(known, "def_target", "left")
+    return met.where("`#sees` or `#known` is null").select(*rows.columns)
+
+
+def references(postings: DataFrame, defs: DataFrame, docs: DataFrame, closure: DataFrame, declarations: bool = True) -> DataFrame:
     """(symbol_ord, doc_ord, uri, ps, pe, is_def), distinct by place; a reference goes before a definition there."""
-    seen = postings if declarations else postings.where(~F.col("is_def"))
-    return seen.join(allowed, ["symbol_ord", "target_ord"], "left_semi").groupBy("symbol_ord", "doc_ord", "uri", "ps", "pe").agg(F.min("is_def").alias("is_def"))
+    rows = postings if declarations else postings.where(~F.col("is_def"))
+    return seen_from(rows, defs, docs, closure).groupBy("symbol_ord", "doc_ord", "uri", "ps", "pe").agg(F.min("is_def").alias("is_def"))
 
 
 def highlights(postings: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -63,13 +79,20 @@ def visible_definitions(defs: DataFrame, docs: DataFrame, cursors: DataFrame, cl
 
 
 def symbol_at(occurrences: DataFrame, cursors: DataFrame) -> DataFrame:
-    """The smallest span at each cursor (doc_ord, at): then the earliest start, then the first record."""
-    width = BUCKET_LINES << 12
-    last = F.floor(F.col("pe") / width)
-    spans = occurrences.where("pe >= ps").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("ps") / width), last)))
-    asked = cursors.distinct().withColumn("bucket", F.floor(F.col("at") / width))
+    """The smallest span at each cursor (doc_ord, at): then the earliest start, then the first record.
+
+    Spans are dealt by size: one of up to 2**k positions touches two stretches
+    of that size at most, and a cursor asks one stretch of each size that
+    occurs. A pair is made only where a cursor is within reach of a span.
+    """
+    level = F.length(F.bin(F.col("pe") - F.col("ps")))
+    spans = occurrences.where("pe >= ps").withColumn("level", level)
+    spans = spans.withColumn("bucket", F.explode(F.array_distinct(F.array(F.expr("shiftright(ps, level)"), F.expr("shiftright(pe, level)")))))
+    sizes = sorted(r[0] for r in occurrences.where("pe >= ps").select(level).distinct().collect())  # 33 at most
+    asked = cursors.distinct().withColumn("level", F.explode(F.array(*(F.lit(k) for k in sizes)) if sizes else F.array().cast("array<int>")))
+    asked = asked.withColumn("bucket", F.expr("shiftright(at, level)"))
     best = F.min(F.struct((F.col("pe") - F.col("ps")).alias("size"), "ps", "seq", "pe", "symbol_ord")).alias("x")
-    hits = asked.join(spans, ["doc_ord", "bucket"]).where("ps <= at and at <= pe").groupBy("doc_ord", "at").agg(best)
+    hits = asked.join(spans, ["doc_ord", "level", "bucket"]).where("ps <= at and at <= pe").groupBy("doc_ord", "at").agg(best)
     return hits.select("doc_ord", "at", F.col("x.symbol_ord").alias("symbol_ord"), F.col("x.ps").alias("ps"), F.col("x.pe").alias("pe"))
 
 

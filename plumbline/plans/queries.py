@@ -74,7 +74,7 @@ join closure c on c.source = p.target_ord and c.reached = dd.target_ord group by
 def references(spark, sf_dir):
     """References and definitions of every symbol, from targets that can see its definition."""
     l = L(spark, sf_dir)
-    return lookup.references(l.postings, lookup.allowed_targets(l.defs, l.docs, l.closure))
+    return lookup.references(l.postings, l.defs, l.docs, l.closure)
 
 
 @query("posting closure", """
@@ -82,7 +82,7 @@ select distinct p.symbol_ord, p.doc_ord, p.uri, p.ps, p.pe, p.is_def from postin
 join closure c on c.source = p.target_ord and c.reached = dd.target_ord where not p.is_def""")
 def references_no_decl(spark, sf_dir):
     l = L(spark, sf_dir)
-    return lookup.references(l.postings, lookup.allowed_targets(l.defs, l.docs, l.closure), declarations=False)
+    return lookup.references(l.postings, l.defs, l.docs, l.closure, declarations=False)
 
 
 @query("posting", """
@@ -130,7 +130,7 @@ select p.symbol_ord, count(*) n from posting p join def d using (symbol_ord) joi
 where exists (select 1 from closure c where c.source = p.target_ord and c.reached = dd.target_ord) group by p.symbol_ord""")
 def target_semi_join(spark, sf_dir):
     l = L(spark, sf_dir)
-    return l.postings.join(lookup.allowed_targets(l.defs, l.docs, l.closure), ["symbol_ord", "target_ord"], "left_semi").groupBy("symbol_ord").agg(F.count("*").alias("n"))
+    return lookup.seen_from(l.postings, l.defs, l.docs, l.closure).groupBy("symbol_ord").agg(F.count("*").alias("n"))
 
 
 @query("posting", "select doc_ord, target_ord, ps, pe from posting where symbol_ord = 7")
@@ -145,15 +145,8 @@ def scan_def_group(spark, sf_dir):
     return lookup.definitions(l.occ.where("symbol_ord = 7")).select(F.col("def_doc").alias("doc_ord"), F.col("def_ps").alias("ps"), F.col("def_pe").alias("pe"))
 
 
-@query("posting", "select symbol_ord, doc_ord, ps, pe from posting where symbol_ord < 50 and not (generated or readonly or dependency_source)")
-def scan_rename_group(spark, sf_dir):
-    l = L(spark, sf_dir)
-    return l.occ.where("symbol_ord < 50").join(l.docs.where("not (generated or readonly or dependency_source)"), "doc_ord").select("symbol_ord", "doc_ord", "ps", "pe")
-
-
 @query("posting", "select symbol_ord, doc_ord, ps, pe from posting where not (generated or readonly or dependency_source)")
-def scan_rename_groups(spark, sf_dir):
-    """The same of every symbol."""
+def scan_rename_group(spark, sf_dir):
     l = L(spark, sf_dir)
     return l.occ.join(l.docs.where("not (generated or readonly or dependency_source)"), "doc_ord").select("symbol_ord", "doc_ord", "ps", "pe")
 
@@ -219,16 +212,8 @@ def first_definition(spark, sf_dir):
     return l.defs.join(l.docs.select(F.col("doc_ord").alias("def_doc"), "uri"), "def_doc").select("symbol_ord", "uri", F.col("def_ps").alias("ps"), F.col("def_pe").alias("pe"))
 
 
-@query("posting", "select uri, ps, pe from posting where symbol_ord < 20 and not is_def union all select uri, ps, pe from posting where symbol_ord < 20 and is_def")
-def ref_union_def(spark, sf_dir):
-    l = L(spark, sf_dir)
-    rows = l.postings.where("symbol_ord < 20")
-    return rows.where("not is_def").select("uri", "ps", "pe").unionByName(rows.where("is_def").select("uri", "ps", "pe"))
-
-
 @query("posting", "select symbol_ord, uri, ps, pe from posting")
-def ref_union_defs(spark, sf_dir):
-    """The same of every symbol."""
+def ref_union_def(spark, sf_dir):
     rows = L(spark, sf_dir).postings
     return rows.where("not is_def").select("symbol_ord", "uri", "ps", "pe").unionByName(rows.where("is_def").select("symbol_ord", "uri", "ps", "pe"))
 
@@ -429,15 +414,8 @@ def document_outline(spark, sf_dir):
     return calls.nearest_ancestor(_entries(p.words(spark, sf_dir)))
 
 
-@query("entry", "select doc, symbol from (select *, row_number() over (partition by doc order by start, symbol) k from entry) where k <= 5")
-def toplevels(spark, sf_dir):
-    """The first five top-level symbols of each document, in source order."""
-    rows = _entries(p.words(spark, sf_dir))
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy("start", "symbol"))).where("k <= 5").select("doc", "symbol")
-
-
 @query("entry", "select doc, symbol from entry")
-def all_toplevels(spark, sf_dir):
+def toplevels(spark, sf_dir):
     """Every top-level symbol of each document."""
     return _entries(p.words(spark, sf_dir)).select("doc", "symbol")
 
@@ -625,18 +603,10 @@ def region_pairs(spark, sf_dir):
     return text.region_pairs(rows.select("conv_id", "turn", F.when(F.col("role") == "user", 1).otherwise(-1).alias("step"))).select("conv_id", "open_turn", "close_turn")
 
 
-@query("word", """
-select doc_id, line, start_char, (line - coalesce(lag(line) over w, 0))::int delta_line, (case when line = coalesce(lag(line) over w, 0) then start_char - coalesce(lag(start_char) over w, 0) else start_char end)::int delta_char
-from (select * from word where doc_id < 50) window w as (partition by doc_id order by line, start_char, length(token))""")
-def token_delta(spark, sf_dir):
-    return text.delta_encode(p.words(spark, sf_dir).where("doc_id < 50").select("doc_id", F.col("line").cast("long").alias("line"), "start_char", F.length("token").alias("length"))).drop("length")
-
-
 @query("word", """
 select doc_id, line, start_char, (line - coalesce(lag(line) over w, 0))::int delta_line, (case when line = coalesce(lag(line) over w, 0) then start_char - coalesce(lag(start_char) over w, 0) else start_char end)::int delta_char
 from word window w as (partition by doc_id order by line, start_char, length(token))""")
-def token_deltas(spark, sf_dir):
-    """The same of every document."""
+def token_delta(spark, sf_dir):
     return text.delta_encode(p.words(spark, sf_dir).select("doc_id", F.col("line").cast("long").alias("line"), "start_char", F.length("token").alias("length"))).drop("length")
 
 
@@ -670,20 +640,10 @@ def protocol_kinds(spark, sf_dir):
     return p.notifications(spark, sf_dir).select("seq", masks.protocol_kind((F.col("seq") % 23).cast("int")).alias("kind"))
 
 
-@query("line", """
-, tok as (select doc_id, line, unnest(regexp_extract_all(content, '[A-Za-z]+')) t from line)
-select t as word, count(*) n, count(distinct doc_id) docs from tok where t in ('The', 'der', 'que') group by t""")
-def token_counts(spark, sf_dir):
-    """Occurrences and documents of some symbols of projection D."""
-    rows = p.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("content"))
-    words = rows.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit("([A-Za-z]+)"), F.lit(1))).alias("word")).where(F.col("word").isin("The", "der", "que"))
-    return words.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
-
-
 @query("line", """
 , tok as (select doc_id, line, unnest(regexp_extract_all(content, '[A-Za-z]+')) t from line)
 select t as word, count(*) n, count(distinct doc_id) docs from tok group by t""")
-def token_counts_of_all(spark, sf_dir):
+def token_counts(spark, sf_dir):
     """Occurrences and documents of every word."""
     rows = p.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("content"))
     words = rows.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit("([A-Za-z]+)"), F.lit(1))).alias("word"))
