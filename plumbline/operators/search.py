@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import names
+from plumbline.functions import names, uris
 
 CAP, LIMIT = 5000, 200
 
@@ -48,3 +48,25 @@ def search(symbols: DataFrame, query: str, limit: int = LIMIT, tokens: DataFrame
         more = symbols.join(near, "symbol_ord", "left_semi").join(found, "symbol_ord", "left_anti")
         rows = rows.union(more.select("symbol_ord", "display", names.score(query, F.col("display")).alias("score")).where("score is not null"))
     return rows.orderBy(F.desc_nulls_last("score"), "symbol_ord").limit(limit)
+
+
+def resolved(hits: DataFrame, symbols: DataFrame, defs: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(rank, symbol_ord, display, container, uri, ps, pe): ranked hits (symbol_ord, display, score) as locations.
+
+    Hits without a known document or target drop out; the container is the
+    owner, else the package, else null; uris are absolute, below the target's
+    root (target_ord, root).
+    """
+    order = Window.orderBy(F.desc_nulls_last("score"), "symbol_ord")  # no more rows than the search's limit
+    ranked = hits.withColumn("rank", F.row_number().over(order))
+    own = symbols.select("symbol_ord", F.coalesce(F.nullif("owner", F.lit("")), F.nullif("package_name", F.lit(""))).alias("container"))
+    site = defs.join(docs.select(F.col("doc_ord").alias("def_doc"), F.col("uri").alias("path"), "target_ord"), "def_doc").join(roots, "target_ord")
+    uri = uris.path_to_uri(uris.normalize_path(F.concat_ws("/", "root", "path")))
+    found = ranked.join(own, "symbol_ord").join(site, "symbol_ord")
+    return found.select("rank", "symbol_ord", "display", "container", uri.alias("uri"), F.col("def_ps").alias("ps"), F.col("def_pe").alias("pe"))
+
+
+def then(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(display, origin, rank): the rows (display, k) of the index in their order, then those of open buffers in theirs."""
+    rows = first.select("display", F.lit("index").alias("origin"), F.lit(0).alias("part"), "k").union(second.select("display", F.lit("unsaved"), F.lit(1), "k"))
+    return rows.select("display", "origin", F.row_number().over(Window.orderBy("part", "k")).alias("rank"))  # limited lists

@@ -93,6 +93,46 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("token <> ''").select("doc_id", "line", "start_char", "token", F.concat("lang", F.lit("/"), "token", suffix).alias("symbol"))
 
 
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projection N: the words of the documents as occurrences of nested symbols: (doc, uri, target, symbol, ps, pe, is_def, on_import).
+
+    A word's letters give its symbol: types, nested types, companions and their
+    members, methods with overloads, constructors and setters; capitalised and
+    long words define theirs where a document has it first.  Lines that start
+    with certain words stand for imports.
+    """
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    rows = rows.withColumn("on_import", F.rlike("content", F.lit(r"^\s*(?:The|De|La)(?:$|[^A-Za-z0-9_$])")))
+    # The part of the line before the word tells its column.
+    rows = rows.select("doc_id", "lang", "source", "line", "on_import", F.posexplode(F.split("content", " ")).alias("n", "token"))
+    before = Window.partitionBy("doc_id", "line").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("at", (F.sum(F.length("token") + 1).over(before) - F.length("token") - 1).cast("int"))
+    rows = rows.withColumn("tok", F.regexp_replace("token", "[^A-Za-z]", "")).where("tok <> ''")
+    size, first, tok = F.length("tok"), F.substring("tok", 1, 1), F.col("tok")
+    base = F.concat("lang", F.lit("/"), F.upper(first))
+    upper = first == F.upper(first)
+    name = (
+        F.when(upper & (size % 4 == 0), F.concat(base, F.lit("#")))
+        .when(upper & (size % 4 == 2), F.concat(base, F.lit(".")))
+        .when(upper & (size % 4 == 1) & (size >= 9), F.concat(base, F.lit("#Deep#"), tok, F.lit("#")))
+        .when(upper & (size % 4 == 1), F.concat(base, F.lit("#"), tok, F.lit("#")))
+        .when(upper, F.concat(base, F.lit("."), tok, F.lit(".")))
+        .when(size % 5 == 0, F.concat(base, F.lit("#`<init>`().")))
+        .when(size % 5 == 1, F.concat(base, F.lit("#`"), tok, F.lit("_=`().")))
+        .when(size % 5 == 2, F.concat(base, F.lit("."), tok, F.lit("().")))
+        .when(size % 5 == 4, F.concat(base, F.lit("#"), tok, F.lit("(+1).")))
+        .otherwise(F.concat(base, F.lit("#"), tok, F.lit("().")))
+    )
+    rows = rows.select(F.col("doc_id").alias("doc"), F.concat_ws("/", "source", "lang", "doc_id").alias("uri"), F.substring("source", 4, 9).cast("int").alias("target"), name.alias("symbol"), pack("line", "at").alias("ps"), pack("line", F.col("at") + F.length("token")).alias("pe"), "on_import", (upper | (size >= 7)).alias("may"))
+    return rows.withColumn("is_def", F.col("may") & (F.min("ps").over(Window.partitionBy("doc", "symbol")) == F.col("ps"))).drop("may")
+
+
+def nested_kinds(occurrences: DataFrame) -> DataFrame:
+    """(symbol, kind) of projection N: methods, classes, objects, and some terms that are methods."""
+    kind = F.when(F.endswith("symbol", F.lit(").")), 3).when(F.endswith("symbol", F.lit("#")), 13).when(F.length("symbol") % 3 == 0, 3).otherwise(10)
+    return occurrences.select("symbol").distinct().withColumn("kind", kind)
+
+
 def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projection E: (seq, ts, uri, target, kind, reset, message)."""
     kinds = {"click": "change", "view": "open", "error": "publish", "signup": "close", "purchase": "save"}
@@ -131,10 +171,27 @@ SQL = {
       from (select doc_id, lang, line, unnest(ts) tok, unnest(range(1, len(ts) + 1)) k from (
         select doc_id, lang, line, string_split(content, ' ') ts from (
           select doc_id, lang, unnest(ls) content, unnest(range(1, len(ls) + 1)) line from (select doc_id, lang, string_split(text, chr(10)) ls from documents)))) qualify tok <> '')""",
+    "nest": r"""tokn as (select doc_id, lang, source, line - 1 line, content, (sum(length(t) + 1) over (partition by doc_id, line order by k) - length(t) - 1)::int "at", t token, regexp_replace(t, '[^A-Za-z]', '', 'g') tok
+      from (select doc_id, lang, source, line, content, unnest(string_split(content, ' ')) t, unnest(range(1, len(string_split(content, ' ')) + 1)) k from (
+        select doc_id, lang, source, unnest(ls) content, unnest(range(1, len(ls) + 1)) line from (select doc_id, lang, source, string_split(text, chr(10)) ls from documents)))),
+    named as (select *, lang || '/' || upper(left(tok, 1)) b, left(tok, 1) between 'A' and 'Z' up, length(tok) n from tokn where tok <> ''),
+    raw_nest as (select doc_id doc, source || '/' || lang || '/' || doc_id uri, substr(source, 4)::int target, line::bigint << 12 | least("at", 4095) ps, line::bigint << 12 | least("at" + length(token), 4095) pe,
+      regexp_matches(content, '^\s*(?:The|De|La)(?:$|[^A-Za-z0-9_$])') on_import, up or n >= 7 may,
+      case when up and n % 4 = 0 then b || '#' when up and n % 4 = 2 then b || '.' when up and n % 4 = 1 and n >= 9 then b || '#Deep#' || tok || '#' when up and n % 4 = 1 then b || '#' || tok || '#'
+        when up then b || '.' || tok || '.' when n % 5 = 0 then b || '#`<init>`().' when n % 5 = 1 then b || '#`' || tok || '_=`().' when n % 5 = 2 then b || '.' || tok || '().'
+        when n % 5 = 4 then b || '#' || tok || '(+1).' else b || '#' || tok || '().' end symbol from named),
+    nest as (select *, may and ps = min(ps) over (partition by doc, symbol) is_def from raw_nest)""".replace("\\\\", "\\"),
+    "nentry": """nentry as (select doc, symbol, start, pe, (row_number() over (partition by doc order by start, symbol))::int pos, top, inner_of from (
+        select doc, symbol, min(ps) start, arg_min(pe, (ps, pe)) pe, left(symbol, 5) top, symbol not in (left(symbol, 5)) inner_of from nest
+        where is_def and symbol not like '%<init>%' and symbol not like '%!_=%' escape '!' group by doc, symbol)),
+    nx as (select a.doc, a.symbol, a.start, a.pe, a.pos, a.top, a.inner_of, (select min(b.start) from nentry b where b.doc = a.doc and b.pos > a.pos and not (
+        b.symbol <> a.symbol and b.inner_of and not a.inner_of and left(b.symbol, 5) in (a.top, left(a.top, 4) || case when right(a.top, 1) = '#' then '.' else '#' end))) nxt from nentry a),
+    outer_of as (select a.doc, a.symbol, coalesce(min(case when b.symbol = a.top then b.symbol end), min(b.symbol)) up from nx a join nx b on a.doc = b.doc and a.inner_of and not b.inner_of
+        and b.symbol in (a.top, left(a.top, 4) || case when right(a.top, 1) = '#' then '.' else '#' end) group by all)""",
     "note": """note as (select event_id seq, ts, 'u' || user_id uri, event_id % 3 target, case event_type when 'click' then 'change' when 'view' then 'open' when 'error' then 'publish'
       when 'signup' then 'close' when 'purchase' then 'save' end kind, event_id % 2 = 0 "reset", json_extract_string(props, '$.k') message from events)""",
 }
-_NEEDS = {"closure": ["target", "dep"], "def": ["occ"], "posting": ["occ", "def", "doc"], "comp": ["alias"]}
+_NEEDS = {"nentry": ["nest"], "closure": ["target", "dep"], "def": ["occ"], "posting": ["occ", "def", "doc"], "comp": ["alias"]}
 
 
 def with_sql(names: str, query: str) -> str:

@@ -380,40 +380,6 @@ def successor(spark, sf_dir):
     return calls.successors(_entries(p.words(spark, sf_dir)))
 
 
-@query("entry", """
-select r.doc, e.symbol, r.callee, count(*) n from (select *, row_number() over () k from ref) r
-asof join (select doc, start, max(symbol) symbol from entry group by doc, start) e on r.doc = e.doc and r."at" >= e.start group by all""")
-def outgoing_calls(spark, sf_dir):
-    words = p.words(spark, sf_dir)
-    return calls.outgoing(_entries(words), _refs(words))
-
-
-@query("entry", """
-select r.doc, coalesce(e.symbol, '') caller, count(*) n, count(distinct r."at") sites from (select *, row_number() over () k from ref where callee in ('en/the().', 'de/der().')) r
-asof left join (select doc, start, max(symbol) symbol from entry group by doc, start) e on r.doc = e.doc and r."at" >= e.start group by all""")
-def incoming_calls(spark, sf_dir):
-    words = p.words(spark, sf_dir)
-    found = calls.enclosing(_entries(words), _refs(words).where("callee in ('en/the().', 'de/der().')"))
-    return found.groupBy("doc", F.coalesce("enclosing", F.lit("")).alias("caller")).agg(F.count("*").alias("n"), F.count_distinct("at").alias("sites"))
-
-
-@query("entry", """
-select r.doc, r.callee, coalesce(e.symbol, '') caller, count(*) n, count(distinct r."at") sites from (select *, row_number() over () k from ref) r
-asof left join (select doc, start, max(symbol) symbol from entry group by doc, start) e on r.doc = e.doc and r."at" >= e.start group by all""")
-def incoming_calls_of_all(spark, sf_dir):
-    """The same of every callee."""
-    words = p.words(spark, sf_dir)
-    found = calls.enclosing(_entries(words), _refs(words))
-    return found.groupBy("doc", "callee", F.coalesce("enclosing", F.lit("")).alias("caller")).agg(F.count("*").alias("n"), F.count_distinct("at").alias("sites"))
-
-
-@query("entry", """
-, e2 as (select *, lang || '/' || left(tok, 1) || '#' mid from (select *, split_part(symbol, '/', 1) lang, substr(symbol, instr(symbol, '/') + 1) tok from entry))
-select a.doc, a.symbol, b.symbol parent, case when b.symbol is null then 0 else 2 end depth from e2 a left join e2 b on a.doc = b.doc and b.symbol = a.mid and a.symbol <> b.symbol""")
-def document_outline(spark, sf_dir):
-    return calls.nearest_ancestor(_entries(p.words(spark, sf_dir)))
-
-
 @query("entry", "select doc, symbol from entry")
 def toplevels(spark, sf_dir):
     """Every top-level symbol of each document."""
@@ -460,12 +426,6 @@ def fuzzy_score(spark, sf_dir):
     return L(spark, sf_dir).symbols.select("symbol_ord", names.score("bl", F.col("display")).alias("score"))
 
 
-@query()
-def fuzzy_match(spark, sf_dir):
-    """Member search by a Python scan; compared with a brute-force version in the tests."""
-    return L(spark, sf_dir).symbols.select("symbol_ord", names.member_match("Bl")(F.initcap("display")).alias("matched"))
-
-
 _SEARCH = "select symbol_ord, display from sym where regexp_matches(lower(display || ' ' || p_brand), '(^|[^a-z0-9])blue') and regexp_matches(lower(display || ' ' || p_brand), '(^|[^a-z0-9])an')"
 
 
@@ -485,12 +445,6 @@ def fuzzy_candidates(spark, sf_dir):
     return search.fuzzy_candidates(_parts(spark, sf_dir), "b", 50)
 
 
-@query()
-def search_union(spark, sf_dir):
-    """Prefix matches and fuzzy matches of one token; compared with a brute-force version in the tests."""
-    return search.search(_parts(spark, sf_dir), "bA", 100)
-
-
 @query("sym", "select distinct q.q, t.symbol_ord from (values ('blu'), ('an'), ('re'), ('brand')) q(q) join (select symbol_ord, unnest(string_split(lower(display || ' ' || p_brand || ' mfr'), ' ')) tok from sym) t on starts_with(t.tok, q.q)")
 def prefix_join(spark, sf_dir):
     """Query tokens to field tokens by prefix, on their first character."""

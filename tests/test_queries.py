@@ -1,5 +1,6 @@
 import pytest
 
+import plumbline.plans.navigation_queries
 import plumbline.plans.session_queries
 import plumbline.streaming.queries  # noqa: F401
 
