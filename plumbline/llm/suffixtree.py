@@ -13,9 +13,8 @@ adding one.  A token's probability by the tree is that of its bytes, each from
 the longest retained suffix of what precedes it.
 
 The tree alone would price the spelling of unknown words, which the unigram
-does not, so a token's score is a mixture of the two: ``WARY`` is the tree's
-share, and ``TRUSTED`` after a token that the tree foresaw better than the
-unigram by ``GAIN``, as it does inside passages that the corpus repeats.
+does not, so a token's probability is a mixture of the two, with a share of
+``SHARE`` for the tree.
 
 The base needs the training count of every word.  The ``FREQUENT`` commonest
 are broadcast; other words meet their counts in a join on the word.
@@ -45,7 +44,7 @@ from plumbline.runtime import Scratch
 
 DEPTH, SEEN, DIVERGENCE, FREQUENT = 5, 16, 20.0, 1 << 18
 PART, HELD = (1 << 21) - 1, 2
-WARY, TRUSTED, GAIN = 0.02, 0.5, 0.5
+SHARE = 0.8
 _END, _CHUNK = b"\n", 1 << 20
 _SPIN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -271,9 +270,9 @@ def token_scores(tree: Forest, found: list[list[bytes]]) -> np.ndarray:
     return np.add.reduceat(tree.score(grams), np.cumsum(sizes) - sizes)
 
 
-def mixed(base: np.ndarray, tree: np.ndarray, share: np.ndarray) -> np.ndarray:
+def mixed(base: np.ndarray, tree: np.ndarray) -> np.ndarray:
     """log10 of the mixture of two log10 probabilities."""
-    return np.log10((1 - share) * 10.0**base + share * 10.0**tree)
+    return np.log10((1 - SHARE) * 10.0**base + SHARE * 10.0**tree)
 
 
 def _slices(found: list[list[bytes]], least: int) -> Iterator[list[list[bytes]]]:
@@ -311,9 +310,8 @@ def score(docs: DataFrame) -> DataFrame:
         common, more = model.value
         logs = {w: log10(c + 0.5) - whole for w, c in common.items()}
         other = np.nan if more else log10(0.5) - whole
-        most = min(logs.values(), default=0.0)  # of words that are not frequent
         least = _CHUNK if len(tree.parts) <= tree.held else 4 * _CHUNK  # for a load of each part
-        entry = pa.struct([("word", pa.string()), ("tree", pa.float64()), ("share", pa.float64())])
+        entry = pa.struct([("word", pa.string()), ("tree", pa.float64())])
         for batch in batches:
             given, at = batch.column("text").to_pylist(), 0
             for found in _slices([words(t) for t in given], least):
@@ -323,12 +321,9 @@ def score(docs: DataFrame) -> DataFrame:
                 start = np.r_[0, stop[:-1]]
                 base[stop - 1] = end
                 by_tree, rare = token_scores(tree, found), np.isnan(base)
-                ahead = by_tree > np.where(rare, most, base) + GAIN
-                share = np.where(np.r_[False, ahead[:-1]], TRUSTED, WARY)
-                share[start] = WARY
-                own = np.where(rare, 0.0, mixed(np.where(rare, 0.0, base), by_tree, share))
+                own = np.where(rare, 0.0, mixed(np.where(rare, 0.0, base), by_tree))
                 lost = np.flatnonzero(rare)
-                structs = pa.StructArray.from_arrays([pa.array([tokens[i] for i in lost], pa.binary()).cast(pa.string()), pa.array(by_tree[lost]), pa.array(share[lost])], fields=list(entry))
+                structs = pa.StructArray.from_arrays([pa.array([tokens[i] for i in lost], pa.binary()).cast(pa.string()), pa.array(by_tree[lost])], fields=list(entry))
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(lost, np.r_[start, len(tokens)]), pa.int32()), structs)
                 seen = np.fromiter((sum(map(common.__contains__, ws)) for ws in found), np.int64, len(found)) + (ends > 0)
                 rows = slice(at, at + len(found))
@@ -343,10 +338,10 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[rows] for c in ("row", "doc_id", "held_out")), *columns], ["row", "doc_id", "held_out", "base", "seen", "n_tokens", "score", "rare"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    rows = scratch.save(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, base double, seen long, n_tokens long, score double, rare array<struct<word:string,tree:double,share:double>>"), "scored")
+    rows = scratch.save(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, base double, seen long, n_tokens long, score double, rare array<struct<word:string,tree:double>>"), "scored")
     each = rows.where(F.size("rare") > 0).select("row", F.inline("rare")).join(known, "word", "left")
     plain = F.log10(F.coalesce("c", F.lit(0)) + 0.5) - whole
-    both = F.log10((1 - F.col("share")) * F.pow(F.lit(10.0), "plain") + F.col("share") * F.pow(F.lit(10.0), "tree"))
+    both = F.log10((1 - SHARE) * F.pow(F.lit(10.0), "plain") + SHARE * F.pow(F.lit(10.0), "tree"))
     more = each.withColumn("plain", plain).groupBy("row").agg(F.sum("plain").alias("more"), F.sum(both).alias("mixed"), F.count("c").alias("known"))
     out = rows.drop("rare").join(more, "row", "left")
     zero = F.lit(0.0)

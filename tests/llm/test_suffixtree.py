@@ -48,7 +48,7 @@ def test_edges(spark):
 
 
 def test_no_context_is_cut_and_parts_change_no_score(spark, monkeypatch):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).select("doc_id", "text").localCheckpoint()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").select("doc_id", "text")
     want = sorted(map(tuple, suffixtree.score(docs).collect()))
     monkeypatch.setattr(suffixtree, "CONTEXTS", 100, raising=False)  # a bound that there was
     monkeypatch.setattr(suffixtree, "PART", 1000, raising=False)
@@ -98,3 +98,59 @@ def test_tree_gives_a_distribution_and_longest_suffixes():
         p = 10 ** tree.score(asked)
         assert abs(p.sum() - 1) < 1e-9
         assert np.allclose(p, [slow(ctx, s, 3) for s in range(256)])
+
+
+def brute_scores(rows):
+    """The whole model by dictionaries: every context of up to DEPTH bytes, retained by the two tests, and the longest retained suffix for each byte."""
+    depth = suffixtree.DEPTH
+    out = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows]
+    closed = [b"".join(w + b" " for w in (t or "").encode().lower().split()) + b"\n" for _, t in rows]
+    counts = [{} for _ in range(depth + 1)]
+    for held, text in zip(out, closed):
+        if not held:
+            padded = b"\n" * depth + text
+            for i in range(depth, len(padded)):
+                for d in range(depth + 1):
+                    counts[d].setdefault(padded[i - d : i], Counter())[padded[i]] += 1
+    kept = [{} for _ in range(depth + 1)]
+    for d in range(1, depth + 1):
+        for ctx, seen in counts[d].items():
+            n, above = seen.total(), counts[d - 1][ctx[1:]]
+            gain = sum(c * math.log(c / n * above.total() / above[x]) for x, c in seen.items())
+            if n >= suffixtree.SEEN and gain >= suffixtree.DIVERGENCE:
+                kept[d][ctx] = seen
+    root = counts[0].get(b"", Counter())
+
+    def p(ctx, x):
+        for d in range(len(ctx), 0, -1):
+            if ctx[-d:] in kept[d]:
+                seen = kept[d][ctx[-d:]]
+                return (seen[x] + len(seen) * p(ctx[-d + 1 :] if d > 1 else b"", x)) / (seen.total() + len(seen))
+        return (root[x] + 1) / (root.total() + 256)
+
+    words = Counter(w for held, (_, t) in zip(out, rows) if not held for w in (t or "").encode().lower().split())
+    ends = sum(not h for h in out)
+    whole = words.total() + ends + 0.5 * (len(words) + (ends > 0) + 1)
+    found = []
+    for (i, t), text in zip(rows, closed):
+        tokens = [*((w + b" ", words[w]) for w in (t or "").encode().lower().split()), (b"\n", ends)]
+        padded, at, score = b"\n" * depth + text, depth, 0.0
+        for token, c in tokens:
+            tree = 0.0
+            for x in token:
+                tree += math.log10(p(padded[at - depth : at], x))
+                at += 1
+            score += math.log10((1 - suffixtree.SHARE) * (c + 0.5) / whole + suffixtree.SHARE * 10**tree)
+        found.append((i, score))
+    return found
+
+
+def test_scores_equal_the_model_by_dictionaries(spark, monkeypatch):
+    rng = random.Random(3)
+    vocab = ["abra", "cad", "The", "x1", "ñu", "abracadabra"] + [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randint(0, 60)))) for i in range(60)] + [(60, None), (None, "abra cad the zzz"), (61, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((str(i), round(s, 6)) for i, s in brute_scores(rows))
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in suffixtree.score(df).collect()) == want
+    monkeypatch.setattr(suffixtree, "FREQUENT", 7)  # what is broadcast does not matter
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in suffixtree.score(df).collect()) == want
