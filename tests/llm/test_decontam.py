@@ -101,3 +101,10 @@ def test_long_text_and_shingles_that_many_items_share(spark):
     docs = [(1, "pad " * 30_000 + items[7][1] + " pad" * 30_000), (2, f"{shared} " * 500), (3, items[3][1].upper())]
     got = matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"], r["start"]) for r in got} == {(1, 7, 30_000), (3, 3, 0)}
+
+
+def test_stage_on_empty_tables(spark):
+    empty, items = spark.createDataFrame([], "doc_id long, text string, n int"), spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    one = spark.createDataFrame([(1, "a b c d e f g", 2)], "doc_id long, text string, n int")
+    assert decontaminate(empty, items).count() == 0 and decontaminate(empty, items).columns == empty.columns
+    assert decontaminate(one, items.limit(0)).count() == 1 and decontaminate(one, items).count() == 0

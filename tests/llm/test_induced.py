@@ -1,6 +1,6 @@
 import random
 
-from plumbline.llm import induced
+from plumbline.llm import induced, repeats
 
 
 def test_orders_equal_plain_sorting(monkeypatch):
@@ -16,3 +16,25 @@ def test_orders_equal_plain_sorting(monkeypatch):
                 body = body[:7] * 9
             t = body + b"\0"
             assert list(induced.suffix_order(t)) == sorted(range(len(t)), key=lambda i: t[i:]), t
+
+
+def test_queues_of_a_shard_lie_in_files(monkeypatch):
+    """The sort as the query calls it, over a shard whose queues and names go through files."""
+    files, real = [], induced.tempfile.TemporaryFile
+    monkeypatch.setattr(induced.tempfile, "TemporaryFile", lambda: files.append(real()) or files[-1])
+    monkeypatch.setattr(induced, "CHUNK", 64)
+    monkeypatch.setattr(induced, "HELD", 4)
+    monkeypatch.setattr(induced, "RUN", 500)
+    monkeypatch.setattr(induced.sorted_runs, "__defaults__", (500,))
+    rng = random.Random(5)
+    shared = "".join(rng.choices("abcd ", k=400)).encode()
+    segments = [(d, d << 44, rng.randbytes(50).translate(bytes(97 + b % 5 for b in range(256))) + shared[d : d + 150 + d]) for d in range(40)]
+    found = sorted(set(repeats.repeated(segments)))
+    least, want = {}, set()
+    for d, at, raw in sorted(segments):
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in least:
+                want.add((d, (at >> 32) + s << 32))
+            else:
+                least[raw[s : s + 100]] = d
+    assert found == sorted(want) and len(files) > 5

@@ -168,3 +168,8 @@ def test_secrets_only_after_confident_words(spark):
 
 def test_empty_table(spark):
     assert find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stage_on_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, n_chars long, h string")
+    assert redact(empty).count() == 0 and redact(empty).columns == empty.columns

@@ -35,3 +35,15 @@ def test_edges_and_hosts(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op6_quality_rules(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_text(spark):
+    text = "alpha beta gamma delta\n" * 100_000
+    row = quality.judge(spark.createDataFrame([(1, text, "h", 5)], "doc_id long, text string, source string, c1 int"), ["doc_id", "c1"]).first()
+    assert (row["#n_words"], row["#word_chars"], row["#n_dup_lines"], row["#n_repeat_words"]) == (400_000, 1_900_000, 99_999, 400_000)
+    assert row["c1"] == 5 and row["#base_failed"] and not row["#kept"]
+
+
+def test_stage_on_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, source string, kept int")
+    assert quality.keep_good(empty).count() == 0 and quality.keep_good(empty).columns == empty.columns

@@ -60,3 +60,15 @@ def test_planted_rows(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_of_several_parts(spark):
+    """Texts are anchored in parts; repeats that lie across an edge of one count like any other."""
+    rng = random.Random(7)
+    filler = lambda n: rng.randbytes(n).translate(bytes(97 + b % 26 for b in range(256))).decode()
+    shared = filler(300)
+    edge = repeats.PART
+    long = filler(edge - 130) + shared + filler(5000) + shared[20:250]
+    rows = [(1, "x" + shared[:200]), (2, long), (3, shared[100:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in repeats.remove_repeats(df).collect()), key=key) == sorted(brute(rows), key=key)

@@ -58,3 +58,9 @@ def test_splitters_cut_hot_keys_only():
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert shard(df).count() == 0
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rows = [(i, "word " * (i % 7)) for i in range(200)] + [(900, "long " * 400_000), (901, None), (901, None)]
+    df = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, h string, size int")
+    assert sorted((tuple(r) for r in shard(df).collect()), key=key) == sorted(brute(rows), key=key)

@@ -85,3 +85,21 @@ def test_query_matches_brute_force(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op8_simhash(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_texts_null_ids_and_repeated_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(900)}" for _ in range(simhash._FLUSH + 4000))
+    rows = [(1, long), (2, long.upper()), (3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (None, "q r s t u"), (5, "")]
+    got = simhash.near_duplicates(spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, fp int, component_id string")).collect()
+    want = brute([(i, t) for i, t in rows if i is not None])
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (f"{r['fp'] & (1 << 64) - 1:016x}", r["component_id"]) == want[r["doc_id"]]
+    assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == ["3", "None"]
+
+
+def test_stage_on_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, fp string")
+    assert simhash.deduplicate(empty).count() == 0 and simhash.deduplicate(empty).columns == empty.columns
