@@ -38,6 +38,22 @@ def normalize_uri(uri: Column) -> Column:
     return F.coalesce(path_to_uri(normalize_path(uri_to_path(uri))), uri)
 
 
+SUFFIX = ".semanticdb"
+
+
+def fact_file(root: Column, source: Column) -> Column:
+    """The fact file of a source path below a root; null for empty and absolute paths and those that lead out of the root."""
+    clean, path = normalize_path(root), normalize_path(F.concat_ws("/", root, F.concat(source, F.lit(SUFFIX))))
+    return F.when((source != "") & ~F.startswith(source, F.lit("/")) & contains(clean, path), path)
+
+
+def source_of(root: Column, file: Column) -> Column:
+    """The source path of a fact file; null if it does not lie below the root or has another suffix."""
+    clean, path = normalize_path(root), normalize_path(file)
+    rest = F.substring(path, F.length(clean) + 2, F.length(path))
+    return F.when(contains(clean, path) & (path != clean) & F.endswith(rest, F.lit(SUFFIX)) & (F.length(rest) > len(SUFFIX)), F.substring(rest, F.lit(1), F.length(rest) - len(SUFFIX)))
+
+
 def contains(root: Column, path: Column) -> Column:
     """Is the path the root or below it?"""
     return (path == root) | F.startswith(path, F.concat(F.regexp_replace(root, "/$", ""), F.lit("/")))

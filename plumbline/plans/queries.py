@@ -564,14 +564,6 @@ def token_delta(spark, sf_dir):
     return text.delta_encode(p.words(spark, sf_dir).select("doc_id", F.col("line").cast("long").alias("line"), "start_char", F.length("token").alias("length"))).drop("length")
 
 
-@query()
-def token_splice(spark, sf_dir):
-    """The one edit between each document and the next of its source; compared with a brute-force version in the tests."""
-    docs = p.table(spark, sf_dir, "documents")
-    following = F.lead("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    return text.splice(docs.select("doc_id", F.split("text", " ").alias("a"), F.split(following, " ").alias("b")).where("b is not null"))
-
-
 @query("target", "select o_orderkey doc_ord, max(bsp_id) root from orders join customer on o_custkey = c_custkey join target on target_ord = c_nationkey or target_ord = (c_nationkey - 1) // 2 where starts_with(bsp_id, 'nation/') group by 1")
 def deepest_root(spark, sf_dir):
     """The last of the roots that contain a document: its own target's or its dependency's."""

@@ -89,6 +89,43 @@ def debounce_end(state: dict | None) -> list[tuple]:
     return [] if state is None else [(state["opened"], state["n"], state["compile"])]
 
 
+def pull_fold(window_ms: int) -> Fold:
+    """A change arms a pull, due after the window and not moved by later changes; a save or close disarms it. Out, as later events show that it was due: (armed, due)."""
+
+    def fold(state: dict | None, event: dict) -> tuple[dict | None, list[tuple]]:
+        at, out = int(event["at"]), []
+        if state is not None and at >= state["armed"] + window_ms:
+            out, state = pull_end(window_ms)(state), None
+        if event["kind"] == "change":
+            return state or {"armed": at}, out
+        return None, out
+
+    return fold
+
+
+def pull_end(window_ms: int) -> Callable[[dict | None], list[tuple]]:
+    """The pull that is still armed when a table ends, or whose time has come."""
+    return lambda state: [] if state is None else [(state["armed"], state["armed"] + window_ms)]
+
+
+# Token results
+
+
+def cache_fold(cap: int = 32) -> Fold:
+    """Latest result of each document of a session, the ``cap`` last used ones; a close drops its own. Out of a request: (seq, result_id, delta): may it be answered as a change to the result that the client names?"""
+
+    def fold(state: list | None, event: dict) -> tuple[list | None, list[tuple]]:
+        held = [list(x) for x in state or []]
+        mine = next((n for u, n in held if u == event["uri"]), 0)
+        held = [x for x in held if x[0] != event["uri"]]
+        if event["kind"] == "close":
+            return held or None, []
+        held.append([event["uri"], mine + 1])
+        return held[-cap:], [(event["seq"], mine + 1, bool(mine) and event["previous"] == mine)]
+
+    return fold
+
+
 # Diagnostics
 
 
@@ -155,13 +192,21 @@ def batch(events: DataFrame, key: str, order: str, fold: Fold, out: str, end: Ca
     return events.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, f"{key} {kind}, {out}")
 
 
-def stream(events: DataFrame, key: str, order: str, fold: Fold, out: str) -> DataFrame:
-    """The fold over a stream: one state for each key, as JSON, ordered inside each trigger; a state of None is removed."""
+def stream(events: DataFrame, key: str, order: str, fold: Fold, out: str, end: Callable[[object], list[tuple]] | None = None, after_ms: int | None = None) -> DataFrame:
+    """The fold over a stream: one state for each key, as JSON, ordered inside each trigger; a state of None is removed.
+
+    With ``end``, a key without events for ``after_ms`` of processing time gives
+    out what its state still holds, as ``batch`` does where a table ends.
+    """
     kind = events.schema[key].dataType.simpleString()
     names = [c.split()[0] for c in out.split(",")]
 
     def run(group: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state = json.loads(held.get[0]) if held.exists else None
+        if held.hasTimedOut:
+            held.remove()
+            yield pd.DataFrame([(group[0], *x) for x in end(state)], columns=[key, *names], dtype=object)
+            return
         rows: list[tuple] = []
         for event in pd.concat(list(parts)).sort_values(order).to_dict("records"):
             state, made = fold(state, event)
@@ -171,6 +216,8 @@ def stream(events: DataFrame, key: str, order: str, fold: Fold, out: str) -> Dat
                 held.remove()
         else:
             held.update((json.dumps(state),))
+            if end:
+                held.setTimeoutDuration(after_ms)
         yield pd.DataFrame(rows, columns=[key, *names], dtype=object)
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {out}", "state string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {out}", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if end else GroupStateTimeout.NoTimeout)

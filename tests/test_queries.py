@@ -2,6 +2,7 @@ import pytest
 
 import plumbline.plans.navigation_queries
 import plumbline.plans.session_queries
+import plumbline.plans.workspace_queries
 import plumbline.streaming.queries  # noqa: F401
 
 from plumbline.plans.queries import ORACLES, QUERIES
