@@ -564,15 +564,6 @@ def token_delta(spark, sf_dir):
     return text.delta_encode(p.words(spark, sf_dir).select("doc_id", F.col("line").cast("long").alias("line"), "start_char", F.length("token").alias("length"))).drop("length")
 
 
-@query("target", "select o_orderkey doc_ord, max(bsp_id) root from orders join customer on o_custkey = c_custkey join target on target_ord = c_nationkey or target_ord = (c_nationkey - 1) // 2 where starts_with(bsp_id, 'nation/') group by 1")
-def deepest_root(spark, sf_dir):
-    """The last of the roots that contain a document: its own target's or its dependency's."""
-    l = L(spark, sf_dir)
-    near = l.closure.join(l.deps.select(F.col("target").alias("source"), "dep"), "source", "left").where("reached = source or reached = dep").select(F.col("source").alias("target_ord"), F.col("reached"))
-    roots = near.join(l.targets.withColumnRenamed("target_ord", "reached"), "reached")
-    return l.docs.join(roots, "target_ord").groupBy("doc_ord").agg(F.max("bsp_id").alias("root"))
-
-
 @query("word", """
 select doc_id, line, start_char, (line - coalesce(lag(line) over w, 0))::int delta_line, (case when line = coalesce(lag(line) over w, 0) then start_char - coalesce(lag(start_char) over w, 0) else start_char end)::int delta_char
 from (select * from word where (line < 3 or line = 3 and start_char < 40) and (line > 1 or line = 1 and start_char + length(token) > 25)) window w as (partition by doc_id order by line, start_char, length(token))""")

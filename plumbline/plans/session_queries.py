@@ -12,14 +12,14 @@ from plumbline.plans.queries import L, query
 
 @query("occ", """
 , hit as (select 1 pri, * from occ where doc_ord % 7 = 0 and symbol_ord % 2 = 0 union all select 2, * from occ where doc_ord % 3 <> 0 union all select 3, * from occ where symbol_ord % 5 <> 0),
-ask as (select distinct doc_ord, ps "at" from occ where start_line = 1),
+ask as (select distinct doc_ord, ps "at" from occ),
 best as (select a.doc_ord, a."at", arg_min(h, (h.pri, h.pe - h.ps, h.ps, h.seq)) b from ask a join hit h on a.doc_ord = h.doc_ord and a."at" between h.ps and h.pe group by 1, 2)
 select ask.doc_ord, ask."at", b.symbol_ord, b.ps, b.pe, case b.pri when 1 then 'overlay' when 2 then 'snapshot' when 3 then 'raw' else 'NoSymbolAtCursor' end source
 from ask left join best on ask.doc_ord = best.doc_ord and ask."at" = best."at\"""")
 def cursor_routing(spark, sf_dir):
     """Overlay, snapshot and raw facts are parts of the occurrences here."""
     l = L(spark, sf_dir)
-    cursors = l.occ.where("start_line = 1").select("doc_ord", F.col("ps").alias("at"))
+    cursors = l.occ.select("doc_ord", F.col("ps").alias("at"))
     return session.route_cursors(cursors, l.occ, l.occ.where("doc_ord % 7 = 0 and symbol_ord % 2 = 0"), l.occ.where("symbol_ord % 5 <> 0"), l.docs.where("doc_ord % 3 = 0"))
 
 
