@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import bits, hashes, names
 from plumbline.functions import symbols as grammar
-from plumbline.operators import hierarchy, lookup, references, search
+from plumbline.operators import hierarchy, lookup, references, search, session
 from plumbline.operators import rename as renames
 from plumbline.plans import projections as p
 from plumbline.plans.components import connected_components
@@ -317,3 +317,43 @@ def search_union(spark, sf_dir):
     """Prefix matches and fuzzy matches of one token, best first."""
     parts = L(spark, sf_dir).symbols.select("symbol_ord", "display", F.col("p_brand").alias("owner"), F.lit("mfr").alias("package_name"))
     return search.search(parts, "bA", 100)
+
+
+# Highlights, methods and closures of groups and buffers
+
+
+@query("posting comp", """
+, cur as (select distinct p.doc_ord, p.symbol_ord, c.component from posting p join comp c using (symbol_ord) where is_def),
+h as (select distinct cur.doc_ord, cur.symbol_ord, p.ps, p.pe, case when p.is_def then 'Write' else 'Read' end kind from cur join comp c using (component) join posting p on p.symbol_ord = c.symbol_ord and p.doc_ord = cur.doc_ord)
+select *, row_number() over (partition by doc_ord, symbol_ord order by ps, pe, kind)::int rank from h""")
+def group_highlights(spark, sf_dir):
+    """Every symbol's group in its defining document, in order of the spans."""
+    l = L(spark, sf_dir)
+    return references.highlights(l.defs.select(F.col("def_doc").alias("doc_ord"), "symbol_ord"), l.groups, l.postings)
+
+
+@query("posting closure sym", """
+, spot as (select d.symbol_ord, d.doc_ord, d.ps, d.pe, arg_min(o.symbol_ord, (o.pe - o.ps, o.ps, o.seq)) found from def d join occ o on o.doc_ord = d.doc_ord and d.ps between o.ps and o.pe group by 1, 2, 3, 4),
+s as (select semantic_symbol symbol, dd.uri, spot.ps, spot.pe from spot join sym using (symbol_ord) join doc dd on dd.doc_ord = spot.doc_ord join closure k on k.source = 9 and k.reached = dd.target_ord where found = symbol_ord and regexp_matches(semantic_symbol, '#p[0-9]*1[0-9]*\\(\\)\\.$'))
+select *, row_number() over (order by symbol, uri, ps, pe)::int rank from s""".replace("\\\\", "\\"))
+def method_hits(spark, sf_dir):
+    """Methods whose name matches p1, defined where one target can see them, in order."""
+    l = L(spark, sf_dir)
+    last = grammar.split_last(F.col("semantic_symbol"))
+    methods = l.symbols.where(last["kind"] == "method").where(names.member_match("p1")(last["name"])).select("symbol_ord", F.col("semantic_symbol").alias("symbol"))
+    own = l.groups.select("symbol_ord", F.col("symbol_ord").alias("component"))
+    found = references.exact_definitions(own, l.defs, l.occ, l.docs, l.closure.where("source = 9")).drop("rank", "from_target")
+    rank = F.row_number().over(Window.orderBy("symbol", "uri", "ps", "pe"))  # the hits of one search
+    return found.join(methods, "symbol_ord").select("symbol", "uri", "ps", "pe", rank.alias("rank"))
+
+
+@query("doc closure", """
+, t as (select uri, case when doc_ord % 2 = 0 then target_ord else 20 end target from doc)
+select uri, count(*) n, string_agg(reached::varchar, ',' order by reached) reached from t join closure on source = target group by uri""")
+def requesting_closures(spark, sf_dir):
+    """What every buffer can see: the closure of its own target, else of the deepest root around it."""
+    l = L(spark, sf_dir)
+    roots = spark.createDataFrame([("orders", 20)], "root string, target_ord int")
+    asked = session.requesting_target(l.docs.select("uri"), l.docs.where("doc_ord % 2 = 0").select("uri", "target_ord"), roots)
+    seen = asked.join(l.closure.withColumnRenamed("source", "target_ord"), "target_ord")
+    return seen.groupBy("uri").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("reached")), ",").alias("reached"))
