@@ -240,6 +240,15 @@ class Words(dict):
         k = self[word] = len(self.rows) - 1
         return k
 
+    def extend(self, words: list[str], scores: list[int], costs: list[int], rows: list[bytes]) -> None:
+        """Adds many at once."""
+        k = len(self.rows)
+        self.scores.extend(scores)
+        self.costs.extend(costs)
+        self.sizes.extend([len(x) // 4 for x in rows])
+        self.rows.extend(rows)
+        self.update(zip(words, range(k, k + len(words))))
+
     def __missing__(self, word: str) -> int:
         at, *columns = self.old
         if word in at:
@@ -261,11 +270,11 @@ class Words(dict):
     def fill(self, words: set[str]) -> None:
         """Adds new words, those of one length at a time as arrays; long ones one by one."""
         by_size: dict[int, list[str]] = {}
-        for w in words:
-            if w in self.old[0]:
-                self[w]
-            else:
-                by_size.setdefault(len(w), []).append(w)
+        again, (old, *columns) = list(words & self.old[0].keys()), self.old
+        at = list(map(old.__getitem__, again))
+        self.extend(again, *(list(map(x.__getitem__, at)) for x in columns))
+        for w in words.difference(again):
+            by_size.setdefault(len(w), []).append(w)
         for size, same in by_size.items():
             if size > _ARRAYS or len(same) < 8:
                 for w in same:
@@ -321,13 +330,14 @@ class Words(dict):
         flat, ends = ids[taken].astype("<i4"), np.cumsum(taken.sum(axis=1)).tolist()
         raw = flat.tobytes()
         cost = np.where(other > _NONE // 2, best[size] - other, -1).tolist()
-        start = 0
-        for w, end, total, c, strange in zip(same, ends, best[size].tolist(), cost, odd.tolist()):
-            if strange:
-                self[w]
-            else:
-                self.add(w, total, c, raw[4 * start : 4 * end])
-            start = end
+        own = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+        if odd.any():  # spelled in bytes: one by one
+            plain = np.flatnonzero(~odd).tolist()
+            self.extend([same[k] for k in plain], best[size][plain].tolist(), [cost[k] for k in plain], [own[k] for k in plain])
+            for k in np.flatnonzero(odd).tolist():
+                self[same[k]]
+        else:
+            self.extend(same, best[size].tolist(), cost, own)
 
 
 def segment(text: str, words: Words, n: int, found: list[str] | None = None) -> tuple[bytes, list[int], list[int]]:
