@@ -10,27 +10,27 @@ from plumbline.runtime import Scratch, workspace
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the quality rules."""
+    """Drops documents that fail the quality rules; null and blank texts fail, equal rows are judged alike, an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies: the smallest doc_id, null last; of equal rows one stays; texts without words are one group."""
     return simhash.deduplicate(docs)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item; null texts and items hold nothing, each text of a doc_id has its own verdict."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts."""
+    """Replaces personal data in the texts by its kind; null texts stay null, ``n_chars`` follows the text, no row goes."""
     return pii.redact(docs)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text."""
+    """The ids of each text, and how it was segmented; a null text counts as empty, equal rows give equal rows."""
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=True)
 
 
