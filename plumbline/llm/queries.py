@@ -131,6 +131,47 @@ from f where sim >= 0.799999999 group by doc_id, item_id
 """
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+#: Every contiguous phrase of up to five words, counted as text; scores in 128-bit whole numbers.
+OP11_SQL = r"""
+with d as (
+  select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece
+  from documents),
+p as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') w from d),
+g as (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from p, (values (1), (2), (3), (4), (5)) t(k)),
+f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase, count(*) c from g group by all),
+n as (select lang, sum(c)::hugeint n from f where k = 1 group by lang),
+q as (select lang, k, phrase, c, string_split(phrase, ' ') w from f where k > 1 and c >= 100),
+x as (select lang, c, array_to_string(w[:k - 1], ' ') phrase from q where k > 2 union select lang, c, array_to_string(w[2:], ' ') from q where k > 2),
+cuts as (select lang, phrase, w, k, c a, unnest(range(1, k)) j from q where not exists (select 1 from x where x.lang = q.lang and x.phrase = q.phrase and x.c = q.c)),
+s as (
+  select cuts.lang, cuts.phrase, a, j, l.c l, r.c r, n, (1000 * a::hugeint * n) // (l.c::hugeint * r.c::hugeint) score
+  from cuts join n on n.lang = cuts.lang
+  join f l on l.lang = cuts.lang and l.phrase = array_to_string(w[:j], ' ')
+  join f r on r.lang = cuts.lang and r.phrase = array_to_string(w[j + 1:], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+o as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint rank, phrase, a, l, r, n, score from b)
+select lang, rank, phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n, score::bigint score from o where rank <= 2000
+"""
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.classifier import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -142,6 +183,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html_text": op9_html_text,
     "op10_decontamination": op10_decontamination,
+    "op11_phrases": op11_phrases,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
-ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op10_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_phrases": OP11_SQL}
