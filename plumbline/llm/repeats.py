@@ -21,8 +21,9 @@ behind it, and those with nothing to compare are not sorted: lines that many
 texts share but that are shorter than 100 bytes fall away here.
 
 Positions are (doc_id, start); a string starts earlier if its position is
-smaller.  Rows that share a doc_id are one document with several texts: equal
-texts lose the same bytes.  Defined cases: a null text counts as empty; a null
+smaller.  Rows that share a doc_id are one document with several texts, told apart
+by a 64-bit hash of the text and 20 bits of its checksum: none of several equal strings at
+one place comes first, and equal texts lose the same bytes.  Defined cases: a null text counts as empty; a null
 doc_id sorts first; texts under 100 bytes keep all; other columns are not read;
 an empty table gives an empty result.
 """
@@ -35,7 +36,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.induced import byte_order
@@ -92,7 +93,7 @@ def runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def _pack(start: np.ndarray, tag: np.ndarray, ahead: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, then 20 bits of the text's hash, 6 of the anchor's distance from the last window, 6 of the number of windows less one: sorts by start."""
+    """start, then 20 bits of the text's checksum, 6 of the anchor's distance from the last window, 6 of the number of windows less one: sorts by start."""
     return start.astype(np.int64) << 32 | tag.astype(np.int64) << 12 | ahead.astype(np.int64) << 6 | (size.astype(np.int64) - 1)
 
 
@@ -102,21 +103,21 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         nonlocal held, waiting
-        a, c, d, at = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((at, d, c, a))
-        a, c, d, at = a[order], c[order], d[order], at[order]
+        a, c, d, h, at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((h, at, d, c, a))
+        a, c, d, h, at = a[order], c[order], d[order], h[order], at[order]
         again = np.r_[False, (a[1:] == a[:-1]) & (c[1:] == c[:-1]) & ((d[1:] != d[:-1]) | (at[1:] >> 32 != at[:-1] >> 32))]
         again |= _same_place(a, c, d, at, again)
         a = np.where(again, _mix(d.view(np.uint64) ^ at.view(np.uint64)), a)
         held, waiting = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(again), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(at)], ["done", "a", "c", "d", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(again), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(h), pa.array(at)], ["done", "a", "c", "d", "h", "at"])
 
     for batch in sliced(batches):
-        for d, tag, text in zip(batch.column("d").to_pylist(), batch.column("tag").to_pylist(), batch.column("text").to_pylist()):
+        for d, h, tag, text in zip(*(batch.column(x).to_pylist() for x in ("d", "h", "tag", "text"))):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             for low in range(0, len(raw) - SIZE + 1, PART):
                 a, c, s, ahead, n = runs(raw[low : low + PART + SIZE - 1])
-                held.append([a, c, np.full(len(a), d), _pack(s + low, np.full(len(a), tag), ahead, n)])
+                held.append([a, c, np.full(len(a), d), np.full(len(a), h), _pack(s + low, np.full(len(a), tag), ahead, n)])
                 waiting += len(a)
                 if waiting > 1 << 19:
                     yield flush()
@@ -133,39 +134,48 @@ def _same_place(a: np.ndarray, c: np.ndarray, d: np.ndarray, at: np.ndarray, aga
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (done, a, c, d, at) to (open, a, d, at): repeats, and the first of each class where an anchor has several."""
+    """Rows sorted by (done, a, c, d, at) to (open, a, d, h, at): repeats, and the first of each class where an anchor has several.
 
-    def rows(a: np.ndarray, d: np.ndarray, at: np.ndarray, open_: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(open_), pa.array(a), pa.array(d), pa.array(at)], ["open", "a", "d", "at"])
+    Different texts of one doc_id may have equal runs at one place; none of them comes first, and all are given out.
+    """
+
+    def rows(found: np.ndarray, which: np.ndarray, open_: bool) -> pa.RecordBatch:
+        a, d, h, at = found[[0, 2, 3, 4]][:, which]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), open_)), pa.array(a), pa.array(d), pa.array(h), pa.array(at)], ["open", "a", "d", "h", "at"])
 
-    last = None  # of the rows so far: anchor, class, place of the class's first, and whether that one has been given out as open
+    held, given = np.zeros((5, 0), np.int64), False  # the last class so far: its first rows, and whether they have been given out
     for batch in batches:
-        done, a, c, d, at = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("done", "a", "c", "d", "at"))
+        done = batch.column("done").to_numpy(zero_copy_only=False)
+        found = np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in ("a", "c", "d", "h", "at")])
         if done.any():
-            yield rows(a[done], d[done], at[done], np.zeros(int(done.sum()), bool))
-        a, c, d, at = a[~done], c[~done], d[~done], at[~done]
-        if not len(a):
+            yield rows(found, done, False)
+        found = found[:, ~done]
+        if not found.shape[1]:
             continue
-        if last is not None:
-            a, c, d, at = np.r_[last[0], a], np.r_[last[1], c], np.r_[last[2], d], np.r_[last[3], at]
+        carried = held.shape[1]
+        found = np.hstack([held, found])
+        a, c, d, _, at = found
         new_a = np.r_[True, a[1:] != a[:-1]]
         new_c = new_a | np.r_[True, c[1:] != c[:-1]]
         first = np.maximum.accumulate(np.where(new_c, np.arange(len(a)), 0))
         repeat = (d != d[first]) | (at >> 32 != at[first] >> 32)
         group = np.cumsum(new_a) - 1
-        classes = np.bincount(group, weights=new_c)
-        several = classes[group] > 1
-        if last is not None and last[4]:
+        several = np.bincount(group, weights=new_c)[group] > 1
+        if carried and given:
             several |= group == 0
         opened = ~repeat & several
-        if last is not None and last[4]:
-            opened[0] = False  # given out before
-        carried = 0 if last is None else 1
         mine = np.arange(len(a)) >= carried
-        yield rows(a[repeat & mine], d[repeat & mine], at[repeat & mine], np.zeros(int((repeat & mine).sum()), bool))
-        yield rows(a[opened], d[opened], at[opened], np.ones(int(opened.sum()), bool))
-        k = first[-1]
-        last = (a[k], c[k], d[k], at[k], bool(several[-1]))
+        if given:
+            opened &= mine
+        yield rows(found, repeat & mine, False)
+        yield rows(found, opened, True)
+        waiting = np.flatnonzero(~repeat & (first == first[-1]))
+        given = bool(several[-1])
+        if not given and len(waiting) > 1 << 20:
+            # So many are given out unasked, which decides nothing, rather than held.
+            yield rows(found, waiting, True)
+            given = True
+        held = found[:, waiting[:1] if given else waiting]
 
 
 def _key(*parts: bytes) -> int:
@@ -174,15 +184,16 @@ def _key(*parts: bytes) -> int:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of open runs, by shard key: windows that hold SIDE bytes before the anchor by those, the others by the SIDE bytes behind it; windows of heavy anchors one by one."""
-    out: list[tuple[int, int, int, bytes]] = []
+    out: list[tuple[int, int, int, int, bytes]] = []
 
     def rows() -> pa.RecordBatch:
-        columns = list(zip(*out)) or [(), (), (), ()]
+        columns = list(zip(*out)) or [()] * 5
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], ["key", "d", "at", "raw"])
+        kinds = [pa.int64()] * 4 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["key", "d", "h", "at", "raw"])
 
     for batch in sliced(batches):
-        for d, text, found in zip(batch.column("d").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
+        for d, h, text, found in zip(*(batch.column(x).to_pylist() for x in ("d", "h", "text", "runs"))):
             raw = (text or "").encode()
             for r in found:
                 start, low = r["at"] >> 32, r["at"] & 0xFFFFFFFF
@@ -190,13 +201,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = stop - 1 + (low >> 6 & 63)
                 if r["heavy"]:
                     for s in range(start, stop):
-                        out.append((_key(anchor, raw[s : s + 8], raw[s + SIZE - 8 : s + SIZE]), d, s << 32 | tag, raw[s : s + SIZE]))
+                        out.append((_key(anchor, raw[s : s + 8], raw[s + SIZE - 8 : s + SIZE]), d, h, s << 32 | tag, raw[s : s + SIZE]))
                 else:
                     middle = max(start, min(stop, at - SIDE + 1))
                     if start < middle:
-                        out.append((_key(anchor, b"<", raw[at - SIDE : at]), d, start << 32 | tag | middle - start - 1, raw[start : middle + SIZE - 1]))
+                        out.append((_key(anchor, b"<", raw[at - SIDE : at]), d, h, start << 32 | tag | middle - start - 1, raw[start : middle + SIZE - 1]))
                     if middle < stop:
-                        out.append((_key(anchor, b">", raw[at + K : at + K + SIDE]), d, middle << 32 | tag | stop - middle - 1, raw[middle : stop + SIZE - 1]))
+                        out.append((_key(anchor, b">", raw[at + K : at + K + SIDE]), d, h, middle << 32 | tag | stop - middle - 1, raw[middle : stop + SIZE - 1]))
             if len(out) > 20_000:
                 yield rows()
     yield rows()
@@ -207,59 +218,67 @@ _SHIFT = bytes(b + 2 if b < 0xC0 else b for b in range(256))
 
 
 def repeated(segments: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
-    """(d, at) of windows that start earlier too; segments: (d, packed place, bytes)."""
+    """(segment, start) of windows that start earlier too; segments: (d, start, bytes)."""
     text = b"".join(raw.translate(_SHIFT) + b"\1" for _, _, raw in segments) + b"\0"
     where = np.zeros(len(text), np.int32)
     begin = np.cumsum([0, *(len(raw) + 1 for _, _, raw in segments)])
     for k, (_, _, raw) in enumerate(segments):
         where[begin[k] : begin[k] + len(raw) - SIZE + 1] = k + 1
     begin = begin.tolist()
-    shown, least = None, None
+    shown, least, first = None, None, []  # the window, its earliest place, and the segments that have it there
     for part in byte_order(text):
         owner = where[part]
         own = owner > 0
         for i, k in zip(part[own].tolist(), owner[own].tolist()):
-            d, at, _ = segments[k - 1]
-            s = (at >> 32) + i - begin[k - 1]
-            place = (d, s, s << 32 | at & 0xFFFFF000)
+            d, start, _ = segments[k - 1]
+            place = (d, start + i - begin[k - 1])
             window = text[i : i + SIZE]
             if window != shown:
-                shown, least = window, place
-            elif place[:2] > least[:2]:
-                yield d, place[2]
-            elif place[:2] < least[:2]:
-                yield least[0], least[2]
-                least = place
+                shown, least, first = window, place, [k - 1]
+            elif place > least:
+                yield k - 1, place[1]
+            elif place == least:
+                first.append(k - 1)
+            else:
+                for other in first:
+                    yield other, least[1]
+                least, first = place, [k - 1]
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole keys of a sorted shard, sorted together until they make SHARD bytes.
+    """Whole keys of a shard sorted by (key, d, at), decided together until they make SHARD bytes.
 
-    Equal segments of a key are repeats of the first of them; what differs is sorted.
+    Equal segments of a key are repeats of the first of them; those of other texts at the
+    first's place share its fate; what differs is sorted.
     """
     held: list[tuple[int, int, bytes]] = []
-    out: list[tuple[int, int]] = []
+    texts: list[list[tuple[int, int]]] = []  # of each held segment: hash and packed place of every text that has it there
+    out: list[tuple[int, int, int]] = []
     size, last = 0, None
-    mine: dict[bytes, tuple[int, int]] = {}
+    mine: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
 
     def rows() -> pa.RecordBatch:
         nonlocal size
-        out.extend(repeated(held) if held else ())
+        for k, s in repeated(held) if held else ():
+            out.extend((held[k][0], h, s << 32 | at & 0xFFFFF000) for h, at in texts[k])
         held.clear()
+        texts.clear()
         size = 0
-        found = list(zip(*out)) or [(), ()]
+        found = list(zip(*out)) or [(), (), ()]
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["d", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["d", "h", "at"])
 
     def close() -> None:
         nonlocal size
         if len(mine) > 1:
-            held.extend((d, at, raw) for raw, (d, at) in mine.items())
-            size += sum(map(len, mine))
+            for raw, (d, start, same) in mine.items():
+                held.append((d, start, raw))
+                texts.append(same)
+                size += len(raw)
         mine.clear()
 
     for batch in batches:
-        for key, d, at, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "d", "at", "raw"))):
+        for key, d, h, at, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "d", "h", "at", "raw"))):
             if key != last:
                 close()
                 last = key
@@ -267,12 +286,11 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield rows()
             first = mine.get(raw)
             if first is None:
-                mine[raw] = (d, at)
-            elif (d, at >> 32) < (first[0], first[1] >> 32):
-                out.append(first)
-                mine[raw] = (d, at)
-            elif (d, at >> 32) > (first[0], first[1] >> 32):
-                out.append((d, at))
+                mine[raw] = (d, at >> 32, [(h, at)])
+            elif (d, at >> 32) == first[:2]:
+                first[2].append((h, at))
+            else:
+                out.append((d, h, at))
     close()
     yield rows()
 
@@ -304,27 +322,25 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_SPANS else df
 
 
-def tag(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(_TAG)
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every row."""
     bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "repeats")
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), tag(F.col("text")).alias("tag"), "text")
-    sent = own.where(F.octet_length("text") >= SIZE).select("d", "tag", "text").mapInArrow(_anchored, "done boolean, a long, c long, d long, at long")
-    met = sent.repartition("a").sortWithinPartitions("done", "a", "c", "d", "at").mapInArrow(_met, "open boolean, a long, d long, at long")
+    whole = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), F.xxhash64(whole).alias("h"), F.crc32(whole).bitwiseAND(_TAG).alias("tag"), "text")
+    keys, tag = ["d", "h", "tag"], F.shiftright("at", 12).bitwiseAND(_TAG).alias("tag")
+    sent = own.where(F.octet_length("text") >= SIZE).select(*keys, "text").mapInArrow(_anchored, "done boolean, a long, c long, d long, h long, at long")
+    met = sent.repartition("a").sortWithinPartitions("done", "a", "c", "d", "at").mapInArrow(_met, "open boolean, a long, d long, h long, at long")
     met = scratch.save(met, "met")
     open_, n = met.where("open"), met.count()
     heavy = open_.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("a", F.lit(True).alias("heavy"))
-    by_text = open_.join(heavy, "a", "left").groupBy("d", F.shiftright("at", 12).bitwiseAND(_TAG).alias("tag"))
-    by_text = by_text.agg(F.collect_list(F.struct("a", "at", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("runs"))
-    texts = own.select("d", "tag", "text").join(_near(by_text, n), ["d", "tag"])
-    decided = texts.mapInArrow(_texts, "key long, d long, at long, raw binary").repartition("key").sortWithinPartitions("key").mapInArrow(_decided, "d long, at long")
+    by_text = open_.join(heavy, "a", "left").groupBy("d", "h", tag)
+    by_text = by_text.agg(F.collect_set(F.struct("a", "at", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("runs"))
+    texts = own.select(*keys, "text").join(_near(by_text, n), keys)
+    decided = texts.mapInArrow(_texts, "key long, d long, h long, at long, raw binary").repartition("key").sortWithinPartitions("key", "d", "at").mapInArrow(_decided, "d long, h long, at long")
     decided = scratch.save(decided, "decided")
-    found = met.where("not open").select("d", "at").union(decided)
+    found = met.where("not open").select("d", "h", "at").union(decided)
     more = n + decided.count()
-    found = found.groupBy("d", F.shiftright("at", 12).bitwiseAND(_TAG).alias("tag")).agg(F.collect_set("at").alias("found"))
-    rows = own.join(_near(found, more), ["d", "tag"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "found")
+    found = found.groupBy("d", "h", tag).agg(F.collect_set("at").alias("found"))
+    rows = own.join(_near(found, more), keys, "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "found")
     return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
