@@ -2,12 +2,17 @@
 
 A page is cut into blocks at its block-level tags.  Blocks inside menus, page
 headers, footers, sidebars, notices, adverts, forms, comments, scripts and
-styles are out: by element, or by the words in ``class``, ``id`` and ``role``.
-If the page marks articles or its main part, only the blocks inside count.  The
+styles are out: by element, or by the words in ``class``, ``id`` and ``role``,
+which are cut at hyphens, underscores and capitals.
+If the page marks articles or its main part, only the blocks inside count; of
+several articles those that are short and have a linked heading are teasers of
+other pages and out, unless all are.  The
 first pass labels each block by its link density, its length and its stop-word
 density, and leaves short ones open; in the second pass an open block takes the
 label of its nearest decided neighbours, and a heading that of the block that
-it heads.  The thresholds of the density are low
+it heads.  Stop words speak only where the page as a whole has enough of one
+language's: elsewhere length and link density decide, and a long block is never
+out for its words alone.  The thresholds of the density are low
 because the lists of stop words hold only the few dozen commonest of each
 language.  One article on the page is a prior: few stop words leave its blocks
 open, and an open one is out only between blocks that are out.
@@ -21,8 +26,9 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -31,26 +37,34 @@ from pyspark.sql import DataFrame
 from plumbline.llm.text import bound_batches, sliced
 
 LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.2, 70, 200, 0.10, 0.18
+#: Characters, links aside, below which an article with a linked heading is a teaser.
+TEASER = 400
 
 # Frequent function words of English, German, French and Spanish.
-STOP_WORDS = frozenset(
-    """a an the of and to in is that it for on was with be by this are from or not at as but what have has had he she they we you i
-    der die das und in zu den ist von mit für auf ein eine im dem nicht des sich auch als er es an werden aus bei sie wie oder
-    le la les de des et un une en est que qui dans pour sur au aux du par pas ne il elle ce se avec son sa ou plus
-    el los las del y una que es con por su al lo como para se no más o pero sus si ya""".split()
-)
+STOP_WORDS = [
+    frozenset(words.split())
+    for words in (
+        "a an the of and to in is that it for on was with be by this are from or not at as but what have has had he she they we you i",
+        "der die das und in zu den ist von mit für auf ein eine im dem nicht des sich auch als er es an werden aus bei sie wie oder",
+        "le la les de des et un une en est que qui dans pour sur au aux du par pas ne il elle ce se avec son sa ou plus",
+        "el la los las de del y en una un que es con por su al lo como para se no más o pero sus si ya",
+    )
+]
 # Elements by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 OUT = frozenset("nav footer aside form menu dialog button select svg canvas object audio video map datalist".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OPEN_ENDED = frozenset("p li dt dd option tr td th".split())
-HINT = re.compile(
-    r"(?:^|[-_])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|menus?|nav|navbar|navigation|breadcrumbs?|sidebars?|footers?|masthead"
-    r"|comments?|disqus|repl(?:y|ies)|shar(?:e|ing)|social|related|recommend\w*|newsletter|subscribe|signup|login|search|popup|modal|widgets?|toolbar|pagination|pager)(?:$|[-_])"
+HINTS = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion promotions promoted banner banners cookie cookies consent gdpr
+    notice notices alert alerts menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars footer footers masthead comment comments disqus reply replies
+    share sharing social related recommend recommended recommendation recommendations newsletter newsletters subscribe signup login search popup modal widget widgets toolbar pagination pager""".split()
 )
-HEAD_HINT = re.compile(r"(?:^|[-_])(?:headers?|topbar)(?:$|[-_])")
-NO_HINT = re.compile(r"^(?:has|with|no|without)[-_]|content|article|entry")
+HEAD_HINTS = frozenset("header headers topbar".split())
+#: Words that turn the hint behind them around, and those that make a header part of the text.
+_WITHOUT, _OF_TEXT = frozenset("has with no without".split()), frozenset("article content entry post story".split())
+_EDGE = re.compile(r"[-_]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _TAG = re.compile(r"""<(?:!--|[!?][^>]*>?|(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']++|"[^"<]*"|'[^'<]*')*+>|[^<>]*+>?))""")
 _MARK = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -61,21 +75,30 @@ def _closing(tag: str) -> re.Pattern:
     return re.compile(f"</{re.escape(tag)}", re.I | re.A)
 
 
+@lru_cache(1 << 16)
+def _hints(token: str) -> tuple[bool, bool]:
+    """Does a class word name a part that is out, and one that is out before an article?"""
+    parts = [p.lower() for p in _EDGE.split(token)]
+    if not _WITHOUT.isdisjoint(parts):
+        parts = parts[: min(k for k, p in enumerate(parts) if p in _WITHOUT)]
+    return not HINTS.isdisjoint(parts), not HEAD_HINTS.isdisjoint(parts) and _OF_TEXT.isdisjoint(parts)
+
+
 def unwanted(tag: str, marks: str, inside: bool) -> bool:
     """Is an element out, by its tag and attributes? inside: an article that is already open."""
     if tag in OUT or tag == "header" and not inside:
         return True
-    if "=" not in marks or tag in ("html", "body", "article", "main"):
-        found = _MARK.findall(marks) if tag == "article" else ()
-    else:
-        found = _MARK.findall(marks)
-    for name, value in found:
-        for token in value.strip("\"'").lower().split():
+    if "=" not in marks or tag in ("html", "body", "main"):
+        return False
+    for name, value in _MARK.findall(marks):
+        for token in value.strip("\"'").split():
             if name.lower() == "role":
-                if token in _ROLES and tag != "article":
+                if token.lower() in _ROLES and tag != "article":
+                    return True
+            elif len(token) <= 100:
+                hint, head = _hints(token)
+                if hint or head and not inside and tag != "article":
                     return True
-            elif HINT.search(token) and not NO_HINT.search(token) or not inside and tag != "article" and HEAD_HINT.search(token) and not NO_HINT.search(token):
-                return True
     return False
 
 
@@ -167,17 +190,42 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
-def first_pass(b: Block, prior: bool = False) -> str:
-    """good, bad or open; prior: the block is in the page's only article."""
+def stop_words(found: list[Block]) -> frozenset[str]:
+    """The list of the page's language; an empty one if the page has few of any."""
+    tokens = [t.strip(".,;:!?()\"'") for b in found for t in b.text.lower().split()]
+    counts = Counter(tokens)
+    best = max(STOP_WORDS, key=lambda words: sum(counts[w] for w in words))
+    return best if sum(counts[w] for w in best) >= FEW_STOPS * max(1, len(tokens)) else frozenset()
+
+
+def first_pass(b: Block, stops: frozenset[str], prior: bool = False) -> str:
+    """good, bad or open; stops: the page's stop words, none if they say nothing; prior: the block is in the page's only article."""
     if b.linked > LINKS * len(b.text):
         return "bad"
     if len(b.text) < SHORT or b.heading:
         return "open"
+    long = len(b.text) > LONG
+    if not stops:
+        return "good" if long else "open"
     tokens = b.text.lower().split()
-    stops = sum(t.strip(".,;:!?()\"'") in STOP_WORDS for t in tokens) / len(tokens)
-    if stops >= MANY_STOPS:
+    share = sum(t.strip(".,;:!?()\"'") in stops for t in tokens) / len(tokens)
+    if share >= MANY_STOPS:
         return "good"
-    return ("good" if len(b.text) > LONG else "open") if stops >= FEW_STOPS else "open" if prior else "bad"
+    if share >= FEW_STOPS:
+        return "good" if long else "open"
+    return "open" if prior or long else "bad"
+
+
+def teasers(found: list[Block]) -> set[int]:
+    """The articles, by group, that are short and have a linked heading; none if all are."""
+    size: Counter[int] = Counter()
+    linked: set[int] = set()
+    for b in found:
+        size[b.group] += max(0, len(b.text) - b.linked)
+        if b.heading and b.linked > LINKS * len(b.text):
+            linked.add(b.group)
+    short = {g for g in linked if size[g] < TEASER}
+    return short if len(short) < len(size) else set()
 
 
 def second_pass(found: list[Block], labels: list[str], prior: bool = False) -> list[bool]:
@@ -217,16 +265,15 @@ def second_pass(found: list[Block], labels: list[str], prior: bool = False) -> l
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     found = blocks(html or "")
-    sizes: dict[int, int] = {}
-    for b in found:
-        if b.group:
-            sizes[b.group] = sizes.get(b.group, 0) + len(b.text)
-    prior = len(sizes) == 1
-    if not sizes and any(b.main for b in found):
-        found = [b for b in found if b.main]
-    elif sizes:
+    if any(b.group for b in found):
         found = [b for b in found if b.group]
-    kept = second_pass(found, [first_pass(b, prior) for b in found], prior)
+        out = teasers(found)
+        found = [b for b in found if b.group not in out]
+    elif any(b.main for b in found):
+        found = [b for b in found if b.main]
+    prior = len({b.group for b in found} | {0}) == 2
+    stops = stop_words(found)
+    kept = second_pass(found, [first_pass(b, stops, prior) for b in found], prior)
     return " ".join(b.text for b, k in zip(found, kept) if k)
 
 

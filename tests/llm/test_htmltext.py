@@ -1,8 +1,9 @@
 import re
 from collections import Counter
 from html import unescape
+from html.parser import HTMLParser
 
-from plumbline.llm.htmltext import extract, main_text
+from plumbline.llm.htmltext import STOP_WORDS, extract, main_text
 from plumbline.llm.queries import op9_html_text
 
 
@@ -76,3 +77,142 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "u", page, "t", 1), (1, None, page, "t", 1), (1, None, page, "t", 1), (2, "v", None, "t", 1)], "page_id long, url string, html string, text string, n_chars int")
     got = sorted((str(r["page_id"]), str(r["url"]), r["text"]) for r in extract(df).collect())
     assert got == sorted([("None", "u", PROSE.strip()), ("1", "None", PROSE.strip()), ("1", "None", PROSE.strip()), ("2", "v", "")])
+
+
+POLISH = "Wczoraj wieczorem nad brzegiem rzeki zebrali się mieszkańcy całego miasteczka, żeby wspólnie zobaczyć pokaz świateł przygotowany przez lokalnych artystów. "
+CHINESE = "昨天晚上,整个小镇的居民聚集在河边,一起观看当地艺术家准备的灯光表演。孩子们在草地上奔跑,老人们坐在长椅上谈论往事。" * 4
+
+
+def test_languages_without_a_list():
+    for prose in (POLISH * 3, CHINESE):
+        prose = prose.strip()
+        assert main_text(f"<nav><a href=x>Menu</a></nav><div>{prose}</div><div><p>{prose}</p></div><footer>x</footer>") == f"{prose} {prose}"
+        assert main_text(f"<article><p>{prose}</p></article><article><p>{prose}</p></article>") == f"{prose} {prose}"
+        assert prose in main_text(f"<div>{PROSE * 3}</div><blockquote>{prose}</blockquote><div>{PROSE * 3}</div>")
+
+
+def test_class_words_that_are_out_and_those_that_are_not():
+    out = "sponsored-content sidebar-content footer-content comment-content newsletter-entry related-articles cookieBanner adContainer SiteFooter userComments ADBanner post_comments gdpr-notice".split()
+    for mark in out:
+        block = f"<div class='x {mark}'><p>{POLISH * 3}</p><p>{PROSE * 3}</p></div>"
+        for page in (f"<div>{PROSE * 3}</div>{block}", f"<article><p>{PROSE * 3}</p>{block}</article>", f"<article><p>{PROSE * 3}</p></article>{block}"):
+            assert main_text(page) == " ".join((PROSE * 3).split()), mark
+    stay = "content article-body entry-content has-sidebar no-comments contentWithSidebar layout-with-sidebar addition header-free research shared".split()
+    for mark in stay[:-2] + ["headline", "research-notes"]:
+        assert main_text(f"<article><div class='{mark}'><p>{PROSE * 3}</p></div></article>") == " ".join((PROSE * 3).split()), mark
+    assert main_text(f"<div class=article-header><p>{PROSE * 3}</p></div>") == " ".join((PROSE * 3).split())
+
+
+def test_teasers_beside_an_article():
+    teaser = f"<article><h3><a href=/s>Another story of the day</a></h3><p>{PROSE}</p></article>"
+    assert main_text(f"<article><h1>T</h1><p>{POLISH * 4}</p></article>{teaser}{teaser}") == f"T {(POLISH * 4).strip()}"
+    assert main_text(teaser + teaser).count("best of") == 2
+    assert main_text(f"<article><h2>A</h2><p>{PROSE * 3}</p></article><article><h2>B</h2><p>{PROSE * 3}</p></article>").count("best of") == 6
+
+
+class Slow(HTMLParser):
+    """The rules again, over the tree that the standard parser sees: for well-formed pages."""
+
+    out = set("nav footer aside form script style title".split())
+    mark = re.compile(r"\b(ad|ads|cookie|notice|comments?|related|share|newsletter|sidebar|banner|promo|menu|social|sponsored)\b")
+    block = set("html head body article main div p br h1 h2 h3 h4 ul ol li section header footer nav aside form table tr td blockquote pre title".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found, self.parts = [], [], []
+        self.group, self.groups = 0, 0
+
+    def close_block(self):
+        text = "".join(t for t, _ in self.parts)
+        text, linked = " ".join(text.split()), sum(len(t) for t, a in self.parts if a)
+        if text:
+            self.found.append((text, linked, self.group, any(re.fullmatch("h[1-6]", t) for t, _ in self.open)))
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "meta", "link", "img", "hr", "input"):
+            if tag in self.block:
+                self.close_block()
+            return
+        if tag in ("p", "li") and self.open and self.open[-1][0] == tag:
+            self.handle_endtag(tag)
+        words = " ".join(re.sub(r"[-_]", " ", v or "") for k, v in attrs if k in ("class", "id", "role"))
+        gone = tag in self.out or bool(self.mark.search(words)) or tag == "header" and not self.group
+        if tag in self.block:
+            self.close_block()
+        if tag == "article" and not self.group:
+            self.groups += 1
+            self.group = self.groups
+        self.open.append((tag, gone))
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.open]:
+            if tag in self.block:
+                self.close_block()
+            while self.open.pop()[0] != tag:
+                pass
+            if not any(t == "article" for t, _ in self.open):
+                self.group = 0
+
+    def handle_data(self, data):
+        if not any(gone for _, gone in self.open):
+            self.parts.append((data, any(t == "a" for t, _ in self.open)))
+
+
+def slow_text(html):
+    page = Slow()
+    page.feed(html)
+    page.close_block()
+    found = page.found
+    inside = [b for b in found if b[2]]
+    found = inside or found
+    one = len({b[2] for b in inside}) == 1
+    every = [w.strip(".,;:!?()\"'") for b in found for w in b[0].lower().split()]
+    stops = max(STOP_WORDS, key=lambda s: sum(w in s for w in every))
+    if sum(w in stops for w in every) < 0.1 * len(every):
+        stops = None
+    labels = []
+    for text, linked, _, heading in found:
+        density = sum(w.strip(".,;:!?()\"'") in stops for w in text.lower().split()) / len(text.split()) if stops else 0
+        if linked > 0.2 * len(text):
+            labels.append("out")
+        elif heading or len(text) < 70:
+            labels.append("?")
+        elif stops is None:
+            labels.append("in" if len(text) > 200 else "?")
+        elif density >= 0.18 or density >= 0.1 and len(text) > 200:
+            labels.append("in")
+        else:
+            labels.append("?" if density >= 0.1 or one or len(text) > 200 else "out")
+    kept = []
+    for i, (text, _, _, heading) in enumerate(found):
+        before = [(i - k, labels[k]) for k in range(i - 1, -1, -1) if labels[k] != "?"][:1]
+        after = [(k - i, labels[k]) for k in range(i + 1, len(found)) if labels[k] != "?"][:1]
+        near = before + after
+        if labels[i] != "?":
+            verdict = labels[i]
+        elif not near:
+            verdict = "in"
+        elif one:
+            verdict = "in" if any(x == "in" for _, x in near) else "out"
+        elif heading and after:
+            verdict = after[0][1]
+        elif len({x for _, x in near}) == 1:
+            verdict = near[0][1]
+        elif before[0][0] != after[0][0]:
+            verdict = min(near)[1]
+        else:
+            verdict = "in" if len(text) >= 70 else "out"
+        if verdict == "in":
+            kept.append(text)
+    return " ".join(kept)
+
+
+def test_all_pages_equal_the_slow_version(spark):
+    """Every page as it is, through the query; and with its article, or its paragraphs' tags, turned into divisions."""
+    rows = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = op9_html_text(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(rows) and all(r["text"] == slow_text(rows[r["page_id"]]) for r in got)
+    for html in rows.values():
+        html = re.sub(r"<(/?)article\b", r"<\1div", html)
+        assert main_text(html) == slow_text(html)
