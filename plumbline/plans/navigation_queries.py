@@ -299,14 +299,6 @@ def document_ids(spark, sf_dir):
 # Searches that had no SQL
 
 
-@query("sym", r"""
-, s as (select symbol_ord, upper(left(display, 1)) || substr(split_part(display, ' ', 1), 2) || ' ' || upper(left(split_part(display, ' ', 2), 1)) || substr(split_part(display, ' ', 2), 2) as name from sym)
-select symbol_ord, regexp_matches(name, 'Bl') matched from s""")
-def fuzzy_match(spark, sf_dir):
-    """Member search: an upper-case character may skip ahead, a lower-case one must follow it."""
-    return L(spark, sf_dir).symbols.select("symbol_ord", names.member_match("Bl")(F.initcap("display")).alias("matched"))
-
-
 @query("sym", r"""
 , t as (select symbol_ord, display, p_brand, replace(display, ' ', '') n, length(replace(display, ' ', '')) len, regexp_matches(display, '(^| )ba') or starts_with(lower(p_brand), 'ba') pre from sym),
 sc as (select *, case when n = 'ba' then 1000000 - len when starts_with(n, 'ba') then 100000 - len when regexp_matches(display, '^b.* a') then 3000 - len
@@ -332,21 +324,6 @@ def group_highlights(spark, sf_dir):
     return references.highlights(l.defs.select(F.col("def_doc").alias("doc_ord"), "symbol_ord"), l.groups, l.postings)
 
 
-@query("posting closure sym", """
-, spot as (select d.symbol_ord, d.doc_ord, d.ps, d.pe, arg_min(o.symbol_ord, (o.pe - o.ps, o.ps, o.seq)) found from def d join occ o on o.doc_ord = d.doc_ord and d.ps between o.ps and o.pe group by 1, 2, 3, 4),
-s as (select semantic_symbol symbol, dd.uri, spot.ps, spot.pe from spot join sym using (symbol_ord) join doc dd on dd.doc_ord = spot.doc_ord join closure k on k.source = 9 and k.reached = dd.target_ord where found = symbol_ord and regexp_matches(semantic_symbol, '#p[0-9]*1[0-9]*\\(\\)\\.$'))
-select *, row_number() over (order by symbol, uri, ps, pe)::int rank from s""".replace("\\\\", "\\"))
-def method_hits(spark, sf_dir):
-    """Methods whose name matches p1, defined where one target can see them, in order."""
-    l = L(spark, sf_dir)
-    last = grammar.split_last(F.col("semantic_symbol"))
-    methods = l.symbols.where(last["kind"] == "method").where(names.member_match("p1")(last["name"])).select("symbol_ord", F.col("semantic_symbol").alias("symbol"))
-    own = l.groups.select("symbol_ord", F.col("symbol_ord").alias("component"))
-    found = references.exact_definitions(own, l.defs, l.occ, l.docs, l.closure.where("source = 9")).drop("rank", "from_target")
-    rank = F.row_number().over(Window.orderBy("symbol", "uri", "ps", "pe"))  # the hits of one search
-    return found.join(methods, "symbol_ord").select("symbol", "uri", "ps", "pe", rank.alias("rank"))
-
-
 @query("doc closure", """
 , t as (select uri, case when doc_ord % 2 = 0 then target_ord else 20 end target from doc)
 select uri, count(*) n, string_agg(reached::varchar, ',' order by reached) reached from t join closure on source = target group by uri""")

@@ -445,14 +445,6 @@ def fuzzy_candidates(spark, sf_dir):
     return search.fuzzy_candidates(_parts(spark, sf_dir), "b", 50)
 
 
-@query("sym", "select distinct q.q, t.symbol_ord from (values ('blu'), ('an'), ('re'), ('brand')) q(q) join (select symbol_ord, unnest(string_split(lower(display || ' ' || p_brand || ' mfr'), ' ')) tok from sym) t on starts_with(t.tok, q.q)")
-def prefix_join(spark, sf_dir):
-    """Query tokens to field tokens by prefix, on their first character."""
-    tokens = search.token_table(_parts(spark, sf_dir)).withColumn("first", F.substring("token", 1, 1))
-    asked = spark.createDataFrame([("blu",), ("an",), ("re",), ("brand",)], "q string").withColumn("first", F.substring("q", 1, 1))
-    return tokens.join(asked, (tokens["first"] == asked["first"]) & F.startswith("token", F.col("q"))).select("q", "symbol_ord").distinct()
-
-
 @query("sym", "select q.n as name, exists (select 1 from sym where display = q.n) found from (values ('blue anvil'), ('no such name')) q(n)")
 def name_exists(spark, sf_dir):
     asked = spark.createDataFrame([("blue anvil",), ("no such name",)], "name string")
@@ -467,13 +459,6 @@ def unindexed_names_anti(spark, sf_dir):
     return tokens.join(known, F.lower("token") == F.col("k"), "left_anti")
 
 
-@query("sym posting", "select p.symbol_ord, uri, ps, pe from sym join posting p using (symbol_ord) where is_def and starts_with(display, 'blue')")
-def search_methods(spark, sf_dir):
-    l = L(spark, sf_dir)
-    hits = l.symbols.where(names.member_match("blue")("display")).select("symbol_ord")
-    return first_definition(spark, sf_dir).join(hits, "symbol_ord", "left_semi")
-
-
 # Scalars
 
 

@@ -1,6 +1,7 @@
 import pytest
 
 import plumbline.plans.navigation_queries
+import plumbline.plans.search_queries
 import plumbline.plans.session_queries
 import plumbline.plans.workspace_queries
 import plumbline.streaming.queries  # noqa: F401
