@@ -37,9 +37,9 @@ def allowed_targets(defs: DataFrame, docs: DataFrame, closure: DataFrame) -> Dat
     owner = defs.join(docs.select(F.col("doc_ord").alias("def_doc"), F.col("target_ord").alias("def_target")), "def_doc", "left").select("symbol_ord", "def_target")
     users = reverse(closure)
     known = owner.join(users, owner["def_target"] == users["source"]).select("symbol_ord", F.col("reached").alias("target_ord"))
-    every = sorted(r[0] for r in closure.select("source").distinct().collect())  # the targets of a build graph
     lost = owner.join(users.select("source").distinct(), owner["def_target"] == F.col("source"), "left_anti").select("symbol_ord")
-    return known.union(lost.select("symbol_ord", F.explode(F.array(*(F.lit(t).cast("int") for t in every))).alias("target_ord")) if every else known.limit(0))
+    every = closure.select("source").distinct().agg(F.collect_list("source").alias("every"))  # one row: the targets of a build graph
+    return known.union(lost.crossJoin(F.broadcast(every)).select("symbol_ord", F.explode("every").alias("target_ord")))
 
 
 def seen_from(rows: DataFrame, defs: DataFrame, docs: DataFrame, closure: DataFrame) -> DataFrame:
