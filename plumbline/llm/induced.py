@@ -172,7 +172,8 @@ def _named(t: Sequence[int], lms: array) -> tuple[array, int]:
 
 def _induce(t: Sequence[int], small: bytearray, order: array) -> Iterator[int]:
     store = Store()
-    new = lambda: Queue(store)
+    # What cannot grow beyond the memory that queues may use needs no chunks: a list also grows while it is read.
+    new = list if len(t) <= CHUNK * HELD else lambda: Queue(store)
     first, large, less = defaultdict(new), defaultdict(new), defaultdict(new)
     for i in order:
         first[t[i]].append(i)

@@ -28,13 +28,13 @@ def test_queues_of_a_shard_lie_in_files(monkeypatch):
     monkeypatch.setattr(induced.sorted_runs, "__defaults__", (500,))
     rng = random.Random(5)
     shared = "".join(rng.choices("abcd ", k=400)).encode()
-    segments = [(d, d << 44, rng.randbytes(50).translate(bytes(97 + b % 5 for b in range(256))) + shared[d : d + 150 + d]) for d in range(40)]
+    segments = [(d, d << 12, rng.randbytes(50).translate(bytes(97 + b % 5 for b in range(256))) + shared[d : d + 150 + d]) for d in range(40)]
     found = sorted(set(repeats.repeated(segments)))
     least, want = {}, set()
-    for d, at, raw in sorted(segments):
+    for d, start, raw in sorted(segments):
         for s in range(len(raw) - 99):
             if raw[s : s + 100] in least:
-                want.add((d, (at >> 32) + s << 32))
+                want.add((d, start + s))
             else:
                 least[raw[s : s + 100]] = d
     assert found == sorted(want) and len(files) > 5
