@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 # Flag bits of an occurrence.
 DEFINITION, EDITABLE, GENERATED, READONLY, SYNTHETIC = 1, 2, 4, 8, 16
 # Reasons against a rename, in the order of their bits.
-REASONS = {1: "external symbol", 2: "generated occurrence", 4: "readonly occurrence", 8: "override family", 16: "synthetic symbol", 32: "companion", 64: "unsupported forwarder", 128: "opaque type", 256: "dependency source", 512: "stale"}
+EXTERNAL, OF_GENERATED, OF_READONLY, OVERRIDE_FAMILY, SYNTHETIC_ONLY, PC_ONLY, DISAGREEMENT, UNSUPPORTED_FAMILY, OF_DEPENDENCY, OPAQUE_TYPE = (1 << k for k in range(10))
+REASONS = {
+    EXTERNAL: "symbol is defined outside the workspace",
+    OF_GENERATED: "symbol has occurrences in generated sources",
+    OF_READONLY: "symbol has occurrences in readonly sources",
+    OVERRIDE_FAMILY: "symbol participates in an override family that cannot be renamed safely",
+    SYNTHETIC_ONLY: "symbol only has synthetic occurrences",
+    PC_ONLY: "symbol is provided by a PC-only plugin and is not present in fresh SemanticDB",
+    DISAGREEMENT: "targets sharing this source disagree on the rename group",
+    UNSUPPORTED_FAMILY: "symbol family (e.g. apply/unapply, exported symbol) is not safely renameable",
+    OF_DEPENDENCY: "symbol has occurrences in dependency sources",
+    OPAQUE_TYPE: "opaque type rename is not supported (conservative policy)",
+}
 # Build severities are the protocol's; anything else counts as information.
 SEVERITIES = (1, 2, 3, 4)
 

@@ -218,10 +218,9 @@ def ref_union_def(spark, sf_dir):
     return rows.where("not is_def").select("symbol_ord", "uri", "ps", "pe").unionByName(rows.where("is_def").select("symbol_ord", "uri", "ps", "pe"))
 
 
-@query("posting", "select symbol_ord, min((target_ord, doc_ord))::struct(t int, d bigint).d doc_ord from posting where is_def or ps % 2 = 0 group by symbol_ord")
+@query("posting", "select symbol_ord, min((target_ord, doc_ord))::struct(t int, d bigint).d doc_ord from posting group by symbol_ord")
 def first_defining_doc(spark, sf_dir):
-    rows = L(spark, sf_dir).postings.where("is_def or ps % 2 = 0")
-    return rows.groupBy("symbol_ord").agg(F.min(F.struct("target_ord", "doc_ord")).alias("x")).select("symbol_ord", F.col("x.doc_ord").alias("doc_ord"))
+    return L(spark, sf_dir).postings.groupBy("symbol_ord").agg(F.min(F.struct("target_ord", "doc_ord")).alias("x")).select("symbol_ord", F.col("x.doc_ord").alias("doc_ord"))
 
 
 # Groups and aggregates
@@ -490,8 +489,9 @@ def pack_positions(spark, sf_dir):
 
 
 @query("prof", """
-select component, array_to_string(list_filter([case when is_external then 'external symbol' end, case when has_generated then 'generated occurrence' end, case when has_readonly then 'readonly occurrence' end,
-  case when has_override_family then 'override family' end, case when has_dependency then 'dependency source' end], lambda x: x is not null), '; ') reasons from prof2""")
+select component, array_to_string(list_filter([case when is_external then 'symbol is defined outside the workspace' end, case when has_generated then 'symbol has occurrences in generated sources' end,
+  case when has_readonly then 'symbol has occurrences in readonly sources' end, case when has_override_family then 'symbol participates in an override family that cannot be renamed safely' end,
+  case when has_dependency then 'symbol has occurrences in dependency sources' end], lambda x: x is not null), '; ') reasons from prof2""")
 def explain_reasons(spark, sf_dir):
     return L(spark, sf_dir).profiles.select("component", F.array_join(masks.explain(F.col("unsafe_mask")), "; ").alias("reasons"))
 

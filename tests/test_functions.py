@@ -88,7 +88,7 @@ def test_symbol_grammar(spark):
 
 
 def test_masks(spark):
-    assert one(spark, masks.explain(F.lit(5))) == ["external symbol", "readonly occurrence"]
+    assert one(spark, masks.explain(F.lit(5))) == ["symbol is defined outside the workspace", "symbol has occurrences in readonly sources"]
     assert one(spark, masks.severity(F.lit(9))) == 3
     assert one(spark, masks.freshness(F.lit("x"), F.lit("9dd4e461268c8034f5c8564e155c67a6"))) == "Fresh"
     assert one(spark, masks.freshness(F.lit("x"), F.lit(None).cast("string"))) == "MissingMd5"

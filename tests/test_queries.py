@@ -1,6 +1,7 @@
 import pytest
 
 import plumbline.plans.fact_queries
+import plumbline.plans.family_queries
 import plumbline.plans.navigation_queries
 import plumbline.plans.search_queries
 import plumbline.plans.session_queries
