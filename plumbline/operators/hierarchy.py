@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import symbols as grammar
 from plumbline.functions.position import unpack_line
+from plumbline.runtime import Scratch
 
 # Kind codes of methods and macros.
 METHOD, MACRO = 3, 6
+#: Defined symbols, under 200 bytes each, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_SYMBOLS = 500_000
 
 
 def is_node(symbol: Column) -> Column:
@@ -38,26 +41,40 @@ def is_callable(symbol: Column, kind: Column) -> Column:
     return F.coalesce(plain | (last["kind"] == "term") & kind.isin(METHOD, MACRO), F.lit(False))
 
 
-def entries(occurrences: DataFrame) -> DataFrame:
-    """(doc, symbol, start, end, pos, owners): the entries of each document in source order; owners from the outermost."""
-    first = occurrences.where(F.col("is_def") & is_node(F.col("symbol"))).groupBy("doc", "symbol").agg(F.min(F.struct("ps", "pe")).alias("x"))
-    rows = first.select("doc", "symbol", F.col("x.ps").alias("start"), F.col("x.pe").alias("end"))
+def named(symbols: DataFrame) -> DataFrame:
+    """(symbol, owners, tries) of the different symbols that may be entries: owners from the outermost, and (depth, rank, name) of each owner and of its companion.
+
+    Everything that only a symbol's spelling tells is worked out here, once for each symbol and not for each place where it stands.
+    """
+    rows = symbols.select("symbol").distinct().where(is_node(F.col("symbol")))
     chain = grammar.owner_chain(F.col("symbol"))
     rows = rows.withColumn("owners", F.slice(chain, 1, F.size(chain) - 1))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc").orderBy("start", "symbol")))
+    one = lambda i, rank, name: F.struct(i.alias("depth"), F.lit(rank).alias("rank"), name.alias("name"))
+    tries = F.flatten(F.transform("owners", lambda o, i: F.array(one(i, 0, o), one(i, 1, grammar.companion(o)))))
+    return rows.withColumn("tries", F.filter(tries, lambda t: t["name"].isNotNull()))
+
+
+def entries(occurrences: DataFrame) -> DataFrame:
+    """(doc, symbol, start, end, pos, owners, tries): the entries of each document in source order, written once for all that follows."""
+    scratch = Scratch(occurrences.sparkSession, "entries")
+    known = scratch.save(named(occurrences.where("is_def")), "names")
+    first = occurrences.where("is_def").groupBy("doc", "symbol").agg(F.min(F.struct("ps", "pe")).alias("x"))
+    rows = first.select("doc", "symbol", F.col("x.ps").alias("start"), F.col("x.pe").alias("end")).join(known, "symbol")
+    rows = rows.select("doc", "symbol", "start", "end", "owners", "tries", F.row_number().over(Window.partitionBy("doc").orderBy("start", "symbol")).alias("pos"))
+    return scratch.save(rows, "entries")
 
 
-def covers(rows: DataFrame) -> DataFrame:
-    """(doc, outer, pos): each entry is in its own extent and in those of the ancestors whose run of descendants it continues.
+def covers(rows: DataFrame, outers: DataFrame | None = None) -> DataFrame:
+    """(doc, outer, pos): each entry is in its own extent and in those of the ancestors whose run of descendants it continues; outers: the entries (doc, symbol) whose extents are wanted, all if none are given.
 
     What lies inside an entry follows it without a gap up to its successor, so
     extents are runs of positions with a common owner; there is one row for
     each owner or companion of one.
     """
-    names = F.flatten(F.transform("owners", lambda o: F.array(o, grammar.companion(o))))
-    names = F.array_distinct(F.filter(F.concat(names, F.array("symbol")), lambda x: x.isNotNull()))
-    links = rows.select("doc", "symbol", "pos", F.explode(names).alias("owner"))
-    own = rows.select("doc", F.col("symbol").alias("owner"), F.col("pos").alias("outer"))
+    names = F.array_distinct(F.concat(F.transform("tries", lambda t: t["name"]), F.array("symbol")))
+    links = rows.select("doc", "pos", F.explode(names).alias("owner"))
+    own = rows.select("doc", "symbol", F.col("pos").alias("outer"))
+    own = (own if outers is None else own.join(outers, ["doc", "symbol"], "left_semi")).withColumnRenamed("symbol", "owner")
     links = links.join(own, ["doc", "owner"]).where("pos >= outer")
     place = F.row_number().over(Window.partitionBy("doc", "owner").orderBy("pos"))
     return links.withColumn("n", place).where(F.col("pos") - F.col("outer") == F.col("n") - 1).select("doc", "outer", "pos")
@@ -72,8 +89,7 @@ def extents(rows: DataFrame) -> DataFrame:
 
 def ancestors(rows: DataFrame) -> DataFrame:
     """(doc, symbol, up): the entries on the way out, nearest first, as (symbol, start, end, next); for an owner without an entry its companion's."""
-    tries = F.flatten(F.transform("owners", lambda o, i: F.array(F.struct(i.alias("depth"), F.lit(0).alias("rank"), o.alias("name")), F.struct(i.alias("depth"), F.lit(1).alias("rank"), grammar.companion(o).alias("name")))))
-    asked = rows.select("doc", "symbol", F.explode(tries).alias("t")).where("t.name is not null")
+    asked = rows.select("doc", "symbol", F.explode("tries").alias("t"))
     found = rows.select("doc", F.col("symbol").alias("name"), F.struct("symbol", "start", "end", "next").alias("e"))
     met = asked.select("doc", "symbol", "t.*").join(found, ["doc", "name"])
     one = met.groupBy("doc", "symbol", "depth").agg(F.min_by("e", "rank").alias("e"))
@@ -148,18 +164,22 @@ def outgoing(occurrences: DataFrame) -> DataFrame:
     defined terms, types and methods, without constructors and setters.
     """
     rows = entries(occurrences)
-    sites = definition_sites(occurrences)
-    uris = occurrences.select(F.col("doc").alias("def_doc"), F.col("uri").alias("callee_uri")).distinct()
-    refs = occurrences.where("not is_def and not on_import").where(is_node(F.col("symbol"))).select("doc", "ps", "pe", F.col("symbol").alias("callee"))
+    scratch = Scratch(occurrences.sparkSession, "outgoing")
+    nodes = rows.select("symbol").distinct()
+    first = occurrences.where("is_def").groupBy("symbol").agg(F.min(F.struct("doc", "ps", "pe", "uri")).alias("x")).join(nodes, "symbol", "left_semi")
+    sites = scratch.save(first.select("symbol", F.col("x.doc").alias("doc"), F.col("x.ps").alias("def_ps"), F.col("x.uri").alias("callee_uri")), "sites")
+    callees = sites.select(F.col("symbol").alias("callee"), "callee_uri", "def_ps")
+    known = callees.select("callee")
+    known = F.broadcast(known) if sites.count() <= BROADCAST_SYMBOLS else known
+    refs = occurrences.where("not is_def and not on_import").select("doc", "ps", "pe", F.col("symbol").alias("callee")).join(known, "callee", "left_semi").select("doc", "ps", "pe", "callee")
     # The last entry at or before a reference, and from there all extents that go on beyond it.
     left = rows.select("doc", F.col("start").alias("ps"), F.lit(0).alias("side"), "pos", F.lit(None).cast("long").alias("pe"), F.lit(None).cast("string").alias("callee"))
     right = refs.select("doc", "ps", F.lit(1).alias("side"), F.lit(None).cast("int").alias("pos"), "pe", "callee")
     order = Window.partitionBy("doc").orderBy("ps", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = left.union(right).withColumn("pos", F.last("pos", ignorenulls=True).over(order)).where("side = 1 and pos is not null")
-    own = rows.join(sites.select("symbol", F.col("def_doc").alias("doc")), ["symbol", "doc"], "left_semi").select("doc", F.col("pos").alias("outer"), "symbol")
-    inside = covers(rows).join(own, ["doc", "outer"])
-    met = at.join(inside, ["doc", "pos"]).groupBy("symbol", "callee").agg(_sites().alias("sites"))
-    met = met.join(sites.withColumnRenamed("symbol", "callee"), "callee").join(uris, "def_doc")
+    own = sites.select("doc", "symbol")
+    inside = covers(rows, own).join(rows.select("doc", F.col("pos").alias("outer"), "symbol"), ["doc", "outer"])
+    met = at.join(inside, ["doc", "pos"]).groupBy("symbol", "callee").agg(_sites().alias("sites")).join(callees, "callee")
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy("callee_uri", "def_ps", "callee"))
     return met.select("symbol", "callee", "callee_uri", "sites", rank.alias("rank"))
 
@@ -167,10 +187,9 @@ def outgoing(occurrences: DataFrame) -> DataFrame:
 def outline(occurrences: DataFrame) -> DataFrame:
     """(doc, symbol, name, start, parent): the nodes of each document; the parent is the nearest owner, else its companion, with an earlier node."""
     rows = entries(occurrences)
-    tries = F.flatten(F.transform("owners", lambda o, i: F.array(F.struct(i.alias("depth"), F.lit(1).alias("own"), o.alias("name")), F.struct(i.alias("depth"), F.lit(0).alias("own"), grammar.companion(o).alias("name")))))
-    asked = rows.select("doc", "symbol", "start", F.explode(tries).alias("t")).where("t.name is not null").select("doc", "symbol", "start", "t.*")
+    asked = rows.select("doc", "symbol", "start", F.explode("tries").alias("t")).select("doc", "symbol", "start", "t.*")
     found = rows.select("doc", F.col("symbol").alias("name"), F.col("start").alias("before"))
-    best = asked.join(found, ["doc", "name"]).where("before < start").groupBy("doc", "symbol").agg(F.max_by("name", F.struct("depth", "own")).alias("parent"))
+    best = asked.join(found, ["doc", "name"]).where("before < start").groupBy("doc", "symbol").agg(F.max_by("name", F.struct("depth", -F.col("rank"))).alias("parent"))
     return rows.join(best, ["doc", "symbol"], "left").select("doc", "symbol", grammar.split_last(F.col("symbol"))["name"].alias("name"), "start", "parent")
 
 
