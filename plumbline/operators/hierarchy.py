@@ -46,7 +46,11 @@ def named(symbols: DataFrame) -> DataFrame:
 
     Everything that only a symbol's spelling tells is worked out here, once for each symbol and not for each place where it stands.
     """
-    rows = symbols.select("symbol").distinct().where(is_node(F.col("symbol")))
+    # Generated columns are worked out once, however often they are read; a filter on an expression would repeat it.
+    last = symbols.select("symbol").distinct().select("symbol", F.inline(F.array(grammar.split_last(F.col("symbol")))))
+    setter = F.rlike("name", F.lit("(?s)^.+_=$"))
+    node = F.col("kind").isin("term", "type") | (F.col("kind") == "method") & (F.col("name") != grammar.CONSTRUCTOR) & ~setter
+    rows = last.where(node).select("symbol")
     chain = grammar.owner_chain(F.col("symbol"))
     rows = rows.withColumn("owners", F.slice(chain, 1, F.size(chain) - 1))
     one = lambda i, rank, name: F.struct(i.alias("depth"), F.lit(rank).alias("rank"), name.alias("name"))

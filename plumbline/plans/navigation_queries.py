@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import bits, hashes, names
 from plumbline.functions import symbols as grammar
-from plumbline.operators import hierarchy, lookup, references, search, session
+from plumbline.operators import hierarchy, lookup, references, search, selection, session
 from plumbline.operators import rename as renames
 from plumbline.plans import projections as p
 from plumbline.plans.components import connected_components
@@ -157,30 +157,88 @@ def rename_tokens(spark, sf_dir):
 # References, search and definitions to their ends
 
 
+def _firsts(l: L) -> DataFrame:
+    """(symbol_ord): the first defined symbol of each group, as the cursor that asks for it."""
+    return l.defs.select("symbol_ord").join(l.groups, "symbol_ord").groupBy("component").agg(F.min("symbol_ord").alias("symbol_ord")).select("symbol_ord")
+
+
 @query("posting closure comp", """
-, cur as (select d.symbol_ord, c.component, dd.target_ord def_target, coalesce(dd.md5 <> dd.prev_md5, false) needs_reindex from def d join comp c using (symbol_ord) join doc dd on dd.doc_ord = d.doc_ord),
+, cur as (select d.symbol_ord, c.component, dd.target_ord def_target, coalesce(dd.md5 <> dd.prev_md5, false) needs_reindex from def d join comp c using (symbol_ord) join doc dd on dd.doc_ord = d.doc_ord qualify d.symbol_ord = min(d.symbol_ord) over (partition by c.component)),
 h as (select cur.symbol_ord, p.uri, p.ps, p.pe, bool_and(p.is_def) is_def, any_value(needs_reindex) needs_reindex from cur join comp c2 on c2.component = cur.component join posting p on p.symbol_ord = c2.symbol_ord
   join closure k on k.source = p.target_ord and k.reached = cur.def_target group by cur.symbol_ord, p.uri, p.ps, p.pe)
 select *, row_number() over (partition by symbol_ord order by uri, ps, pe)::int rank from h""")
 def group_references(spark, sf_dir):
-    """References of every symbol's whole group, in order, and whether the cursor's document has changed since."""
+    """References of every group as its first symbol sees them, in order, and whether that one's document has changed since."""
     l = L(spark, sf_dir)
     stale = l.docs.select(F.col("doc_ord").alias("def_doc"), F.coalesce(F.col("md5") != F.col("prev_md5"), F.lit(False)).alias("needs_reindex"))
-    cursors = l.defs.join(stale, "def_doc").select("symbol_ord", "needs_reindex")
+    cursors = l.defs.join(stale, "def_doc").join(_firsts(l), "symbol_ord").select("symbol_ord", "needs_reindex")
     return references.of_groups(cursors, l.groups, l.postings, l.defs, l.docs, l.closure)
 
 
+_PLACES = """
+, pl as (select component, uri, ps, pe, target_ord, bool_and(is_def) is_def from posting join comp using (symbol_ord) group by all)"""
+
+
+@query("posting comp", _PLACES + """
+select component, uri, ps, pe, string_agg(target_ord || case when is_def then 'd' else 'r' end, ',' order by target_ord) targets, count(*) n from pl group by all""")
+def group_places(spark, sf_dir):
+    """Every place of every group once, with the targets that show it."""
+    l = L(spark, sf_dir)
+    found = references.places(l.groups, l.postings)
+    shown = F.array_join(F.transform("targets", lambda t: F.concat(t["target"].cast("string"), F.when(t["is_def"], "d").otherwise("r"))), ",")
+    return found.select("component", "uri", "ps", "pe", shown.alias("targets"), F.size("targets").cast("long").alias("n"))
+
+
+@query("posting closure comp", _PLACES + """
+, v as (select distinct c.component, dd.target_ord def_target from def d join comp c using (symbol_ord) join doc dd on dd.doc_ord = d.doc_ord)
+select v.component, v.def_target, pl.uri, pl.ps, pl.pe, bool_and(pl.is_def) is_def from v join pl using (component) join closure k on k.source = pl.target_ord and k.reached = v.def_target group by all""")
+def group_answers(spark, sf_dir):
+    """The answers that symbols of a group share: one for each target that defines a member."""
+    l = L(spark, sf_dir)
+    return references.answers(references.places(l.groups, l.postings), references.viewers(l.groups, l.defs, l.docs), l.closure)
+
+
+# Spans inside one another: documents, lines, pairs of words, words.
+_SPANS = """lens as (select doc_id doc, coalesce(text, '') t, string_split(coalesce(text, ''), chr(10)) ls from documents),
+ln as (select doc, unnest(ls) c, unnest(range(0, len(ls))) k from lens), lo as (select doc, c, k, (sum(length(c) + 1) over (partition by doc order by k) - length(c) - 1)::bigint o from ln),
+wd as (select doc, k, o, unnest(string_split(c, ' ')) w, unnest(range(0, len(string_split(c, ' ')))) i from lo), wo as (select doc, k, i, w, o + (sum(length(w) + 1) over (partition by doc, k order by i) - length(w) - 1)::bigint s from wd),
+sp as (select doc, 0::bigint s, length(t)::bigint e from lens union select doc, o, o + length(c) from lo union select doc, s, s + length(w) from wo where w <> '' union select doc, min(s), max(s + length(w)) from wo group by doc, k, i // 2),
+cu as (select distinct doc, s "at" from wo)"""
+
+
+@query("", f"""with {_SPANS},
+own as (select wo.doc, wo.s "at", [x for x in list_distinct([struct_pack(n := length(w)::bigint, s := wo.s, e := wo.s + length(w)), struct_pack(n := pe - ps, s := ps, e := pe), struct_pack(n := length(c)::bigint, s := o, e := o + length(c)), struct_pack(n := length(t)::bigint, s := 0::bigint, e := length(t)::bigint)]) if w <> '' or x.n >= 0] x
+  from wo join (select doc, k, i // 2 j, min(s) ps, max(s + length(w)) pe from wo group by all) pr on pr.doc = wo.doc and pr.k = wo.k and pr.j = wo.i // 2 join lo on lo.doc = wo.doc and lo.k = wo.k join lens on lens.doc = wo.doc where w <> '')
+select doc, "at", array_to_string(list_transform(list_sort(x), lambda y: y.s || '-' || y.e), ',') chain, len(x) depth from own""")
+def selection_chains(spark, sf_dir):
+    """The spans around the start of every word, innermost first."""
+    docs = p.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("t"))
+    lines = docs.select("doc", F.posexplode(F.split("t", "\n")).alias("k", "c"))
+    before = Window.partitionBy("doc").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("o", F.coalesce(F.sum(F.length("c") + 1).over(before), F.lit(0)))
+    words = lines.select("doc", "k", "o", F.posexplode(F.split("c", " ")).alias("i", "w"))
+    left = Window.partitionBy("doc", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    words = words.withColumn("s", F.col("o") + F.coalesce(F.sum(F.length("w") + 1).over(left), F.lit(0))).withColumn("e", F.col("s") + F.length("w"))
+    words = Scratch(spark, "selection").save(words, "words")
+    pairs = words.groupBy("doc", "k", F.expr("i div 2").alias("j")).agg(F.min("s").alias("start"), F.max("e").alias("end")).select("doc", "start", "end")
+    spans = docs.select("doc", F.lit(0).alias("start"), F.length("t").alias("end")).union(lines.select("doc", "o", F.col("o") + F.length("c"))).union(pairs)
+    spans = spans.union(words.where("w <> ''").select("doc", "s", "e"))
+    found = selection.chains(spans, words.where("w <> ''").select("doc", F.col("s").alias("at")))
+    text = F.array_join(F.transform("chain", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc", "at", text.alias("chain"), F.size("chain").cast("long").alias("depth"))
+
+
 @query("posting closure comp", """
-, cur as (select d.symbol_ord, c.component from def d join comp c using (symbol_ord)),
+, cur as (select d.symbol_ord, c.component from def d join comp c using (symbol_ord) qualify d.symbol_ord = min(d.symbol_ord) over (partition by c.component)),
 own as (select symbol_ord, uri, min(ps) ps, max(pe) pe from posting where doc_ord % 7 = 0 group by symbol_ord, uri),
 o as (select distinct cur.symbol_ord, own.uri, own.ps, own.pe, c2.symbol_ord m from cur join comp c2 on c2.component = cur.component join own on own.symbol_ord = c2.symbol_ord),
 f as (select symbol_ord, ps, pe, min((m <> symbol_ord, m, uri)) f from o group by all)
 select symbol_ord, ps, pe, count(*) over (partition by symbol_ord) hits from f""")
 def overlay_fan_out(spark, sf_dir):
-    """Occurrences in open buffers for every member of each symbol's group, distinct by span."""
+    """Occurrences in open buffers for every member of each group, distinct by span, asked at its first symbol."""
     l = L(spark, sf_dir)
     own = l.postings.where("doc_ord % 7 = 0").groupBy("symbol_ord", "uri").agg(F.min("ps").alias("ps"), F.max("pe").alias("pe"))
-    found = references.fan_out(l.defs.select("symbol_ord"), l.groups, own)
+    found = references.fan_out(_firsts(l), l.groups, own)
     return found.select("symbol_ord", "ps", "pe", F.count("*").over(Window.partitionBy("symbol_ord")).alias("hits"))
 
 
@@ -315,13 +373,14 @@ def search_union(spark, sf_dir):
 
 
 @query("posting comp", """
-, cur as (select distinct p.doc_ord, p.symbol_ord, c.component from posting p join comp c using (symbol_ord) where is_def),
+, cur as (select p.doc_ord, min(p.symbol_ord) symbol_ord, c.component from posting p join comp c using (symbol_ord) where is_def group by p.doc_ord, c.component),
 h as (select distinct cur.doc_ord, cur.symbol_ord, p.ps, p.pe, case when p.is_def then 'Write' else 'Read' end kind from cur join comp c using (component) join posting p on p.symbol_ord = c.symbol_ord and p.doc_ord = cur.doc_ord)
 select *, row_number() over (partition by doc_ord, symbol_ord order by ps, pe, kind)::int rank from h""")
 def group_highlights(spark, sf_dir):
-    """Every symbol's group in its defining document, in order of the spans."""
+    """Every group in the documents that define a member, asked at the first of those, in order of the spans."""
     l = L(spark, sf_dir)
-    return references.highlights(l.defs.select(F.col("def_doc").alias("doc_ord"), "symbol_ord"), l.groups, l.postings)
+    cursors = l.defs.join(l.groups, "symbol_ord").groupBy(F.col("def_doc").alias("doc_ord"), "component").agg(F.min("symbol_ord").alias("symbol_ord"))
+    return references.highlights(cursors.select("doc_ord", "symbol_ord"), l.groups, l.postings)
 
 
 @query("doc closure", """
