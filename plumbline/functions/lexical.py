@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,10 +54,67 @@ def stderr_tail(text: Column) -> Column:
     return F.when(F.size(said) == 0, "(no stderr)").otherwise(short)
 
 
+def _middle(x: list, y: list, a: int, b: int, c: int, d: int) -> tuple[int, int, int, int, int]:
+    """(differences, from, to): the middle snake of a shortest script between x[a:b] and y[c:d], by greedy paths from both ends."""
+    n, m = b - a, d - c
+    delta, odd = n - m, (n - m) & 1
+    ahead, back = {1: 0}, {1: 0}
+    for k in range((n + m + 1) // 2 + 1):
+        for diagonal in range(-k, k + 1, 2):
+            i = ahead[diagonal + 1] if diagonal == -k or diagonal != k and ahead[diagonal - 1] < ahead[diagonal + 1] else ahead[diagonal - 1] + 1
+            j = i - diagonal
+            start = i, j
+            while i < n and j < m and x[a + i] == y[c + j]:
+                i, j = i + 1, j + 1
+            ahead[diagonal] = i
+            other = delta - diagonal
+            if odd and -k < other < k and i + back[other] >= n:
+                return 2 * k - 1, a + start[0], c + start[1], a + i, c + j
+        for diagonal in range(-k, k + 1, 2):
+            i = back[diagonal + 1] if diagonal == -k or diagonal != k and back[diagonal - 1] < back[diagonal + 1] else back[diagonal - 1] + 1
+            j = i - diagonal
+            start = i, j
+            while i < n and j < m and x[b - 1 - i] == y[d - 1 - j]:
+                i, j = i + 1, j + 1
+            back[diagonal] = i
+            other = delta - diagonal
+            if not odd and -k <= other <= k and i + ahead[other] >= n:
+                return 2 * k, b - i, d - j, b - start[0], d - start[1]
+    raise AssertionError("paths from both ends meet")
+
+
+def common_lines(x: list, y: list) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence, in order; memory follows the lengths, not their product."""
+    out: list[tuple[int, int]] = []
+    todo: list[tuple[int, int, int, int, bool]] = [(0, len(x), 0, len(y), False)]
+    while todo:
+        a, b, c, d, same = todo.pop()
+        if same:
+            out += zip(range(a, b), range(c, d))
+            continue
+        while a < b and c < d and x[a] == y[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        tail = 0
+        while a < b - tail and c < d - tail and x[b - 1 - tail] == y[d - 1 - tail]:
+            tail += 1
+        todo.append((b - tail, b, d - tail, d, True))
+        b, d = b - tail, d - tail
+        if a < b and c < d:
+            _, i, j, u, v = _middle(x, y, a, b, c, d)
+            todo += [(u, b, v, d, False), (i, u, j, v, True), (a, i, c, j, False)]
+    return out
+
+
 def line_edits(a: str, b: str) -> list[tuple[int, int, str]]:
-    """(first line, lines removed, text) that turn one text into another."""
+    """(first line, lines removed, text) that turn one text into another, with as few lines removed and added as can be."""
     x, y = a.splitlines(keepends=True), b.splitlines(keepends=True)
-    return [(i, j - i, "".join(y[k:m])) for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if tag != "equal"]
+    out, i, j = [], 0, 0
+    for u, v in [*common_lines(x, y), (len(x), len(y))]:
+        if (i, j) != (u, v):
+            out.append((i, u - i, "".join(y[j:v])))
+        i, j = u + 1, v + 1
+    return out
 
 
 def minimal_edits(a: str, b: str) -> Column:

@@ -67,14 +67,16 @@ def primary_docs(docs: DataFrame) -> DataFrame:
     return docs.groupBy("md5").agg(F.min(F.struct("target_ord", "doc_id")).alias("x"), F.count("*").alias("copies")).select("md5", F.col("x.doc_id").alias("doc_id"), "copies")
 
 
-def dense_ordinals(keys: DataFrame, column: str, buckets: int = 256) -> DataFrame:
-    """(column, ordinal) over the distinct keys in byte order, from 0.
+def dense_ordinals(keys: DataFrame, column: str, buckets: int = 256, unique: bool = False) -> DataFrame:
+    """(column, ordinal) over the distinct keys in byte order, from 0; with ``unique`` a repeated key is an error.
 
     Keys are dealt into ranges at sampled quantiles and written with the number
     of their range; each range is numbered by itself and shifted by the sizes
     of those before it, so no task sorts them all, whatever prefix they share.
     """
-    parts = keys.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(buckets, column)
+    counts = keys.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("#n"))
+    twice = F.raise_error(F.concat(F.lit("repeated key "), F.col(column).cast("string"))).cast(keys.schema[column].dataType)
+    parts = counts.select((F.when(F.col("#n") > 1, twice).otherwise(F.col(column)) if unique else F.col(column)).alias(column)).repartitionByRange(buckets, column)
     parts = Scratch(keys.sparkSession, "ordinals").save(parts.withColumn("part", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
     base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # one row for each range

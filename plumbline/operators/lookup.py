@@ -104,3 +104,20 @@ def implementations(overrides: DataFrame, defs: DataFrame, docs: DataFrame, clos
     rows = overrides.join(own, "symbol_ord").join(base, "base")
     users = reverse(closure).select(F.col("source").alias("base_target"), F.col("reached").alias("target_ord"))
     return rows.join(users, ["base_target", "target_ord"], "left_semi").select("base", "symbol_ord", "uri", F.col("def_ps").alias("ps"), F.col("def_pe").alias("pe"))
+
+
+def group_scan(postings: DataFrame, groups: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """The postings with the ``component`` of their symbol, of all targets or of the allowed ones (target_ord) only."""
+    rows = postings if allowed is None else postings.join(allowed.distinct(), "target_ord", "left_semi")
+    return rows.join(groups, "symbol_ord")
+
+
+def find_symbols(asked: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol, symbol_ord) for asked symbols (symbol): their ordinal in (semantic_symbol, symbol_ord); null where there is none."""
+    return asked.join(symbols.select(F.col("semantic_symbol").alias("symbol"), "symbol_ord"), "symbol", "left").select("symbol", "symbol_ord")
+
+
+def covered(uris: DataFrame, targets: DataFrame) -> DataFrame:
+    """(uri, status) of (uri, target_ord): may questions about it be answered? targets: (target_ord, indexable)."""
+    status = F.when(F.col("indexable").isNull(), "UnknownTarget").when(~F.col("indexable"), "NotIndexable").otherwise("ok")
+    return uris.join(targets, "target_ord", "left").select("uri", status.alias("status"))

@@ -104,7 +104,7 @@ def token_results(spark, sf_dir):
 
 @query("posting", """
 , b as (select symbol_ord, doc_ord, ps, pe, target_ord, ((row_number() over (partition by symbol_ord order by doc_ord, ps, pe, seq) - 1) // 8)::int block_no from posting)
-select symbol_ord, block_no, doc_ord, ps, pe from b where (symbol_ord, block_no) in (select symbol_ord, block_no from b where target_ord = 7)""")
+select symbol_ord, block_no, doc_ord, ps, pe from b semi join (select distinct symbol_ord, block_no from b where target_ord = 7) k using (symbol_ord, block_no)""")
 def blocks_of_target(spark, sf_dir):
     """The records of the blocks that hold a target, by the index of blocks."""
     tables = layout.by_group(L(spark, sf_dir).postings, 8, 8)

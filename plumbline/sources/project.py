@@ -50,7 +50,11 @@ def load(targets: DataFrame, options: DataFrame, workspace: str) -> DataFrame:
     """(bsp_id, scala_version, semanticdb_root, sourceroot, direct_deps, indexable) of targets of the language's third version."""
     third = (F.col("scala_version") == "3") | F.startswith("scala_version", F.lit("3."))
     rows = targets.where(F.array_contains("language_ids", "scala") & third)
-    rows = rows.join(fact_roots(options, workspace).withColumnRenamed("target", "uri"), "uri", "left")
+    answered = fact_roots(options, workspace).withColumnRenamed("target", "uri").withColumn("answered", F.lit(True))
+    rows = rows.join(answered, "uri", "left")
+    # A build server answers for every target: one without options is a fault of the project, not a target without facts.
+    lost = F.raise_error(F.concat(F.lit("no options for target "), F.coalesce("uri", F.lit("null"))))
+    rows = rows.withColumn("sourceroot", F.when(F.col("answered").isNull(), lost.cast("string")).otherwise(F.col("sourceroot")))
     ready = F.col("semanticdb_root").isNotNull() & F.col("sourceroot").isNotNull()
     return rows.select(F.col("uri").alias("bsp_id"), "scala_version", "semanticdb_root", "sourceroot", F.col("deps").alias("direct_deps"), ready.alias("indexable"))
 

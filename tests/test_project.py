@@ -1,4 +1,3 @@
-import difflib
 import json
 import random
 
@@ -50,7 +49,24 @@ def test_minimal_edits_rebuild_the_text(spark):
         for e in reversed(r["e"]):
             lines[e["line"] : e["line"] + e["removed"]] = [e["text"]]
         assert "".join(lines) == r["b"]
-    assert difflib and lexical.line_edits("a", "a") == []
+    assert lexical.line_edits("a", "a") == []
+
+
+def test_scripts_are_shortest():
+    """Against the table of all prefixes, over few and many different lines, and one pair of long texts."""
+    rng = random.Random(4)
+    for k in range(400):
+        x, y = (["".join(rng.choices("abcd"[: 1 + k % 4])) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+        found = lexical.common_lines(x, y)
+        assert len(found) == best[-1][-1] and all(x[i] == y[j] for i, j in found)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+    long = [str(i) for i in range(60_000)]
+    other = long[:100] + ["new"] + long[101:40_000] + long[40_003:]
+    assert len(lexical.common_lines(long, other)) == 60_000 - 4
 
 
 def test_project_model(spark, tmp_path):
@@ -100,7 +116,7 @@ def test_ingest_and_rename(spark, tmp_path):
     ok = got[groups["a/C#"], "New"]
     assert ok["status"] == "ok" and ok["n_edits"] == 2 and [(e["line"], e["char"]) for e in ok["edits"]] == [(0, 6), (2, 0)]
     assert got[groups["a/C#"], "a`b"]["status"] == "bad name" and got["no", "n"]["status"] == "NotIndexed"
-    assert got["a/C#m().", "n"]["reasons"] == ["generated occurrence"]
+    assert got["a/C#m().", "n"]["reasons"] == ["symbol has occurrences in generated sources"]
     texts = spark.createDataFrame([("A.scala", "changed", "00")], "uri string, text string, md5 string")
     assert rename.plan(asked.limit(1), profiles, out["occurrence"], members, texts).first()["status"] == "StaleIndex"
 
