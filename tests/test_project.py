@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -104,6 +105,7 @@ def test_ingest_and_rename(spark, tmp_path):
     groups = {r["symbol"]: r["group_symbol"] for r in out["symbol"].collect()}
     assert groups["a/C."] == groups["a/C#"] and groups["a/C#m()."] == "a/C#m()." and [r["symbol"] for r in out["symbol"].orderBy("symbol_ord").collect()] == sorted(groups)
     report = dict(tuple(r) for r in out["report"].collect())
+    assert report["shared"] == 0 and report["groups"] == len(set(groups.values())) and report["rename_tokens"] == out["rename"].count()
     assert report["documents"] == 2 and report["errors"] == 1 and report["symbols"] == 5 and report["occurrences"] == 6
     profile = {r["group_symbol"]: r for r in out["profile"].collect()}
     assert profile["z/Z#"]["is_external"] and profile["a/C#m()."]["has_generated"] and profile[groups["a/C#"]]["editable_count"] == 2
@@ -121,6 +123,21 @@ def test_ingest_and_rename(spark, tmp_path):
     assert rename.plan(asked.limit(1), profiles, out["occurrence"], members, texts).first()["status"] == "StaleIndex"
 
 
+def test_ingest_counts_shared_skipped_stale_and_shown_tokens(spark):
+    occ = [("a/C#", 2, 0, 6, 7), ("a/C#m().", 2, 1, 6, 7), ("a/C#m().", 1, 2, 0, 1), ("a/C#m().", 1, 2, 4, 5)]
+    text = "class C\n  def m\nm + n"
+    doc = {"path": "p", "error": None, "uri": "A.scala", "schema": 4, "language": 1, "text": text, "md5": hashlib.md5(text.encode()).hexdigest().upper(),
+           "symbols": [{"symbol": "a/C#", "kind": 13, "properties": 0x200000, "display_name": "C", "overridden_symbols": []}, {"symbol": "a/C#m().", "kind": 3, "properties": 0, "display_name": "m", "overridden_symbols": ["z/B#m()."]}],
+           "occurrences": [{"symbol": s, "role": r, "start_line": n, "start_character": a, "end_line": n, "end_character": b} for s, r, n, a, b in occ]}
+    decoded = spark.createDataFrame([doc | {"target_ord": 0}, doc | {"target_ord": 1, "path": "q", "md5": "OLD"}], facts.SCHEMA + ", target_ord int")
+    none = spark.createDataFrame([], "uri string, generated boolean, readonly boolean, dependency_source boolean")
+    out = ingest(decoded, none, skipped=spark.createDataFrame([("gone",)], "uri string"))
+    report = dict(tuple(r) for r in out["report"].collect())
+    assert report == {"documents": 1, "shared": 1, "stale": 1, "errors": 0, "symbols": 2, "groups": 2, "occurrences": 4, "rename_tokens": 3, "skipped": 1}
+    profile = {r["group_symbol"]: r for r in out["profile"].collect()}
+    assert (profile["a/C#"]["mask"], profile["a/C#m()."]["mask"]) == (512, 8) and profile["a/C#m()."]["rename_count"] == 2
+
+
 def test_expected_tokens(spark):
     rows = [("a/C#`<init>`().", "<init>", "C"), ("a/C#`x_=`().", "x_=", "x"), ("a/C#m(+1).", "m", "m"), ("local1", "v", "v"), ("a/T.", "T", "T"), ("", "", None)]
     df = spark.createDataFrame(rows, "s string, d string, want string").withColumn("got", rename.expected_token(F.col("s"), F.col("d")))

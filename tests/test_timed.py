@@ -5,7 +5,8 @@ from plumbline.streaming import folds, timed
 
 def run(spark, tmp_path, rows, schema, fold, out, due, end):
     """The same events as a table, and as a stream of files in the given order."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     table = folds.batch(spark.createDataFrame(sorted(rows), schema), "uri", "at", fold, out, end)
     last = max(r[1] for r in rows) + 10_000_000
     parts = [rows[k : k + 25] for k in range(0, len(rows), 25)] + [[("~", last + k, last + k, "none", False)] for k in range(2)]
@@ -15,6 +16,7 @@ def run(spark, tmp_path, rows, schema, fold, out, due, end):
     found = timed.ordered(stream, "uri", fold, out, "400 seconds", due, end)
     query = found.writeStream.format("memory").queryName(f"timed_{abs(hash(str(tmp_path)))}").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
     query.awaitTermination(240)
+    spark.conf.unset(provider)
     assert query.exception() is None
     got = [tuple(r) for r in spark.table(query.name).collect()]
     return sorted(tuple(r) for r in table.collect()), sorted(got)
