@@ -34,7 +34,7 @@ from plumbline.llm.text import bound_batches, sliced
 from plumbline.runtime import Scratch
 
 #: Shrinkage toward the pooled covariance and its diagonal; the least documents of a class; the least score of label 1.
-POOL, RIDGE, MIN_CLASS, CUT = 0.3, 0.1, 30, 0.3
+POOL, RIDGE, MIN_CLASS, CUT = 0.3, 0.1, 5, 0.3
 FEATURES = ["words", "word_length", "symbols", "capitals", "digits", "stops", "bars", "exclamations", "repeats", "lines", "variety", "line_words", "packed"]
 _SPACE = b" \t\n\x0b\x0c\r"
 _CAPITALS, _DIGITS, _STOPS, _SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?", b"#$%&*<>=_~^\\{}[]@"
@@ -80,7 +80,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), x], ["doc_id", "held_out", "x"])
 
     bound_batches(docs.sparkSession)
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, x array<double>")
 
 
 def held_out(doc_id: Column) -> Column:
