@@ -1,5 +1,7 @@
 """SentencePiece encoding with exact N-best segmentation, and decoding.
 
+The ids of a text are the model's own: what the library gives for it, byte
+fallback included.  Beside them stand the N best segmentations of the lattice.
 The pieces of a model file span a lattice over a text; a segmentation's score
 is the sum of its pieces' scores.  Forward Viterbi scores give, for every
 position, the best score of all that lies before it.  Backward A* search starts
@@ -9,8 +11,8 @@ the agenda in order of their scores, and the first N are the N best.
 
 No piece of the files here holds a word mark behind another character, and a
 character that no piece holds stands alone, so what lies between is independent
-in the lattice: the search runs for each different word, and a worker keeps up
-to twice ``CACHED`` of them.  Texts are taken, and rows given out, in slices of
+in the lattice, and no merge crosses it: the library and the search see each
+different word once, and a worker keeps up to twice ``CACHED`` of them.  Texts are taken, and rows given out, in slices of
 about ``_SLICE`` bytes.  The N best of a text then need, beside
 the best of every word, only the N - 1 words whose second best costs least:
 another word would give N texts that are at least as good without it.  The
@@ -22,7 +24,7 @@ merges; they become log-probabilities by Zipf's law, -log(rank + 1) less a
 constant.  A character without a piece costs ``UNKNOWN`` nats more than the
 rarest piece and is spelled in byte pieces.
 
-Decoding inverts every segmentation: it joins the pieces, turns runs of byte
+Decoding inverts ids of either kind: it joins the pieces, turns runs of byte
 pieces into text, word marks into spaces, and drops the space that encoding put
 in front.  A word mark that a text holds itself comes back as a space, as the
 format has it; ``decoded`` compares with that.
@@ -79,10 +81,14 @@ class Model:
             self.spell[i] = sp.id_to_piece(i).replace(MARK, " ").encode()
         for b, i in self.bytes.items():
             self.spell[i] = bytes([b])
-        known = "".join(map(re.escape, sorted({c for p in self.pieces for c in p} - {MARK})))
+        known = {c for p in self.pieces for c in p} | {MARK}
+        inside = "".join(map(re.escape, sorted(known - {MARK})))
         apart = all(MARK not in p.lstrip(MARK) for p in self.pieces)
-        self.chunks = re.compile(f"{MARK}+[{known}]*|[{known}]+|[^{MARK}{known}]" if apart else f"(?:{MARK}|[{known}])+|[^{MARK}{known}]").findall
+        self.chunks = re.compile(f"{MARK}+[{inside}]*|[{inside}]+|[^{MARK}{inside}]" if apart else f"(?:{MARK}|[{inside}])+|[^{MARK}{inside}]").findall
         self.unk = sp.unk_id()
+        # A character that no piece holds parts a word from the mark that the library puts in front.
+        self.sp, self.guard = sp, next(c for c in map(chr, range(10, 0x110000)) if c not in known)
+        self.skip = len(sp.encode(self.guard))
         keys = np.array([self.hash(p) for p in self.pieces], np.uint64)
         self.table = Table(keys, np.arange(len(keys)))
         self.numbers = np.array([i for i, _ in self.pieces.values()], np.int64)
@@ -108,6 +114,11 @@ class Model:
             out += [known[0]] if known else [self.bytes.get(x, self.unk) for x in word[a:b].encode()]
         return out
 
+    def own_ids(self, words: list[str]) -> list[bytes]:
+        """What the library gives for marked words, as 32-bit little-endian numbers."""
+        found = self.sp.encode([self.guard + w.replace(MARK, " ") for w in words], num_threads=1)
+        return [np.array(x[self.skip :], "<i4").tobytes() for x in found]
+
     def edges(self, word: str) -> Edges:
         """For each end less one, the (start, score) of every piece that ends there; a character without a piece stands alone."""
         return _Far(self, word) if len(word) > _FAR else _known_edges(self, word, 0, len(word))
@@ -214,7 +225,7 @@ def n_best(edges: Edges, best: array, n: int) -> Iterator[tuple[int, int]]:
 
 
 class Words(dict):
-    """Word to its row: score, cost of its second best, number of pieces, ids.
+    """Word to its row: score, cost of its second best, number of pieces, ids of its best, the model's own ids.
 
     Two generations of ``CACHED`` words of up to ``_KEPT`` characters each: words
     that are met again move to the new one, the old one is dropped when that is full.
@@ -222,31 +233,33 @@ class Words(dict):
 
     def __init__(self, of: Model):
         self.of = of
-        self.scores, self.costs, self.rows = array("q"), array("q"), []
+        self.scores, self.costs, self.rows, self.owns = array("q"), array("q"), [], []
         self.reset()
 
     def reset(self) -> None:
         """Starts a generation."""
-        self.old = ({w: k for w, k in self.items() if len(w) <= _KEPT}, self.scores, self.costs, self.rows)
+        self.old = ({w: k for w, k in self.items() if len(w) <= _KEPT}, self.scores, self.costs, self.rows, self.owns)
         self.clear()
-        self.scores, self.costs, self.sizes, self.rows, self.others, self.large = array("q"), array("q"), array("i"), [], {}, False
+        self.scores, self.costs, self.sizes, self.rows, self.owns, self.others, self.large = array("q"), array("q"), array("i"), [], [], {}, False
 
-    def add(self, word: str, score: int, cost: int, ids: bytes) -> int:
+    def add(self, word: str, score: int, cost: int, ids: bytes, own: bytes) -> int:
         self.scores.append(score)
         self.costs.append(cost)
         self.sizes.append(len(ids) // 4)
         self.rows.append(ids)
+        self.owns.append(own)
         self.large |= len(ids) > _LARGE
         k = self[word] = len(self.rows) - 1
         return k
 
-    def extend(self, words: list[str], scores: list[int], costs: list[int], rows: list[bytes]) -> None:
+    def extend(self, words: list[str], scores: list[int], costs: list[int], rows: list[bytes], owns: list[bytes]) -> None:
         """Adds many at once."""
         k = len(self.rows)
         self.scores.extend(scores)
         self.costs.extend(costs)
         self.sizes.extend([len(x) // 4 for x in rows])
         self.rows.extend(rows)
+        self.owns.extend(owns)
         self.update(zip(words, range(k, k + len(words))))
 
     def __missing__(self, word: str) -> int:
@@ -256,7 +269,7 @@ class Words(dict):
         edges = self.of.edges(word)
         best, back = forward(edges)
         other = second(edges, best, back)
-        return self.add(word, best[-1], -1 if other is None else best[-1] - other, np.array(self.of.ids(word, path(back)), "<i4").tobytes())
+        return self.add(word, best[-1], -1 if other is None else best[-1] - other, np.array(self.of.ids(word, path(back)), "<i4").tobytes(), *self.of.own_ids([word]))
 
     def alternatives(self, word: str, n: int) -> list[tuple[int, int]]:
         """Score and size of the word's n best, each against its best."""
@@ -330,23 +343,23 @@ class Words(dict):
         flat, ends = ids[taken].astype("<i4"), np.cumsum(taken.sum(axis=1)).tolist()
         raw = flat.tobytes()
         cost = np.where(other > _NONE // 2, best[size] - other, -1).tolist()
-        own = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+        cut, own = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)], of.own_ids(same)
         if odd.any():  # spelled in bytes: one by one
             plain = np.flatnonzero(~odd).tolist()
-            self.extend([same[k] for k in plain], best[size][plain].tolist(), [cost[k] for k in plain], [own[k] for k in plain])
+            self.extend([same[k] for k in plain], best[size][plain].tolist(), [cost[k] for k in plain], [cut[k] for k in plain], [own[k] for k in plain])
             for k in np.flatnonzero(odd).tolist():
                 self[same[k]]
         else:
-            self.extend(same, best[size].tolist(), cost, own)
+            self.extend(same, best[size].tolist(), cost, cut, own)
 
 
-def segment(text: str, words: Words, n: int, found: list[str] | None = None) -> tuple[bytes, list[int], list[int]]:
-    """Ids of the best segmentation, and the scores and sizes of the n best; found: the text's words."""
+def segment(text: str, words: Words, n: int, found: list[str] | None = None) -> tuple[bytes, bytes, list[int], list[int]]:
+    """The model's own ids, those of the best segmentation, and the scores and sizes of the n best; found: the text's words."""
     if not text:
-        return b"", [0], [0]
+        return b"", b"", [0], [0]
     found = words.of.split(text) if found is None else found
     at = list(map(words.__getitem__, found))
-    ids = b"".join(map(words.rows.__getitem__, at))
+    own_ids, ids = b"".join(map(words.owns.__getitem__, at)), b"".join(map(words.rows.__getitem__, at))
     score, size = sum(map(words.scores.__getitem__, at)), len(ids) // 4
     costs = np.fromiter(map(words.costs.__getitem__, at), np.int64, len(at))
     open_ = np.flatnonzero(costs >= 0)
@@ -356,10 +369,10 @@ def segment(text: str, words: Words, n: int, found: list[str] | None = None) ->
     for k in open_.tolist():
         own = words.alternatives(found[k], n)
         top = sorted(((a + s, b + z) for a, b in top for s, z in own), key=lambda x: -x[0])[:n]
-    return ids, [score + a for a, _ in top], [size + b for _, b in top]
+    return own_ids, ids, [score + a for a, _ in top], [size + b for _, b in top]
 
 
-def segments(texts: list[str], words: Words, n: int) -> Iterator[tuple[bytes, list[int], list[int]]]:
+def segments(texts: list[str], words: Words, n: int) -> Iterator[tuple[bytes, bytes, list[int], list[int]]]:
     """``segment`` of each text; what is new in all of them is added together."""
     if len(words) > CACHED or words.large:
         words.reset()
@@ -379,28 +392,30 @@ _workers: dict[str, Words] = {}
 
 
 def encode(docs: DataFrame, file: str, n: int = N_BEST, ids: bool = False) -> DataFrame:
-    """``(doc_id, n_pieces, best_score, ids_crc32, n_best, nbest_scores, nbest_pieces, decoded)`` of every row, and ``ids`` if wanted.
+    """``(doc_id, n_pieces, ids_crc32, best_score, best_crc32, n_best, nbest_scores, nbest_pieces, decoded)`` of every row, and ``ids`` if wanted.
 
-    ids_crc32 is the checksum of the best ids as 32-bit little-endian numbers;
-    decoded: do the ids decode to the text?
+    n_pieces, ids_crc32 and ids are of the model's own ids, best_crc32 is of the
+    best segmentation's; checksums see ids as 32-bit little-endian numbers.
+    decoded: do the own ids decode to the text?
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _workers.setdefault(file, Words(model(file)))
         for batch in sliced(batches, size=_SLICE):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            found = [(t, *x) for t, x in zip(texts, segments(texts, words, n))]
-            lists = [np.frombuffer(raw, "<i4") for _, raw, _, _ in found]
+            own, best, scores, sizes = zip(*segments(texts, words, n))
+            lists = [np.frombuffer(raw, "<i4") for raw in own]
             columns = [
-                pa.array([len(x) for x in lists], pa.int64()),
-                pa.array([s[0] / UNIT for _, _, s, _ in found], pa.float64()),
-                pa.array([zlib.crc32(raw) for _, raw, _, _ in found], pa.int64()),
-                pa.array([len(s) for _, _, s, _ in found], pa.int32()),
-                pa.array([[x / UNIT for x in s] for _, _, s, _ in found], pa.list_(pa.float64())),
-                pa.array([z for _, _, _, z in found], pa.list_(pa.int32())),
-                pa.array([decode(x.tolist(), words.of) == t.replace(MARK, " ") for (t, *_), x in zip(found, lists)], pa.bool_()),
+                pa.array(map(len, lists), pa.int64()),
+                pa.array(map(zlib.crc32, own), pa.int64()),
+                pa.array([s[0] / UNIT for s in scores], pa.float64()),
+                pa.array(map(zlib.crc32, best), pa.int64()),
+                pa.array(map(len, scores), pa.int32()),
+                pa.array([[x / UNIT for x in s] for s in scores], pa.list_(pa.float64())),
+                pa.array(sizes, pa.list_(pa.int32())),
+                pa.array([decode(x.tolist(), words.of) == t.replace(MARK, " ") for t, x in zip(texts, lists)], pa.bool_()),
             ]
-            names = ["doc_id", "n_pieces", "best_score", "ids_crc32", "n_best", "nbest_scores", "nbest_pieces", "decoded"]
+            names = ["doc_id", "n_pieces", "ids_crc32", "best_score", "best_crc32", "n_best", "nbest_scores", "nbest_pieces", "decoded"]
             if ids:
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]))))
@@ -408,7 +423,7 @@ def encode(docs: DataFrame, file: str, n: int = N_BEST, ids: bool = False) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], names)
 
     bound_batches(docs.sparkSession)
-    schema = "doc_id long, n_pieces long, best_score double, ids_crc32 long, n_best int, nbest_scores array<double>, nbest_pieces array<int>, decoded boolean"
+    schema = "doc_id long, n_pieces long, ids_crc32 long, best_score double, best_crc32 long, n_best int, nbest_scores array<double>, nbest_pieces array<int>, decoded boolean"
     return docs.select("doc_id", "text").mapInArrow(run, schema + ", ids array<int>" * ids)
 
 
