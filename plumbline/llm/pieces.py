@@ -57,6 +57,8 @@ _NONE = -(1 << 60)
 _STEP, _ARRAYS, _CELLS, _SLICE = np.uint64(0x9E3779B97F4A7C15), 32, 60_000, 1 << 20
 #: Characters of a word whose edges are made in stretches; of a word that is kept; bytes of ids that end a generation.
 _FAR, _KEPT, _LARGE = 4096, 64, 1 << 16
+#: Words that the library sees at once; ids that are decoded at once.
+_TOGETHER, _DECODED = 256, 1 << 16
 
 
 class Model:
@@ -89,6 +91,9 @@ class Model:
         # A character that no piece holds parts a word from the mark that the library puts in front.
         self.sp, self.guard = sp, next(c for c in map(chr, range(10, 0x110000)) if c not in known)
         self.skip = len(sp.encode(self.guard))
+        self.parting = self.bytes.get(ord(self.guard)) if ord(self.guard) < 128 else None
+        self.flat, self.sizes = np.frombuffer(b"".join(self.spell), np.uint8), np.array(list(map(len, self.spell)))
+        self.starts = np.cumsum(self.sizes) - self.sizes
         keys = np.array([self.hash(p) for p in self.pieces], np.uint64)
         self.table = Table(keys, np.arange(len(keys)))
         self.numbers = np.array([i for i, _ in self.pieces.values()], np.int64)
@@ -116,8 +121,19 @@ class Model:
 
     def own_ids(self, words: list[str]) -> list[bytes]:
         """What the library gives for marked words, as 32-bit little-endian numbers."""
-        found = self.sp.encode([self.guard + w.replace(MARK, " ") for w in words], num_threads=1)
-        return [np.array(x[self.skip :], "<i4").tobytes() for x in found]
+        out: list[bytes] = []
+        for k in range(0, len(words), _TOGETHER):
+            part = words[k : k + _TOGETHER]
+            if self.parting is not None:  # together, with the guard between them
+                flat = np.array(self.sp.encode("".join([self.guard + w for w in part]).replace(MARK, " ")), "<i4")
+                at = np.flatnonzero(flat == self.parting)
+                if len(at) == len(part):
+                    raw, cuts = flat.tobytes(), [*(4 * at).tolist(), 4 * len(flat)]
+                    out += [raw[a + 4 : b] for a, b in zip(cuts, cuts[1:])]
+                    continue
+            found = self.sp.encode([self.guard + w.replace(MARK, " ") for w in part], num_threads=1)  # a word is the guard itself
+            out += [np.array(x[self.skip :], "<i4").tobytes() for x in found]
+        return out
 
     def edges(self, word: str) -> Edges:
         """For each end less one, the (start, score) of every piece that ends there; a character without a piece stands alone."""
@@ -359,9 +375,10 @@ def segment(text: str, words: Words, n: int, found: list[str] | None = None) ->
         return b"", b"", [0], [0]
     found = words.of.split(text) if found is None else found
     at = list(map(words.__getitem__, found))
+    rows = np.array(at)
     own_ids, ids = b"".join(map(words.owns.__getitem__, at)), b"".join(map(words.rows.__getitem__, at))
-    score, size = sum(map(words.scores.__getitem__, at)), len(ids) // 4
-    costs = np.fromiter(map(words.costs.__getitem__, at), np.int64, len(at))
+    score, size = int(np.frombuffer(words.scores, np.int64)[rows].sum()), len(ids) // 4
+    costs = np.frombuffer(words.costs, np.int64)[rows]
     open_ = np.flatnonzero(costs >= 0)
     if len(open_) > n - 1:
         open_ = open_[np.argpartition(costs[open_], n - 2)[: n - 1]]
@@ -382,9 +399,15 @@ def segments(texts: list[str], words: Words, n: int) -> Iterator[tuple[bytes, by
         yield segment(t, words, n, ws)
 
 
-def decode(ids: list[int], of: Model) -> str:
+def decode(ids: Sequence[int] | np.ndarray, of: Model) -> str:
     """The text of a list of ids."""
-    text = b"".join(map(of.spell.__getitem__, ids)).decode(errors="replace")
+    every, raw = np.asarray(ids, np.int64), []
+    for k in range(0, len(every), _DECODED):
+        part = every[k : k + _DECODED]
+        size = of.sizes[part]
+        ends = np.cumsum(size)
+        raw.append(of.flat[np.repeat(of.starts[part] - ends + size, size) + np.arange(ends[-1])].tobytes())
+    text = b"".join(raw).decode(errors="replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -413,7 +436,7 @@ def encode(docs: DataFrame, file: str, n: int = N_BEST, ids: bool = False) -> Da
                 pa.array(map(len, scores), pa.int32()),
                 pa.array([[x / UNIT for x in s] for s in scores], pa.list_(pa.float64())),
                 pa.array(sizes, pa.list_(pa.int32())),
-                pa.array([decode(x.tolist(), words.of) == t.replace(MARK, " ") for t, x in zip(texts, lists)], pa.bool_()),
+                pa.array([decode(x, words.of) == t.replace(MARK, " ") for t, x in zip(texts, lists)], pa.bool_()),
             ]
             names = ["doc_id", "n_pieces", "ids_crc32", "best_score", "best_crc32", "n_best", "nbest_scores", "nbest_pieces", "decoded"]
             if ids:
