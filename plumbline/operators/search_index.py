@@ -30,6 +30,8 @@ from plumbline.runtime import Scratch
 CAP, LIMIT, PARTS = 5000, 200, 64
 #: Prefix lengths of the buckets; a longer prefix than the last is compared within it.
 LENGTHS = [1, 2, 4, 8, 16, 32]
+#: Member queries, under 200 bytes each, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_QUERIES = 100_000
 #: The most hits of a query that one shuffle-free ranking in each task keeps.
 DIRECT = 1000
 
@@ -178,6 +180,9 @@ def member_batch(names_: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, symbol_ord) of frames (symbol_ord, name) and (query): the names that each query matches, case counting; the empty query matches all."""
     keyed = names_.where("name is not null").select("symbol_ord", "name", F.explode(member_keys(F.col("name"))).alias("key"))
     looked = queries.select("query").where("query is not null").distinct().select("query", member_key(F.col("query")).alias("key"), member_pattern(F.col("query")).alias("pattern"))
+    # The keys of all names are many times the names, whatever the files' size says: they are never the side to broadcast.
+    looked = Scratch(queries.sparkSession, "member-queries").save(looked, "looked")
+    looked = F.broadcast(looked) if looked.count() <= BROADCAST_QUERIES else looked.hint("merge")
     return keyed.join(looked, "key").where(F.rlike("name", F.col("pattern"))).select("query", "symbol_ord")
 
 
