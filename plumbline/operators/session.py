@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.lookup import symbol_at
+from plumbline.operators.lookup import BROADCAST_PAIRS, best_at
 from plumbline.plans.closure import reverse
 
 
@@ -14,13 +14,15 @@ def route_cursors(cursors: DataFrame, snapshot: DataFrame, overlay: DataFrame, r
 
     overlay, snapshot and raw are occurrences; stale: (doc_ord).
     """
-    answers = None
     fresh = snapshot.join(stale.select("doc_ord").distinct(), "doc_ord", "left_anti")
-    for rank, (name, occ) in enumerate((("overlay", overlay), ("snapshot", fresh), ("raw", raw))):
-        part = symbol_at(occ, cursors).select("doc_ord", "at", F.struct(F.lit(rank).alias("rank"), "symbol_ord", "ps", "pe", F.lit(name).alias("source")).alias("x"))
-        answers = part if answers is None else answers.union(part)
-    best = answers.groupBy("doc_ord", "at").agg(F.min("x").alias("x"))
-    return cursors.distinct().join(best, ["doc_ord", "at"], "left").select("doc_ord", "at", "x.symbol_ord", "x.ps", "x.pe", F.coalesce("x.source", F.lit("NoSymbolAtCursor")).alias("source"))
+    parts = (("overlay", overlay), ("snapshot", fresh), ("raw", raw))
+    # All three are asked at once: the first source that holds the cursor, in it the smallest span.
+    spans = None
+    for rank, (_, occ) in enumerate(parts):
+        part = occ.select("seq", "doc_ord", "symbol_ord", "ps", "pe", F.lit(rank).alias("rank"))
+        spans = part if spans is None else spans.union(part)
+    name = F.coalesce(*(F.when(F.col("x.rank") == rank, name) for rank, (name, _) in enumerate(parts)), F.lit("NoSymbolAtCursor"))
+    return best_at(spans, cursors, "rank").select("doc_ord", "at", "x.symbol_ord", "x.ps", "x.pe", name.alias("source"))
 
 
 def dirty(buffers: DataFrame, disk: DataFrame) -> DataFrame:
@@ -43,6 +45,8 @@ def spec_of(docs: DataFrame) -> DataFrame:
 
 def requesting_target(uris: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
     """(uri, target_ord): the document's own target, else that of the deepest root (root, target_ord) that contains it."""
+    # Few roots hold all documents, so a root is a hot key: small tables of roots are broadcast.
+    roots = F.broadcast(roots) if roots.count() <= BROADCAST_PAIRS else roots
     parts = F.split("uri", "/")
     ways = uris.select("uri", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("root")))).alias("w"))
     deep = ways.join(roots, F.col("w.root") == roots["root"]).groupBy("uri").agg(F.max_by("target_ord", "w.depth").alias("by_root"))
@@ -50,6 +54,17 @@ def requesting_target(uris: DataFrame, docs: DataFrame, roots: DataFrame) -> Dat
     return uris.distinct().join(own, "uri", "left").join(deep, "uri", "left").select("uri", F.coalesce("own", "by_root").alias("target_ord"))
 
 
+def closures_seen(asked: DataFrame, closure: DataFrame) -> DataFrame:
+    """(uri, n, reached) of (uri, target_ord): the targets in the closure (source, reached) of each document's target, in order.
+
+    What a target reaches is gathered once for the target and not for each of
+    its documents, of which one target can have most.
+    """
+    lists = closure.groupBy(F.col("source").alias("target_ord")).agg(F.array_sort(F.collect_list("reached")).alias("reached"))
+    lists = F.broadcast(lists) if closure.count() <= BROADCAST_PAIRS else lists
+    return asked.join(lists, "target_ord").select("uri", F.size("reached").cast("long").alias("n"), "reached")
+
+
 def doctor(targets: DataFrame, docs: DataFrame) -> DataFrame:
     """(bsp_id, report): one JSON report for each target: documents, stale ones, and whether it can be indexed."""
     per = docs.groupBy("target_ord").agg(F.count("*").alias("documents"), F.count_if(F.col("state") == "Stale").alias("stale"), F.count_if(F.col("state") == "MissingMd5").alias("unknown"))
