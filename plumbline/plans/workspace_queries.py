@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import text, workspace
 from plumbline.plans import projections as p
 from plumbline.plans.queries import L, query
+from plumbline.runtime import Scratch
 from plumbline.sources import layout
 from plumbline.streaming import folds
 
@@ -48,8 +49,8 @@ def active_documents(spark, sf_dir):
 @query("nest", """
 select symbol, kind from (select distinct symbol, case when symbol like '%).' then 3 when right(symbol, 1) = '#' then 13 when length(symbol) % 3 = 0 then 3 else 10 end kind from nest where is_def)""")
 def searchable_symbols(spark, sf_dir):
-    occ = p.nested(spark, sf_dir)
-    return workspace.searchable(p.nested_kinds(occ), occ.where("is_def")).select("symbol", "kind")
+    defined = Scratch(spark, "searchable").save(p.nested_defined(spark, sf_dir), "defined")
+    return workspace.searchable(p.nested_kinds(defined), defined).select("symbol", "kind")
 
 
 @query("", """
