@@ -55,4 +55,9 @@ def chains(spans: DataFrame, cursors: DataFrame) -> DataFrame:
     asked = cursors.where("at is not null and doc is not null").distinct().select("doc", F.col("at").alias("start"), F.col("at").alias("end"), F.lit(True).alias("cursor"))
     rows = own.union(asked).select(F.col("doc").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"), "cursor")
     n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "doc").sortWithinPartitions("doc", "start", "cursor", F.desc("end")).mapInArrow(_sweep, _OUT)
+    return swept(rows.repartition(n, "doc"))
+
+
+def swept(rows: DataFrame) -> DataFrame:
+    """The same for rows (doc, start, end, cursor) that are dealt by document already: nothing is shuffled; each cursor stands once."""
+    return rows.sortWithinPartitions("doc", "start", "cursor", F.desc("end")).mapInArrow(_sweep, _OUT)
