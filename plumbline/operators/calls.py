@@ -23,6 +23,17 @@ def enclosing(entries: DataFrame, references: DataFrame) -> DataFrame:
     return rows.select("doc", "at", *more, F.col("in.symbol").alias("enclosing"), F.col("in.start").alias("enclosing_start"))
 
 
+def enclosing_in(rows: DataFrame) -> DataFrame:
+    """The same where entries and references are rows of one stream (doc, at, entry, …): entry is the symbol that starts there, null elsewhere; every row with its entry.
+
+    Rows that are dealt by document stay where they are.
+    """
+    order = Window.partitionBy("doc").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.max(F.when(F.col("entry").isNotNull(), F.struct(F.col("at").alias("start"), F.col("entry").alias("symbol")))).over(order)
+    more = [c for c in rows.columns if c not in ("doc", "at", "entry")]
+    return rows.withColumn("in", last).select("doc", "at", *more, F.col("in.symbol").alias("enclosing"), F.col("in.start").alias("enclosing_start"))
+
+
 def successors(entries: DataFrame) -> DataFrame:
     """Each entry with the start of the first later entry that does not lie inside it: (doc, symbol, start, next)."""
     order = Window.partitionBy("doc").orderBy("start", "symbol")
