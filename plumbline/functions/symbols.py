@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 NAME = r"(?:`[^`]*`|[^/#.()\[\]`]+)"
 _LAST = rf"^(.*?)(?:({NAME})(/|#|\([^()]*\)\.|\.)|\(({NAME})\)|\[({NAME})\])$"
-_EACH = rf"{NAME}(?:/|#|\([^()]*\)\.|\.)|\({NAME}\)|\[{NAME}\]"
+EACH = rf"{NAME}(?:/|#|\([^()]*\)\.|\.)|\({NAME}\)|\[{NAME}\]"
 # Words and marks that are no plain identifiers.
 KEYWORDS = """abstract case catch class def do else enum export extends false final finally for given if implicit import lazy match new null object override
 package private protected return sealed super then this throw trait true try type val var while with yield _ : = <- => <: >: # @ =>> ?=>""".split()
@@ -46,7 +46,7 @@ def split_last(s: Column) -> Column:
 
 def owner_chain(s: Column) -> Column:
     """All owners from the outermost, the symbol itself last."""
-    parts = F.regexp_extract_all(s, F.lit(_EACH), F.lit(0))
+    parts = F.regexp_extract_all(s, F.lit(EACH), F.lit(0))
     return F.when(is_local(s) | (F.size(parts) == 0), F.array().cast("array<string>")).otherwise(F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "")))
 
 
