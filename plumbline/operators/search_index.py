@@ -2,10 +2,10 @@
 
 The index of one generation has four tables, written once:
 
-tokens (bucket, token, symbol_ord): every field token of a symbol under its
+tokens (bucket, tokens, symbol_ord): the field tokens of a symbol, in one row for each of their
 prefixes of 1, 2, 4, 8, … characters, so a query token of n characters finds
-its tokens by one equality, on the longest bucket that it fills, and reads at most what shares
-half of its characters;
+its symbols by one equality, on the longest bucket that it fills, reads at most what shares
+half of its characters, and finds a symbol once;
 buckets (bucket, n): how many rows a bucket has;
 names (symbol_ord, display, tokens, plain, marked): what a symbol is matched and scored by;
 first (first, symbol_ord): for each first character the symbols that a query of one token
@@ -59,6 +59,28 @@ def buckets_of(token: Column) -> Column:
     return F.filter(F.array(*(F.when(size >= n, F.substring(token, 1, n)) for n in LENGTHS)), lambda b: b.isNotNull())
 
 
+def bucketed(names_: DataFrame) -> DataFrame:
+    """(bucket, tokens, symbol_ord) of names (symbol_ord, tokens): a row for each bucket of a symbol, with its tokens there."""
+    rows = names_.select("symbol_ord", "tokens", F.explode(F.array_distinct(F.flatten(F.transform("tokens", buckets_of)))).alias("bucket"))
+    return rows.select("bucket", F.filter("tokens", lambda t: F.startswith(t, F.col("bucket"))).alias("tokens"), "symbol_ord")
+
+
+def starting(tokens: str, query: str) -> Column:
+    """Does one of the tokens start with the query token?"""
+    return F.exists(tokens, lambda t: F.startswith(t, F.col(query)))
+
+
+def prefix_join(queries: DataFrame, names_: DataFrame) -> DataFrame:
+    """(q, symbol_ord) of query tokens (q) and names (symbol_ord, tokens), one row for each symbol: those with a token that starts with q.
+
+    A query token has one bucket and a symbol one row there, so each pair is found once and nothing is told apart afterwards.
+    """
+    asked = queries.select("q").where("q <> ''").distinct().withColumn("bucket", bucket(F.col("q")))
+    asked = Scratch(queries.sparkSession, "prefix-queries").save(asked, "asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_QUERIES else asked.hint("merge")
+    return bucketed(names_).join(asked, "bucket").where(starting("tokens", "q")).select("q", "symbol_ord")
+
+
 def best(rows: DataFrame, key: list[str], order: list[Column], k: int, part: Column) -> DataFrame:
     """The first k rows of each key with their ``rank``; each task, or each part of a key, keeps k before they meet."""
     if k > DIRECT:
@@ -74,8 +96,7 @@ def build(symbols: DataFrame, label: str = "search-index", cap: int = CAP) -> In
     fields = F.array_distinct(F.concat(*(names.field_tokens(text(c)) for c in ("display", "owner", "package_name"))))
     known = symbols.select("symbol_ord", "display", fields.alias("tokens"), names.normalize(text("display")).alias("plain"), names.humps(text("display")).alias("marked"))
     known = scratch.save(known, "names")
-    tokens = known.select("symbol_ord", F.explode("tokens").alias("token"))
-    tokens = scratch.save(tokens.select(F.explode(buckets_of(F.col("token"))).alias("bucket"), "token", "symbol_ord"), "tokens")
+    tokens = scratch.save(bucketed(known), "tokens")
     counts = scratch.save(tokens.groupBy("bucket").agg(F.count("*").alias("n")), "buckets")
     short = F.array_join(F.transform(F.filter("marked", lambda x: x.hump), lambda x: x.c), "")
     lists = F.array(F.struct(F.lit(0).alias("list"), F.col("plain").alias("key")), F.struct(F.lit(1).alias("list"), short.alias("key")))
@@ -120,7 +141,7 @@ def prefix_and(index: Index, wanted: DataFrame) -> DataFrame:
     # The rarest token leads; one that no symbol has leads to nothing.
     lead = each.groupBy("query").agg(F.min(F.struct("n", "bucket", "token")).alias("x"), F.first("parts").alias("parts"))
     lead = lead.select("query", F.col("x.bucket").alias("bucket"), F.col("x.token").alias("lead"), F.filter("parts", lambda t: t != F.col("x.token")).alias("rest"))
-    found = lead.join(index.tokens, "bucket").where(F.startswith("token", F.col("lead"))).select("query", "rest", "symbol_ord").distinct()
+    found = lead.join(index.tokens, "bucket").where(starting("tokens", "lead")).select("query", "rest", "symbol_ord")
     one, more = found.where(F.size("rest") == 0), found.where(F.size("rest") > 0)
     has = F.forall("rest", lambda q: F.exists("tokens", lambda t: F.startswith(t, q)))
     more = more.join(index.names.select("symbol_ord", "tokens"), "symbol_ord").where(has)

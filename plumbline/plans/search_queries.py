@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import names
 from plumbline.functions import symbols as grammar
 from plumbline.operators import references, search_index
 from plumbline.plans import projections as p
 from plumbline.plans.queries import L, query
 
+#: Symbols of a part, a few dozen MB.
+SYMBOLS = 100_000
+
 
 def _index(l: L) -> search_index.Index:
     return search_index.build(l.symbols.select("symbol_ord", "display", F.col("p_brand").alias("owner"), F.lit("mfr").alias("package_name")))
@@ -70,8 +74,10 @@ def prefix_join(spark, sf_dir):
     """Query tokens to field tokens by prefix, on the longest bucket that each query fills."""
     l = L(spark, sf_dir)
     words = l.symbols.select("symbol_ord", F.explode(F.split("display", " ")).alias("w"))
-    asked = words.select(F.substring(F.col("w"), F.lit(1), 1 + F.col("symbol_ord") % 5).alias("q")).distinct().withColumn("bucket", search_index.bucket(F.col("q")))
-    return asked.join(_index(l).tokens, "bucket").where(F.startswith("token", F.col("q"))).select("q", "symbol_ord").distinct()
+    asked = words.select(F.substring(F.col("w"), F.lit(1), 1 + F.col("symbol_ord") % 5).alias("q"))
+    tokens = F.concat(*(names.field_tokens(c) for c in (F.coalesce("display", F.lit("")), F.coalesce("p_brand", F.lit("")), F.lit("mfr"))))
+    known = p.dealt(l.symbols.select("symbol_ord", tokens.alias("tokens")), "symbol_ord", SYMBOLS)
+    return search_index.prefix_join(asked, known.groupBy("symbol_ord").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")))
 
 
 _MEMBERS = ", q as (select distinct upper(left(display, 1)) || substr(display, 2, 1) || upper(left(string_split(display, ' ')[-1], 1)) query from sym), nm as (select symbol_ord, array_to_string(list_transform(string_split(display, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') nm from sym)"
