@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Numbers of a block of a group; blocks, under 100 bytes each, that are broadcast at most: more are joined by a shuffle.
+WIDTH, BROADCAST_BLOCKS = 1024, 200_000
+
 
 def runs(lines: DataFrame, least: int) -> DataFrame:
     """Islands of consecutive lines (doc_id, line, kind) of one kind: (doc_id, kind, first_line, last_line)."""
@@ -46,6 +49,26 @@ def delta_encode(tokens: DataFrame) -> DataFrame:
     return rows.withColumn("delta_char", F.when(F.col("line") == last_line, F.col("start_char") - last_char).otherwise(F.col("start_char")).cast("int"))
 
 
+def following(rows: DataFrame, group: str, order: str, value: str, parts: int) -> DataFrame:
+    """The rows with ``next``: the value of the next row of the group by an integer; null at the end of a group, null numbers last.
+
+    A group may be as large as the table, so it is taken in blocks of
+    ``WIDTH`` numbers; the first row of a block stands at the end of the block
+    before, too.  Only first numbers, one of each block, meet by group.
+    """
+    rows = rows.withColumn("#block", F.coalesce(F.floor(F.col(order) / WIDTH), F.lit((1 << 63) - 1)))
+    firsts = rows.groupBy(group, "#block").agg(F.min(order).alias("#first"))
+    firsts = firsts.withColumn("#before", F.lag("#block").over(Window.partitionBy(group).orderBy("#block"))).where(F.col("#before").isNotNull())
+    firsts = firsts.select(F.col(group).alias("#group"), "#first", "#before")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_BLOCKS else firsts
+    rows = rows.join(firsts, F.col(group).eqNullSafe(F.col("#group")) & F.col(order).eqNullSafe(F.col("#first")), "left").drop("#group", "#first")
+    more = [c for c in rows.columns if c not in ("#block", "#before")]
+    stands = F.array(F.struct(F.col("#block"), F.lit(True).alias("#own")), F.struct(F.col("#before").alias("#block"), F.lit(False).alias("#own")))
+    rows = rows.select(*more, F.inline(F.filter(stands, lambda x: x["#block"].isNotNull())))
+    at = Window.partitionBy(group, "#block").orderBy(F.asc_nulls_last(order), F.desc("#own"))
+    return rows.repartition(parts, group, "#block").withColumn("next", F.lead(value).over(at)).where(F.col("#own")).drop("#block", "#own")
+
+
 def splice(pairs: DataFrame) -> DataFrame:
     """One edit from list a to list b: (doc_id, start, removed, added) after the common prefix and before the common suffix; none if they are equal."""
 

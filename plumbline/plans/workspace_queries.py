@@ -120,8 +120,6 @@ q as (select *, least(len(a), len(b)) - start m, coalesce(nullif(list_position(l
 select doc_id, start::int start, (len(a) - start - tail)::int removed, array_to_string(b[start + 1:len(b) - tail], ' ') added from q""")
 def token_splice(spark, sf_dir):
     """The one edit between each document and the next of its source."""
-    from pyspark.sql import Window
-
-    docs = p.table(spark, sf_dir, "documents")
-    following = F.lead("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    return text.splice(docs.select("doc_id", F.split("text", " ").alias("a"), F.split(following, " ").alias("b")).where("b is not null"))
+    docs = p.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    pairs = text.following(docs, "source", "doc_id", "text", p.shares(docs))
+    return text.splice(pairs.where("text is not null and next is not null").select("doc_id", F.split("text", " ").alias("a"), F.split("next", " ").alias("b")))

@@ -1,10 +1,14 @@
 """What a plan repeats, shuffles or holds for each row, where that once grew out of bounds."""
 
+import tempfile
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import plumbline.plans.navigation_queries  # noqa: F401  registers its own
 import plumbline.plans.search_queries  # noqa: F401
-from plumbline.operators import aggregates, lookup, references, search_index, session
+import plumbline.plans.workspace_queries  # noqa: F401
+from plumbline.operators import aggregates, lookup, references, search_index, session, text
 from plumbline.plans import projections
 from plumbline.plans.queries import QUERIES
 
@@ -88,3 +92,22 @@ def test_a_pair_of_prefix_and_symbol_is_found_once(spark):
     assert "Aggregate" not in plan(got) and "SortMergeJoin" not in plan(got)
     of_query = plan(QUERIES["prefix_join"](spark, "/root/testdata/sf0.001"))
     assert "hashpartitioning(q" not in of_query and "hashpartitioning(bucket" not in of_query
+
+
+def test_the_next_row_is_found_in_blocks_of_a_group(spark):
+    """No task reads a whole group, and gaps, equal places and rows without a number or a group are no exception (F32)."""
+    ids = [-3000, -1, 0, 1, 1022, 1023, 1024, 1025, 5000, 9000, 9001, 20480]
+    rows = [("a", i) for i in ids] + [("b", 7), (None, 5), (None, 3000), ("a", None), ("c", None)]
+    docs = spark.createDataFrame([(g, i, f"{g}{i}") for g, i in rows], "source string, doc_id long, text string")
+    got = text.following(docs, "source", "doc_id", "text", 4)
+    plain = docs.withColumn("next", F.lead("text").over(Window.partitionBy("source").orderBy(F.asc_nulls_last("doc_id"))))
+    assert sorted(map(repr, (r[:] for r in got.select(plain.columns).collect()))) == sorted(map(repr, (r[:] for r in plain.collect())))
+    windows = [x for x in plan(got).split("\n") if "lead(text" in x and "Window" in x]
+    assert windows and all("[source#" in x and ", #block#" in x for x in windows) and "REPARTITION_BY_NUM" in plan(got)
+
+
+def test_a_null_text_has_no_edit(spark):
+    docs = spark.createDataFrame([("a", 1, "x y"), ("a", 2, None), ("a", 3, "x z"), ("a", 4, "x y z")], "source string, doc_id long, text string")
+    at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    docs.write.mode("overwrite").parquet(f"{at}/documents.parquet")
+    assert [tuple(r) for r in QUERIES["token_splice"](spark, at).collect()] == [(3, 1, 0, "y")]
