@@ -93,9 +93,9 @@ def _read(files: fs.FileSystem, paths: list[str], wanted: Callable[[str], bool],
             found = facts.rows_of(path, f.read(), wanted)
         rows += found if errors else [r for r in found if r["error"] is None]
         if len(rows) >= ROWS:
-            yield pa.RecordBatch.from_pylist(rows, schema=facts.ARROW)
+            yield facts.batch_of(rows)
             rows = []
-    yield pa.RecordBatch.from_pylist(rows, schema=facts.ARROW)
+    yield facts.batch_of(rows)
 
 
 class FactReader(DataSourceReader):
@@ -156,20 +156,20 @@ class FactWriter(DataSourceArrowWriter):
         files.create_dir(root, recursive=True)
         names: list[tuple[str, str]] = []
 
-        def put(docs: list[dict], name: str) -> None:
+        def put(docs: list[bytes], name: str) -> None:
             folder, _, last = f"{root}/{name}{SUFFIX}".rpartition("/")
             files.create_dir(folder, recursive=True)
             with files.open_output_stream(f"{folder}/.{last}") as f:
-                f.write(facts.encoded(docs))
+                f.writelines(docs)
             names.append((f"{folder}/.{last}", f"{folder}/{last}"))
 
         for batch in iterator:
-            docs = batch.to_pylist()
+            docs = facts.messages(batch)
             if self.options.get("layout") == "uri":
-                for d in docs:
-                    if not d["uri"] or d["uri"].startswith("/") or ".." in d["uri"].split("/"):
-                        raise ValueError(f"{d['uri']!r} leads out of the folder")
-                    put([d], d["uri"])
+                for d, uri in zip(docs, batch.column("uri").to_pylist()):
+                    if not uri or uri.startswith("/") or ".." in uri.split("/"):
+                        raise ValueError(f"{uri!r} leads out of the folder")
+                    put([d], uri)
             elif docs:
                 put(docs, f"part-{uuid.uuid4().hex}")
         return Written(names)
