@@ -28,25 +28,35 @@ def chain_of(open_: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    doc, open_ = None, []
+    doc, open_, crossed = None, [], False
     for batch in batches:
-        docs, ats, chains = [], [], []
+        docs, ats, sizes, starts, ends = [], [], [0], [], []
         for d, start, end, cursor in zip(*(batch.column(c).to_pylist() for c in ("doc", "start", "end", "cursor"))):
             if d != doc:
                 doc, open_ = d, []
             while open_ and open_[-1][1] < start:
                 open_.pop()
+            if len(open_) < 2:
+                crossed = False
             if not cursor:
                 if not open_ or open_[-1] != (start, end):
                     open_.append((start, end))
                 if len(open_) > 1 and end > open_[-2][1]:
                     # A span that crosses the one before hides its end: what has ended is taken out by hand.
                     open_ = [s for s in open_ if s[1] >= start]
+                    crossed = True
                 continue
             docs.append(d)
             ats.append(start)
-            chains.append([{"start": a, "end": b} for a, b in chain_of(open_, start)])
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), pa.array(chains, _CHAIN)], ["doc", "at", "chain"])
+            # Spans that never crossed lie inside one another already, and all of them hold the place.
+            found = chain_of(open_, start) if crossed or not open_ else open_[::-1]
+            for a, b in found:
+                starts.append(a)
+                ends.append(b)
+            sizes.append(len(starts))
+        spans = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], fields=list(_CHAIN.value_type))
+        chain = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), spans, type=_CHAIN)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), chain], ["doc", "at", "chain"])
 
 
 def chains(spans: DataFrame, cursors: DataFrame) -> DataFrame:
